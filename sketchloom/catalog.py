@@ -1,5 +1,6 @@
-"""Registered queries over the driver's tables and their SQL for DuckDB."""
+"""All registered queries over the driver's tables and their SQL for DuckDB."""
+
+from .plans import sketches  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "q_bss_matrix"
