@@ -27,17 +27,20 @@ from .common import materialize, text_of
 
 _TITLE_F = r"(?:Mrs|Ms|Miss|Mme|Madame|Frau|Señora|Sra|Г-жа|Κα)"
 _TITLE_M = r"(?:Mr|Monsieur|Herr|Señor|Sr|Г-н|Κος)"
+_TITLE = rf"(?:{_TITLE_F}|{_TITLE_M})\.? "
+_ASSIGN = r"""(?i:token|secret|password|passwd|api.?key)["']?\s{0,3}[=:]\s{0,3}["']"""
+#: An entity begins where a word could; what may not stand before some types is said there.
 PATTERNS = {
-    "secret": r"""(?<=(?i:token|secret|password|passwd|api.?key)["']?\s{0,3}[=:]\s{0,3}["'])[A-Za-z0-9+/_=-]{8,}(?=["'])""",
-    "email": r"(?<![\w.+-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
-    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
-    "name": rf"(?<=(?<!\p{{L}})(?:{_TITLE_F}|{_TITLE_M})\.? )\p{{Lu}}[\p{{L}}'-]*(?: \p{{Lu}}[\p{{L}}'-]*){{0,2}}",
+    "secret": rf"""{_ASSIGN}[A-Za-z0-9+/_=-]{{8,}}+(?=["'])""",
+    "email": r"(?<![.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
+    "ipv4": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<![.-])(?:\d{13,19}+|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?![\w-])",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
+    "name": rf"{_TITLE}\p{{Lu}}[\p{{L}}'-]*(?: \p{{Lu}}[\p{{L}}'-]*){{0,2}}",
 }
-ANY = "|".join(PATTERNS.values())
+ANY = r"(?<![\w\p{L}])(?:" + "|".join(PATTERNS.values()) + ")"
 
 _FIRST = {
     ("Latin", "f"): "Anna Clara Emma Eva Ida Julia Laura Lena Maria Nora Olga Paula Rosa Sara Vera Zoe",
@@ -110,12 +113,17 @@ def _choose(words: str, digest: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), _stream(digest, F.lit(i), len(names)) + 1)
 
 
-def kind_of(entity: Column, before: Column) -> Column:
-    """The type of a found entity; ``before`` is the text that ends where it begins."""
-    out = F.when(before.rlike(r"""(?i)(?:token|secret|password|passwd|api.?key)["']?\s{0,3}[=:]\s{0,3}["']$"""), "secret")
+def kind_of(entity: Column) -> Column:
+    """The type of a found entity, by the first pattern that matches it whole; names with their gender."""
+    out = F.when(entity.rlike(f"^{_ASSIGN}"), "secret")
     for kind in ("email", "ipv4", "iban", "ssn", "card", "phone"):
         out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return out.when(before.rlike(_TITLE_F + r"\.? $"), "name-f").otherwise("name-m")
+    return out.when(entity.rlike(rf"^{_TITLE_F}\.? "), "name-f").otherwise("name-m")
+
+
+def lead_of(entity: Column) -> Column:
+    """What is found with an entity but stays: the name a credential is assigned to, a title."""
+    return F.regexp_extract(entity, rf"^(?:{_ASSIGN}|{_TITLE})", 0)
 
 
 def _normal(kind: Column, entity: Column) -> Column:
@@ -215,24 +223,19 @@ def replace_pii(docs: DataFrame, key: str, attempts: int = 50) -> DataFrame:
     never in a shared surrogate.
     """
     text = F.col("text")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    # what lies before each entity: 40 characters, enough for titles and assignments
-    pieces = F.split(text, ANY, -1)
-    spots = F.transform(
-        F.col("found"),
-        lambda e, i: F.struct(e.alias("entity"), kind_of(e, F.right(F.concat(F.when(i > 0, F.right(F.element_at("found", F.greatest(i, F.lit(1))), F.lit(40))).otherwise(""), F.element_at("pieces", i + 1)), F.lit(40))).alias("kind")),
-    )
     marked = (
-        docs.select(text.alias("text")).where(text.rlike(ANY)).select(F.md5("text").alias("t_md5"), F.xxhash64("text").alias("t_x"), found.alias("found"), pieces.alias("pieces"))
-        .select("t_md5", "t_x", F.posexplode(spots).alias("at", "spot"))
-        .select("t_md5", "t_x", "at", "spot.entity", "spot.kind")
+        docs.select(text.alias("text")).where(text.rlike(ANY))
+        .select(F.md5("text").alias("t_md5"), F.xxhash64("text").alias("t_x"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "found"))
+        .withColumn("lead", lead_of(F.col("found"))).withColumn("kind", kind_of(F.col("found")))
+        .withColumn("entity", F.substr("found", F.length("lead") + 1, F.length("found")))
         .withColumn("normal", _normal(F.col("kind"), F.col("entity")))
+        .select("t_md5", "t_x", "at", "lead", "entity", "kind", "normal")
     )
     marked = materialize(marked.dropDuplicates(["t_md5", "t_x", "at"]), "pii-marked")
     drawn = _assign(marked.select("kind", "normal").distinct(), key, attempts)
     by_text = (
         marked.join(drawn, ["kind", "normal"])
-        .select("t_md5", "t_x", "at", _render(F.col("kind"), F.col("entity"), F.col("drawn")).alias("new"))
+        .select("t_md5", "t_x", "at", F.concat("lead", _render(F.col("kind"), F.col("entity"), F.col("drawn"))).alias("new"))
         .groupBy("t_md5", "t_x")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda s: s["new"]).alias("new"))
     )
