@@ -1,9 +1,9 @@
 """Near-duplicates by a join on MinHash coordinates, confirmed on full shingle sets.
 
-1. Every text gives a set of shingle hashes and a signature of ``WIDE`` minima.
+1. Every text gives a set of shingle hashes and a signature of NARROW minima.
    Texts with equal sets become one representative, so exact copies never meet
    again until the end.
-2. Of the first ``NARROW`` coordinates a pair above the similarity agrees in at
+2. Of the ``NARROW`` coordinates a pair above the similarity agrees in at
    least ``AGREE`` (but for odds of about one in a million).  Two such
    signatures must share a pair (coordinate, value) among the NARROW - AGREE + 1
    that come first in one global order.  That prefix is posted and the rest
@@ -11,14 +11,18 @@
    texts share is skipped too; frequent pairs are those above a share of 1/1000,
    hence bounded in number.
 3. Round one compares each posting list's members with its smallest member only.
-   Pairs whose whole signatures agree often enough are confirmed on their sets,
-   and confirmed links are contracted into components.
+   A second signature, ``BINS`` bins of one permutation, estimates a pair's
+   similarity closely (nearly exactly where a text has fewer shingles than
+   bins); pairs that may reach the threshold, by six standard deviations, are
+   confirmed on their sets, and confirmed links contracted into components.
 4. Round two takes the posting lists that still hold several components, and
    compares members of different components, in cells of a bounded number of
    rows.  Members that already share the component of the list's first member
    are not compared with each other.  After it every pair that shares a posted
-   coordinate is in one component or was compared, so no link is lost; and a
-   group of n near-copies costs about n comparisons, not n * n.
+   coordinate is in one component or was compared, so no link is lost.  A group
+   whose members mostly link costs about one comparison a member.  Members that
+   link with nobody are compared with the whole list, by their signatures; the
+   sets are read for pairs that may reach the threshold.
 
 Only representatives that are in some pair have their sets built, from their
 texts.  Nothing is collected but the bounded list of frequent pairs and counts.
@@ -37,42 +41,71 @@ from .common import materialize, text_of
 from .components import components
 from .textblocks import mix, shingle_sets
 
-WIDE, WIDE_AGREE = 64, 40
 NARROW, AGREE = 24, 10
+BINS, EMPTY = 512, 255
 PREFIX = NARROW - AGREE + 1
 FREQUENT = 1000
 CELL = 128
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:WIDE] | np.uint64(1), seeds[WIDE:]
+    seeds = mix(np.arange(1, 2 * NARROW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[:NARROW] | np.uint64(1), seeds[NARROW:]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the smallest value of each of WIDE hash functions."""
+    """The upper 32 bits of the smallest value of each of NARROW hash functions."""
     a, b = _coefficients()
-    low = np.full(WIDE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.full(NARROW, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 4096):
         part = shingles[i : i + 4096, None] * a + b
         np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def bins(shingles: np.ndarray) -> np.ndarray:
+    """A byte of the smallest shingle in each bin, the bins being ranges of the (sorted) hashes."""
+    out = np.full(BINS, EMPTY, dtype=np.uint8)
+    at = (shingles >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first]] = (shingles[first] % np.uint64(EMPTY)).astype(np.uint8)
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx, ny, similarity: float) -> np.ndarray:
+    """Whether pairs of bins (rows) may come from sets of at least that similarity.
+
+    At the threshold the union has (nx + ny) / (1 + similarity) shingles, of
+    which the bins hold a sample without replacement.
+    """
+    full_x, full_y = x != EMPTY, y != EMPTY
+    n = np.maximum((full_x | full_y).sum(axis=-1), 1)
+    agree = ((x == y) & full_x).sum(axis=-1)
+    union = (nx + ny) / (1 + similarity)
+    left_out = np.maximum(union - n, 0) / np.maximum(union - 1, 1)
+    sigma = np.sqrt(similarity * (1 - similarity) / n * left_out)
+    sizes = np.minimum(nx, ny) >= similarity * np.maximum(nx, ny)
+    return sizes & (agree >= n * (similarity - 6 * sigma) - 1.5)
+
+
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>, bins binary"
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, sigs = [], [], [], []
+            n, h1, h2, sigs, held = [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sigs.append(signature(s))
+                held.append(bins(s).tobytes())
             flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int32))
-            at = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * WIDE)
+            at = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * NARROW)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(at, flat)],
-                ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(held, pa.binary())],
+                ["doc_id", "n_shingles", "h1", "h2", "sig", "bins"],
             )
 
     return run
@@ -87,6 +120,22 @@ def _sets(width: int):
     return run
 
 
+def _rows(column, width: int) -> np.ndarray:
+    """A binary column of equal lengths as a matrix of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def _filter_pairs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _rows(batch.column(2), BINS), _rows(batch.column(3), BINS)
+                ok = may_link(x, y, np.array(batch.column(4)), np.array(batch.column(5)), similarity)
+                yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
 def _prefixes(frequent: dict[int, int]):
     """(rep, token): the postings of each representative."""
     tokens = np.array(sorted(frequent), dtype=np.int64)
@@ -96,16 +145,15 @@ def _prefixes(frequent: dict[int, int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.array(batch.column(1).flatten()).reshape(-1, WIDE)[:, :NARROW]
+            sig = np.array(batch.column(1).flatten()).reshape(-1, NARROW)
             token = (np.arange(NARROW, dtype=np.int64) << 32) | (sig.astype(np.int64) & 0xFFFFFFFF)
             often = np.zeros(token.shape, dtype=np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
                 often = np.where(tokens[at] == token, counts[at], 0)
-            by_hash = np.take_along_axis(token, np.argsort(mix(token.view(np.uint64)), axis=1), 1)
-            often = np.take_along_axis(often, np.argsort(mix(token.view(np.uint64)), axis=1), 1)
-            first = np.argsort(often, axis=1, kind="stable")[:, :PREFIX]
-            posted = np.take_along_axis(by_hash, first, 1)
+            by_hash = np.argsort(mix(token.view(np.uint64)), axis=1)
+            order = np.take_along_axis(by_hash, np.argsort(np.take_along_axis(often, by_hash, 1), axis=1, kind="stable"), 1)[:, :PREFIX]
+            posted = np.take_along_axis(token, order, 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(np.array(batch.column(0)), PREFIX)), pa.array(posted.ravel())], ["rep", "token"]
             )
@@ -113,25 +161,32 @@ def _prefixes(frequent: dict[int, int]):
     return run
 
 
-def _cells(t: pa.Table) -> pa.Table:
-    """Pairs of different components in a cell whose signatures agree often enough."""
-    out_a, out_b = [], []
-    if t.num_rows > 1:
-        rep, comp, side = (np.array(t[c]) for c in ("rep", "comp", "side"))
-        sig = np.array(t["sig"].combine_chunks().flatten()).reshape(-1, WIDE)
-        right = np.flatnonzero(side != 0)
-        for i in np.flatnonzero(side != 1):
-            other = right[comp[right] != comp[i]]
-            for j in other[(sig[other] == sig[i]).sum(axis=1) >= WIDE_AGREE]:
-                out_a.append(min(rep[i], rep[j]))
-                out_b.append(max(rep[i], rep[j]))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+def _cells(similarity: float):
+    """Pairs of different components in a cell that share enough coordinates and may be similar enough."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if t.num_rows > 1:
+            rep, comp, side, n = (np.array(t[c]) for c in ("rep", "comp", "side", "n_shingles"))
+            sig = np.array(t["sig"].combine_chunks().flatten()).reshape(-1, NARROW)
+            held = _rows(t["bins"], BINS)
+            right = np.flatnonzero(side != 0)
+            for i in np.flatnonzero(side != 1):
+                other = right[comp[right] != comp[i]]
+                other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
+                for j in other[may_link(held[other], held[i], n[other], n[i], similarity)]:
+                    out_a.append(min(rep[i], rep[j]))
+                    out_b.append(max(rep[i], rep[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id", "left_semi")
+    # one plan at every size: neither side has a bound that a broadcast could rely on
+    texts = docs.select("doc_id", text_of().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "near-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -156,15 +211,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     if not 80 <= percent <= 100:
         raise ValueError("percent is 80 to 100; the signatures' thresholds assume that")
     ids = docs.select("doc_id", text_of().alias("text"))
-    signed = materialize(
-        ids.mapInArrow(_signatures(width), "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"), "near-signed"
-    )
+    signed = materialize(ids.mapInArrow(_signatures(width), _SIGNED), "near-signed")
     reps = materialize(
         signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("n_shingles", "h1", "h2", "sig")
+        .groupBy("n_shingles", "h1", "h2", "sig", "bins")
         .agg(F.min("doc_id").alias("rep")),
         "near-reps",
     )
+    similarity = percent / 100
     least = max(64, reps.count() // FREQUENT)
     token = F.posexplode(F.slice("sig", 1, NARROW)).alias("p", "v")
     frequent = (
@@ -184,17 +238,10 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
         posts.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-lists"
     )
     posts = materialize(posts.join(lists, "token"), "near-shared")
-    sig = reps.select(F.col("rep").alias("id"), "sig")
-    agree = F.aggregate(
-        F.zip_with("sx", "sy", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x
-    )
+    side = lambda id_, bins_, n: reps.select(F.col("rep").alias(id_), F.col("bins").alias(bins_), F.col("n_shingles").alias(n))
     stars = posts.where("lead <> rep").select("lead", "rep").distinct()
-    stars = (
-        stars.join(sig.select(F.col("id").alias("rep"), F.col("sig").alias("sx")), "rep")
-        .join(sig.select(F.col("id").alias("lead"), F.col("sig").alias("sy")), "lead")
-        .where(agree >= WIDE_AGREE)
-    )
-    first = materialize(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")), "near-stars")
+    stars = stars.join(side("rep", "x", "nx"), "rep").join(side("lead", "y", "ny"), "lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "x", "y", "nx", "ny")
+    first = materialize(stars.mapInArrow(_filter_pairs(similarity), "a long, b long"), "near-stars")
     links = _confirm(first, docs, width, percent)
     comp = components(links, "a", "b")
 
@@ -219,7 +266,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     )
     member = materialize(member.select("token", "rep", "comp", "is_main", "all"), "near-open-members")
     rest = materialize(member.groupBy("token").agg(F.sum((~F.col("is_main")).cast("long")).alias("n_rest")), "near-rest")
-    member = member.join(rest, "token").join(sig.select(F.col("id").alias("rep"), "sig"), "rep")
+    member = member.join(rest, "token").join(reps.select("rep", "n_shingles", "sig", "bins"), "rep")
     rest_cells = F.ceil(F.col("n_rest") / CELL).cast("int")
     main_cells = F.ceil((F.col("all") - F.col("n_rest")) / CELL).cast("int")
     spot = F.xxhash64("rep")
@@ -241,10 +288,10 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     )
     cells = (
         member.withColumn("own", own)
-        .select("token", "rep", "comp", "sig", F.explode(F.when(F.col("is_main"), as_main).otherwise(as_rest)).alias("c"))
-        .select("token", "rep", "comp", "sig", "c.x", "c.y", "c.side")
+        .select("token", "rep", "comp", "n_shingles", "sig", "bins", F.explode(F.when(F.col("is_main"), as_main).otherwise(as_rest)).alias("c"))
+        .select("token", "rep", "comp", "n_shingles", "sig", "bins", "c.x", "c.y", "c.side")
     )
-    found = cells.groupBy("token", "x", "y").applyInArrow(_cells, "a long, b long").distinct()
+    found = cells.groupBy("token", "x", "y").applyInArrow(_cells(similarity), "a long, b long").distinct()
     second = materialize(found.join(first, ["a", "b"], "left_anti"), "near-pairs")
     more = _confirm(second, docs, width, percent)
     comp = components(links.unionByName(more), "a", "b")
