@@ -37,7 +37,10 @@ def windows(text: str, size: int = WINDOW_BYTES) -> list[bytes]:
     A run without a break is cut LONGEST bytes after, the next window beginning
     ``size`` bytes earlier so that nothing is missed at the cut.
     """
-    flat = b" " + b" ".join(text.encode("utf-8", "surrogatepass").lower().translate(_KEEP).split()) + b" "
+    words = text.encode("utf-8", "surrogatepass").lower().translate(_KEEP).split()
+    if not words:
+        return []
+    flat = b" " + b" ".join(words) + b" "
     out, at, end = [], 0, len(flat)
     while at + 1 < end:
         stop = flat.find(b" ", min(at + size, end - 1), at + size + LONGEST)
