@@ -40,6 +40,7 @@ def collect_context(query: DataFrame, levels: DataFrame, time: str, tau: float =
     """
     m = 2**p
     depths = levels.select(time).distinct().withColumn("depth", F.row_number().over(W.orderBy(F.desc(time))) - 1).where(F.col("depth") <= max_depth)
+    # at most max_depth + 1 rows
     rows = levels.join(F.broadcast(depths), time).select("depth", time, "reg", "zeros").join(query.select("reg", "zeros", F.lit(1).alias("q")), ["reg", "zeros"], "left")
     counts = rows.groupBy("depth", time, "zeros").agg(F.count(F.lit(1)).alias("c"), F.count("q").alias("c_q"))
     g = counts.groupBy("depth", time).agg(*E.ht_aggregates(m, "c", name="l"), *E.ht_aggregates(m, "c_q", name="o"))

@@ -76,7 +76,7 @@ def transitions(long: DataFrame, time: str, p: int = H.P_BITS) -> DataFrame:
     """
     m = 2**p
     steps = _steps(long, time)
-    here = long.join(F.broadcast(steps), time).select("step", "reg", "zeros")
+    here = long.join(steps, time).select("step", "reg", "zeros")
     marks = here.select("step", "reg", "zeros", F.lit(1).alias("w")).unionByName(here.select((F.col("step") + 1).alias("step"), "reg", "zeros", F.lit(2).alias("w")))
     merged = marks.groupBy("step", "reg", "zeros").agg(F.sum("w").alias("w"))
     counts = merged.groupBy("step", "zeros").agg(*[F.sum((F.col("w") == v).cast("long")).alias(n) for v, n in ((2, "d"), (3, "r"), (1, "n"))])
@@ -186,7 +186,7 @@ def bernoulli(long: DataFrame, time: str, p: int = H.P_BITS) -> DataFrame:
 def recurrence(long: DataFrame, time: str, threshold: float = 0.1, p: int = H.P_BITS) -> DataFrame:
     """Steps whose state is near the first one, nearest step first: (step, distance)."""
     steps = _steps(long, time)
-    here = long.join(F.broadcast(steps), time).select("step", "reg", "zeros")
+    here = long.join(steps, time).select("step", "reg", "zeros")
     start = here.where("step = 0").select("reg", "zeros", F.lit(1).alias("first"))
     size = start.count()
     shared = here.where("step > 0").join(start, ["reg", "zeros"], "left").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count("first").alias("both"))

@@ -324,7 +324,6 @@ def q_stream_windows(spark, sf_dir):
     events.coalesce(1).write.parquet(f"{folder}/in")
     stream = Z.token_stream(spark, f"{folder}/in", "ts timestamp, token string")
     out = Z.windowed_positions(stream, "ts", "token", late="60 days").select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "bitmap")
-    name = "w" + folder.rpartition("-")[2][:12]
-    q = out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return S.cardinality(S.unpack(spark.table(name), "window_start"), "window_start")
+    keep = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
+    out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return S.cardinality(S.unpack(spark.read.parquet(f"{folder}/out"), "window_start"), "window_start")
