@@ -137,7 +137,7 @@ def _filter_pairs(similarity: float):
 
 
 def _prefixes(frequent: dict[int, int]):
-    """(rep, token): the postings of each representative."""
+    """(rep, token, mask): the postings of each representative, and a bit for each coordinate posted."""
     tokens = np.array(sorted(frequent), dtype=np.int64)
     counts = np.array([frequent[t] for t in tokens.tolist()], dtype=np.int64)
 
@@ -154,15 +154,20 @@ def _prefixes(frequent: dict[int, int]):
             by_hash = np.argsort(mix(token.view(np.uint64)), axis=1)
             order = np.take_along_axis(by_hash, np.argsort(np.take_along_axis(often, by_hash, 1), axis=1, kind="stable"), 1)[:, :PREFIX]
             posted = np.take_along_axis(token, order, 1)
+            mask = (1 << order).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(batch.column(0)), PREFIX)), pa.array(posted.ravel())], ["rep", "token"]
+                [pa.array(np.repeat(np.array(batch.column(0)), PREFIX)), pa.array(posted.ravel()), pa.array(np.repeat(mask, PREFIX))], ["rep", "token", "mask"]
             )
 
     return run
 
 
 def _cells(similarity: float):
-    """Pairs of different components in a cell that share enough coordinates and may be similar enough."""
+    """Pairs of different components in a cell that share enough coordinates and may be similar enough.
+
+    A pair meets in every list that both are posted in; it counts in the one of
+    the lowest coordinate.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         out_a, out_b = [], []
@@ -170,10 +175,14 @@ def _cells(similarity: float):
             rep, comp, side, n = (np.array(t[c]) for c in ("rep", "comp", "side", "n_shingles"))
             sig = np.array(t["sig"].combine_chunks().flatten()).reshape(-1, NARROW)
             held = _rows(t["bins"], BINS)
+            posted = np.array(t["mask"])[:, None] >> np.arange(NARROW) & 1 == 1
+            here = t["token"][0].as_py() >> 32
             right = np.flatnonzero(side != 0)
             for i in np.flatnonzero(side != 1):
                 other = right[comp[right] != comp[i]]
-                other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
+                same = sig[other] == sig[i]
+                first = (same & posted[other] & posted[i]).argmax(axis=1)
+                other = other[(same.sum(axis=1) >= AGREE) & (first == here)]
                 for j in other[may_link(held[other], held[i], n[other], n[i], similarity)]:
                     out_a.append(min(rep[i], rep[j]))
                     out_b.append(max(rep[i], rep[j]))
@@ -231,7 +240,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
         .collect()
     )
     posts = materialize(
-        reps.select("rep", "sig").mapInArrow(_prefixes({r["token"]: r["count"] for r in frequent}), "rep long, token long"),
+        reps.select("rep", "sig").mapInArrow(_prefixes({r["token"]: r["count"] for r in frequent}), "rep long, token long, mask int"),
         "near-posts",
     )
     lists = materialize(
@@ -264,7 +273,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     member = member.join(open_lists.select("token", "main", "all"), "token").withColumn(
         "is_main", F.col("comp") == F.col("main")
     )
-    member = materialize(member.select("token", "rep", "comp", "is_main", "all"), "near-open-members")
+    member = materialize(member.select("token", "rep", "mask", "comp", "is_main", "all"), "near-open-members")
     rest = materialize(member.groupBy("token").agg(F.sum((~F.col("is_main")).cast("long")).alias("n_rest")), "near-rest")
     member = member.join(rest, "token").join(reps.select("rep", "n_shingles", "sig", "bins"), "rep")
     rest_cells = F.ceil(F.col("n_rest") / CELL).cast("int")
@@ -288,8 +297,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     )
     cells = (
         member.withColumn("own", own)
-        .select("token", "rep", "comp", "n_shingles", "sig", "bins", F.explode(F.when(F.col("is_main"), as_main).otherwise(as_rest)).alias("c"))
-        .select("token", "rep", "comp", "n_shingles", "sig", "bins", "c.x", "c.y", "c.side")
+        .select("token", "rep", "mask", "comp", "n_shingles", "sig", "bins", F.explode(F.when(F.col("is_main"), as_main).otherwise(as_rest)).alias("c"))
+        .select("token", "rep", "mask", "comp", "n_shingles", "sig", "bins", "c.x", "c.y", "c.side")
     )
     found = cells.groupBy("token", "x", "y").applyInArrow(_cells(similarity), "a long, b long").distinct()
     second = materialize(found.join(first, ["a", "b"], "left_anti"), "near-pairs")
