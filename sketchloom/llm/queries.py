@@ -70,6 +70,26 @@ QUERIES = {
     for f in (op1_top_k, op2_exact_dedup, op3_toxicity, op4_quality, op5_licenses, op6_sharding, op7_packing, op8_minhash, op9_pii, op10_bpe)
 }
 
+
+def _draw(names: list[str], level: str, weight: float) -> str:
+    """The draws of a tree's children, as SQL expressions."""
+    return ", ".join(f"-ln((('0x' || substr(md5('{level}/{n}/' || k), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / {weight}::DOUBLE" for n in names)
+
+
+def _first_smaller(names: list[str], level: str) -> str:
+    a, b = (_draw([n], level, 1.0) for n in names)
+    return f"{a} <= {b}"
+
+
+def _region_sql(g: int) -> str:
+    def rack(r: int) -> str:
+        return f"CASE WHEN {_first_smaller([f'{g}.{r}.0', f'{g}.{r}.1'], 'shard')} THEN {4 * g + 2 * r} ELSE {4 * g + 2 * r + 1} END"
+
+    return f"CASE WHEN {_first_smaller([f'{g}.0', f'{g}.1'], 'rack')} THEN {rack(0)} ELSE {rack(1)} END"
+
+
+_TREE_SQL = f"CASE WHEN {_first_smaller(['0', '1'], 'region')} THEN {_region_sql(0)} ELSE {_region_sql(1)} END"
+
 #: SQL for DuckDB, where SQL can express the operator.
 ORACLES = {
     "op1_top_k": """
@@ -90,6 +110,31 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-    "op9_pii": None,
+    "op6_sharding": f"""
+        WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+        t AS (SELECT list(v ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(list_prepend(b::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+            FROM (SELECT unnest(range(256)) AS b))),
+        c AS (SELECT doc_id, k, len(hx) // 2 + 1 AS size,
+            xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len(hx) // 2), lambda i: ('0x' || substr(hx, (2*i+1)::INT, 2))::UBIGINT)),
+                lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255)::INT + 1])))::BIGINT AS text_crc32
+            FROM d CROSS JOIN t),
+        s AS (SELECT doc_id, size, text_crc32, {_TREE_SQL} AS shard, {_draw(["2"], "region", 1.0)} AS fresh,
+            least({_draw(["0", "1"], "region", 4.0)}) AS old FROM c)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+               CASE WHEN fresh < old THEN 8 ELSE shard END AS grown_shard FROM s""",
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+        c AS (SELECT id, min(root) AS c FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
