@@ -70,9 +70,21 @@ def posteriors(pairs_at: DataFrame, entity_card: str = "card_ab", universe: str
     return pairs_at.withColumn("posterior", E.ratio(F.col(entity_card), F.col(universe)))
 
 
-def verdict(flux: Column, dp: Column) -> Column:
-    """Whether a state grew while an entity's probability rose, fell or stood."""
-    return (
-        F.when((flux > 1) & (dp > 0.02), "both grow").when((flux < -1) & (dp < -0.02), "both shrink")
-        .when((flux > 1) & (dp < -0.02), "state grows, belief falls").when((flux < -1) & (dp > 0.02), "state shrinks, belief rises").otherwise("aligned")
+def interpretation(flux: Column, dp: Column) -> tuple[Column, Column, Column]:
+    """Verdicts on a change by flux and by probability, and how the two stand to each other."""
+    by_flux = F.when(flux > 1, "growth").when(flux < -1, "decay").otherwise("balanced")
+    by_belief = F.when(dp > 0.02, "strengthened").when(dp < -0.02, "weakened").otherwise("stable")
+    up = F.when(flux > 1, 1).when(flux < -1, -1).otherwise(0)
+    rise = F.when(dp > 0.02, 1).when(dp < -0.02, -1).otherwise(0)
+    note = (
+        F.when(up == rise, "agreement").when((up > 0) & (rise < 0), "dilution").when((up < 0) & (rise > 0), "concentration")
+        .when(up == 0, "hidden shift").otherwise("divergence")
     )
+    return by_flux, by_belief, note
+
+
+def field_energy(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: the energy of a random field over (p_a) nodes and (mi) edges."""
+    own = nodes.agg(F.sum(F.when(F.col("p_a") > 0, -F.log("p_a")).otherwise(0.0)).alias("own"))
+    shared = links.agg(F.coalesce(F.sum("mi"), F.lit(0.0)).alias("shared"))
+    return own.crossJoin(shared).select((F.col("own") - F.col("shared")).alias("energy"))

@@ -23,6 +23,19 @@ def edges(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
     )
 
 
+def from_graph(graph: DataFrame) -> DataFrame:
+    """(parent, child) of a morphism graph (a, b): what a maps to is its parent."""
+    return graph.select(F.col("b").alias("parent"), F.col("a").alias("child")).distinct()
+
+
+def structure(net: DataFrame) -> DataFrame:
+    """(nodes, edges, roots, leaves)."""
+    n = net.select(F.col("parent").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(net.select("child", F.lit(0), F.lit(1)))
+    per = n.groupBy("n").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    counts = per.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("down") == 0).alias("roots"), F.count_if(F.col("up") == 0).alias("leaves"))
+    return counts.crossJoin(net.agg(F.count(F.lit(1)).alias("edges"))).select("nodes", "edges", "roots", "leaves")
+
+
 def blankets(net: DataFrame) -> DataFrame:
     """(node, parents, children, coparents), each a sorted array."""
     up = net.groupBy(F.col("child").alias("node")).agg(F.array_sort(F.collect_set("parent")).alias("parents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,8 +30,8 @@ def expand(query: DataFrame, levels: DataFrame, scored: DataFrame, key: str, tau
     return S.union(query.select("reg", "zeros"), levels.join(keep, key, "left_semi").select("reg", "zeros"))
 
 
-def collect_context(query: DataFrame, levels: DataFrame, time: str, tau: float = 0.3, temperature: float = 0.0, max_depth: int = 10, p: int = H.P_BITS) -> DataFrame:
-    """(depth, time, tau, rho, accepted, flux, stopped): walk back in time, newest level first.
+def collect_context(query: DataFrame, levels: DataFrame, time: str, tau: float = 0.3, temperature: float = 0.0, max_depth: int = 10, p: int = H.P_BITS, accept: Column | None = None) -> DataFrame:
+    """(depth, time, tau, rho, accepted, flux, stops_here): walk back in time, newest level first.
 
     A level is accepted if it covers enough of the query or shares anything with
     it; its flux is what the context gains.  The walk stops after three fluxes
@@ -47,7 +47,8 @@ def collect_context(query: DataFrame, levels: DataFrame, time: str, tau: float =
     size = float((S.cardinality(query.select("reg", "zeros"), p=p).first() or {"card": 0.0})["card"])
     seen = g.select("depth", time, E.ht_estimate(m, "l").alias("level_card"), E.ht_estimate(m, "o").alias("overlap"))
     seen = seen.withColumn("tau", E.ratio(F.col("overlap"), F.lit(size))).withColumn("rho", 1 - E.ratio(F.col("overlap"), F.col("level_card")))
-    seen = seen.withColumn("accepted", (F.col("level_card") >= 1) & ((F.col("tau") >= tau * (1 - temperature)) | (F.col("overlap") >= 1)))
+    ok = (F.col("tau") >= tau * (1 - temperature)) | (F.col("overlap") >= 1)
+    seen = seen.withColumn("accepted", (F.col("level_card") >= 1) & ok & (F.lit(True) if accept is None else accept))
     taken = rows.join(seen.where("accepted").select("depth"), "depth", "left_semi").where("q IS NULL")
     first = taken.groupBy("reg", "zeros").agg(F.min("depth").alias("depth")).groupBy("depth", "zeros").agg(F.count(F.lit(1)).alias("n"))
     own = query.groupBy("zeros").agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).alias("depth"), "zeros", "n")
@@ -63,6 +64,17 @@ def collect_context(query: DataFrame, levels: DataFrame, time: str, tau: float =
     return out.withColumn("stopped", F.coalesce(F.max("still").over(before), F.lit(False))).where("NOT stopped").select("depth", time, "tau", "rho", "accepted", "flux", F.col("still").alias("stops_here"))
 
 
+def forward(query: DataFrame, levels: DataFrame, time: str, tau: float = 0.3, rho: float = 0.7, temperature: float = 0.0, max_depth: int = 10) -> DataFrame:
+    """``collect_context`` with the choice of single-pass retrieval.
+
+    A warm search takes every level that qualifies, a cold one those that cover
+    half the query; a level that covers little and holds much else is refused.
+    """
+    choose = F.lit(True) if temperature > 0.4 else F.col("tau") > 0.5
+    veto = (F.col("tau") < 0.3) & (F.col("rho") > rho)
+    return collect_context(query, levels, time, tau, temperature, max_depth, accept=choose & ~veto)
+
+
 def chain(pairs: DataFrame, least: float = 0.01) -> DataFrame:
     """(a, b, p): transitions by tau(a -> b), normalised over all b, the small ones dropped."""
     t = pairs.where("a <> b").withColumn("tau", E.tau(F.col("card_ab"), F.col("card_b"))).where("tau > 0")

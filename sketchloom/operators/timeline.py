@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -194,12 +194,26 @@ def recurrence(long: DataFrame, time: str, threshold: float = 0.1, p: int = H.P_
     return shared.select("step", distance.alias("distance")).where(F.col("distance") < threshold).orderBy("step")
 
 
-def action(current_card: Column, cost: Column, mode: str = "direct") -> Column:
-    """How much of a plan to carry out now: all of it, or at most a fifth of the state."""
-    if mode == "direct":
-        return cost
-    share = {"incremental": 0.2, "conservative": 0.1}[mode]
-    return F.least(cost, F.greatest(F.lit(1.0), current_card * share))
+def steering(pairs: DataFrame, step: float = 0.2, near: float = 0.95) -> DataFrame:
+    """What it takes to get from a to b: (a, b, tau, rho, at_target, direct, incremental, conservative).
+
+    Direct changes everything, incremental at most a share of the current state,
+    conservative only adds.
+    """
+    d = pairs.withColumn("tau", E.tau(F.col("card_ab"), F.col("card_b"))).withColumn("rho", E.rho(F.col("card_a_not_b"), F.col("card_b")))
+    total = F.col("card_a_not_b") + F.col("card_b_not_a")
+    there = (F.col("tau") >= near) & (F.col("rho") < 0.1)
+    cost = lambda c: F.when(F.col("at_target"), 0.0).otherwise(c)
+    return d.withColumn("at_target", there).select(
+        "a", "b", "tau", "rho", "at_target", cost(total).alias("direct"), cost(F.least(total, F.col("card_a") * step)).alias("incremental"), cost(F.col("card_b_not_a")).alias("conservative")
+    )
+
+
+def recover_tokens(before: DataFrame, after: DataFrame, lut: DataFrame) -> DataFrame:
+    """(component, token): what a token table knows about what went, stayed and came."""
+    a, b = before.select("reg", "zeros", F.lit(1).alias("old")), after.select("reg", "zeros", F.lit(1).alias("new"))
+    parts = a.join(b, ["reg", "zeros"], "full").withColumn("component", F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "novel").otherwise("retained"))
+    return parts.join(lut.select("reg", "zeros", F.explode("ngrams").alias("token")), ["reg", "zeros"]).select("component", "token").distinct()
 
 
 def evolution_path(edges: DataFrame) -> list:

@@ -177,3 +177,24 @@ def coverage_novelty(sketches: DataFrame, universe: DataFrame, key: str, p: int
         F.when(total > 0, F.least(one, E.ht_estimate(m, "i") / total)).otherwise(0.0).alias("coverage"),
         F.when(E.ht_estimate(m, "a") > 0, F.least(one, E.ht_estimate(m, "o") / E.ht_estimate(m, "a"))).otherwise(0.0).alias("novelty"),
     )
+
+
+def snapshot(packed: DataFrame) -> DataFrame:
+    """(snapshot, layers): the address of a registry's layers (layer, bitmap) together."""
+    ordered = F.array_sort(F.collect_list(F.struct("layer", F.hex("bitmap").alias("x"))))
+    return packed.agg(F.sha1(F.unhex(F.array_join(F.transform(ordered, lambda s: s["x"]), ""))).alias("snapshot"), F.count(F.lit(1)).alias("layers"))
+
+
+def merge_registries(a: DataFrame, b: DataFrame) -> DataFrame:
+    return S.merge(a.select("layer", "bitmap").unionByName(b.select("layer", "bitmap")), "layer")
+
+
+def staged(lut: DataFrame, positions: DataFrame, stages: list[tuple[str, int | None, Column | None]]) -> DataFrame:
+    """(stage, layer, reg, zeros, ngrams): candidates under each stage's layer and condition."""
+    out = None
+    for name, layer, condition in stages:
+        found = lookup(lut, positions, layer)
+        found = found if condition is None else found.where(condition)
+        one = found.select(F.lit(name).alias("stage"), "layer", "reg", "zeros", "ngrams")
+        out = one if out is None else out.unionByName(one)
+    return out

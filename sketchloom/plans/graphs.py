@@ -15,6 +15,7 @@ from ..operators import ring as G
 from ..operators import sketch as S
 from ..operators import store as X
 from ..operators import tokens as K
+from ..operators import transaction as Y
 from ..sources import tables as T
 from ..streaming import session as Z
 from . import oracle as O
@@ -165,6 +166,14 @@ def q_w_diff(spark, sf_dir):
     return G.snapshot_diff(both.select("day", F.col("old").alias("ids")), both.select("day", "ids"), "day")
 
 
+@query()
+def q_transaction(spark, sf_dir):
+    """Days' users ingested into a draft: ranks, then the committed union's name."""
+    draft = Y.Transaction().ingest(T.day_users(spark, sf_dir).withColumnRenamed("day", "batch"))
+    ranks = draft.ranks().agg(F.max("rank").alias("rank"), F.sum("rank_delta").cast("long").alias("bases"), F.count(F.lit(1)).alias("batches"))
+    return ranks.crossJoin(draft.commit().select("name", F.bitmap_count("bitmap").alias("bits")))
+
+
 def _entries(spark, sf_dir):
     nation = T.read(spark, sf_dir, "nation").select(F.col("n_name").alias("set_id"), "n_nationkey", "n_regionkey")
     cards = S.cardinality(S.long_form(T.nation_parts(spark, sf_dir), "token", "set_id"), "set_id")
@@ -282,6 +291,16 @@ def q_collect_context(spark, sf_dir):
     return R.collect_context(long.where(F.col("day") == first).select("reg", "zeros"), long, "day")
 
 
+_COLD = "overlap >= 1) AND overlap/qcard > 0.5 AND NOT (overlap/qcard < 0.3 AND 1 - overlap/level_card > 0.7) AS accepted"
+
+
+@query(f"{_CONTEXT} SELECT depth, day, tau, rho, accepted, flux, still AS stops_here FROM s JOIN t USING (depth) JOIN dp USING (depth) WHERE NOT stopped".replace("overlap >= 1) AS accepted", _COLD))
+def q_forward(spark, sf_dir):
+    long = _days(spark, sf_dir)
+    first = long.agg(F.min("day")).first()[0]
+    return R.forward(long.where(F.col("day") == first).select("reg", "zeros"), long, "day")
+
+
 @query(f"""WITH {_DAYS}, {O.pairs_cte('lf', key='day')}, t AS (SELECT a, b, {O.TAU} AS tau FROM ps WHERE a <> b), n AS (SELECT a, b, tau, tau/sum(tau) OVER (PARTITION BY a) AS p FROM t WHERE tau > 0) SELECT a, b, tau, p FROM n WHERE p >= 0.03""")
 def q_retrieval_chain(spark, sf_dir):
     return R.chain(P.overlaps(_days(spark, sf_dir), key="day"), 0.03)

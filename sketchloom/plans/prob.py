@@ -227,3 +227,51 @@ def q_mrf_edges(spark, sf_dir):
     p = [F.col(c) for c in ("p_a", "p_b", "p_ab")]
     mi = B.mutual_information(*p)
     return _priors(spark, sf_dir).where("a < b").where(mi > 0.01).select("a", "b", F.round(F.exp(mi), 6).alias("potential"))
+
+
+@query(f"""{_PRIORS}, e AS (SELECT a, b, {_mi_sql()} AS mi FROM pr WHERE a < b) SELECT round((SELECT sum(CASE WHEN p_a > 0 THEN -ln(p_a) ELSE 0.0 END) FROM pr WHERE a = b) - coalesce((SELECT sum(mi) FROM e WHERE mi > 0.01), 0), 6) AS energy""")
+def q_mrf_energy(spark, sf_dir):
+    p = [F.col(c) for c in ("p_a", "p_b", "p_ab")]
+    pr = _priors(spark, sf_dir)
+    links = pr.where("a < b").select(B.mutual_information(*p).alias("mi")).where("mi > 0.01")
+    return B.field_energy(pr.where("a = b"), links).select(F.round("energy", 6).alias("energy"))
+
+
+@query(f"""{_PAIRS}, d AS (SELECT a, b, {O.TAU} AS tau, {O.RHO} AS rho FROM ps), g AS (SELECT DISTINCT b AS parent, a AS child FROM d WHERE a <> b AND tau >= 0.5 AND rho <= 0.45),
+n AS (SELECT n, max(up) AS up, max(down) AS down FROM (SELECT parent AS n, 1 AS up, 0 AS down FROM g UNION ALL SELECT child, 0, 1 FROM g) GROUP BY n)
+SELECT count(*) AS nodes, (SELECT count(*) FROM g) AS edges, count(*) FILTER (down = 0) AS roots, count(*) FILTER (up = 0) AS leaves FROM n""")
+def q_bn_from_graph(spark, sf_dir):
+    return N.structure(N.from_graph(P.morphism_graph(P.overlaps(_long(spark, sf_dir)), 0.5, 0.45)))
+
+
+_DAY_STATES = f"""WITH {O.long_cte(DAY_USERS, 'day')}, f AS (SELECT reg, zeros, min(day) AS seen FROM lf GROUP BY ALL), cl AS (SELECT d.day AS set_id, reg, zeros FROM (SELECT DISTINCT day FROM lf) d JOIN f ON f.seen <= d.day)"""
+
+
+def _day_states(spark, sf_dir):
+    long = S.long_form(T.day_users(spark, sf_dir), "token", "day")
+    return long, long.select("day").distinct().join(S.first_seen(long, "day"), F.col("seen") <= F.col("day")).select(F.col("day").alias("set_id"), "reg", "zeros")
+
+
+@query(f"""{_DAY_STATES}, {O.pairs_cte('cl')}, raw AS (SELECT a AS i, b AS j, CASE WHEN a <> b AND card_a > 0 THEN least(1.0, card_ab/card_a) ELSE 0.0 END AS raw FROM ps)
+SELECT i, j, round(CASE WHEN sum(raw) OVER (PARTITION BY i) > 0 THEN raw/sum(raw) OVER (PARTITION BY i) ELSE 0.0 END, 9) AS p FROM raw""")
+def q_markov_lattice(spark, sf_dir):
+    """The chain over the timeline's cumulative states."""
+    return K.transition(P.overlaps(_day_states(spark, sf_dir)[1])).select("i", "j", F.round("p", 9).alias("p"))
+
+
+@query(f"""{_DAY_STATES}, {O.cards_cte('cl', 'set_id', 'uc', 'u')}, {O.cards_cte('lf', 'day', 'dc', 'own')}, x AS (SELECT set_id AS day, u, own, (SELECT own FROM dc ORDER BY day LIMIT 1) AS entity FROM uc JOIN dc ON dc.day = set_id),
+y AS (SELECT day, own - lag(own) OVER (ORDER BY day) AS flux, entity/u - lag(entity/u) OVER (ORDER BY day) AS dp FROM x)
+SELECT day, flux, round(dp, 9) AS dp, CASE WHEN flux > 1 THEN 'growth' WHEN flux < -1 THEN 'decay' ELSE 'balanced' END AS by_flux, CASE WHEN dp > 0.02 THEN 'strengthened' WHEN dp < -0.02 THEN 'weakened' ELSE 'stable' END AS by_belief,
+CASE WHEN (CASE WHEN flux > 1 THEN 1 WHEN flux < -1 THEN -1 ELSE 0 END) = (CASE WHEN dp > 0.02 THEN 1 WHEN dp < -0.02 THEN -1 ELSE 0 END) THEN 'agreement' WHEN flux > 1 AND dp < -0.02 THEN 'dilution' WHEN flux < -1 AND dp > 0.02 THEN 'concentration' WHEN abs(flux) <= 1 THEN 'hidden shift' ELSE 'divergence' END AS note FROM y WHERE flux IS NOT NULL""")
+def q_interpretation(spark, sf_dir):
+    """The first day's users as the entity: what a day's change means by flux and by probability."""
+    from pyspark.sql import Window as W
+
+    long, states = _day_states(spark, sf_dir)
+    own = S.cardinality(long, "day").withColumnRenamed("card", "own")
+    u = S.cardinality(states, "set_id").select(F.col("set_id").alias("day"), F.col("card").alias("u"))
+    w = W.orderBy("day")
+    rows = own.join(u, "day").withColumn("entity", F.first("own").over(w))
+    rows = rows.select("day", (F.col("own") - F.lag("own").over(w)).alias("flux"), (F.col("entity") / F.col("u") - F.lag(F.col("entity") / F.col("u")).over(w)).alias("dp")).where("flux IS NOT NULL")
+    a, b, note = B.interpretation(F.col("flux"), F.col("dp"))
+    return rows.select("day", "flux", F.round("dp", 9).alias("dp"), a.alias("by_flux"), b.alias("by_belief"), note.alias("note"))

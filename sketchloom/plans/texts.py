@@ -154,3 +154,25 @@ def q_contamination(spark, sf_dir):
     b, u = S.long_form(items, "token", "item_id"), S.long_form(docs, "token", "lang")
     found = b.join(u, ["reg", "zeros"]).groupBy("item_id", "lang").agg(F.count(F.lit(1)).alias("bits_found"))
     return found.join(b.groupBy("item_id").agg(F.count(F.lit(1)).alias("bits")), "item_id")
+
+
+@query(f"""WITH {_BENCH}, lf AS (SELECT DISTINCT layer, reg, zeros FROM ng JOIN p ON p.token = ng.ngram WHERE zeros IS NOT NULL),
+b AS (SELECT layer, (reg*32+zeros)//8 AS i, sum(1::BIGINT << ((reg*32+zeros)%8)) AS v FROM lf GROUP BY ALL), f AS (SELECT l.layer, range AS i, coalesce(v, 0)::INT AS v FROM (SELECT DISTINCT layer FROM lf) l CROSS JOIN range({O.M * 4}) LEFT JOIN b ON b.layer = l.layer AND b.i = range)
+SELECT sha1(unhex(string_agg(printf('%02x', v), '' ORDER BY layer, i))) AS snapshot, count(DISTINCT layer) AS layers FROM f""")
+def q_registry_snapshot(spark, sf_dir):
+    """Merging a registry with itself leaves it as it is."""
+    packed = S.build(_ngrams(spark, sf_dir, "benchmark", "item_id"), "ngram", "layer")
+    return K.snapshot(K.merge_registries(packed, packed))
+
+
+@query(f"""WITH {_LUT}, {_ITEM} SELECT 'unigrams' AS stage, layer, reg, zeros, ngrams FROM lut JOIN q USING (reg, zeros) WHERE layer = 0
+UNION ALL SELECT 'repeated', layer, reg, zeros, ngrams FROM lut JOIN q USING (reg, zeros) WHERE tf >= 2""")
+def q_disambiguation_stages(spark, sf_dir):
+    return K.staged(_lut(spark, sf_dir), _first_item(spark, sf_dir), [("unigrams", 0, None), ("repeated", None, F.col("tf") >= 2)])
+
+
+@query(f"""{_TRIANGULATE}, z AS (SELECT *, CASE WHEN len(al) = 1 THEN 'exact' WHEN nl > 1 AND len(na) > 0 THEN 'triangulated' ELSE 'best_guess' END AS method FROM m WHERE len(al) > 0),
+r AS (SELECT unnest(CASE WHEN method = 'triangulated' THEN na ELSE al END) AS token, method FROM z)
+SELECT token, count(*) AS positions, max((method = 'exact')::INT) AS exact FROM r GROUP BY token ORDER BY positions DESC, token LIMIT 10""")
+def q_ranked_tokens(spark, sf_dir):
+    return K.ranked_tokens(K.disambiguate(_lut(spark, sf_dir), _first_item(spark, sf_dir)), 10)

@@ -8,6 +8,7 @@ from ..functions import hashing as H
 from ..operators import pairs as P
 from ..operators import sketch as S
 from ..operators import timeline as L
+from ..operators import tokens as K
 from ..sources import tables as T
 from . import oracle as O
 from .registry import DAY_TYPE_USERS, DAY_USERS, query
@@ -166,3 +167,21 @@ def q_cheapest_path(spark, sf_dir):
     ends = edges.agg(F.min("a"), F.max("a")).first()
     found = L.cheapest_path(edges, ends[0], ends[1]) if ends[0] else None
     return spark.createDataFrame([(i, d) for i, d in enumerate(found[0])] if found else [], "place int, day string")
+
+
+@query(f"""WITH {_DAYS}, {O.pairs_cte('lf', key='day')}, d AS (SELECT *, {O.TAU} AS tau, {O.RHO} AS rho FROM ps WHERE a <> b), z AS (SELECT *, tau >= 0.95 AND rho < 0.1 AS at_target FROM d)
+SELECT a, b, tau, rho, at_target, CASE WHEN at_target THEN 0.0 ELSE card_a_not_b + card_b_not_a END AS direct, CASE WHEN at_target THEN 0.0 ELSE least(card_a_not_b + card_b_not_a, card_a*0.2::DOUBLE) END AS incremental, CASE WHEN at_target THEN 0.0 ELSE card_b_not_a END AS conservative FROM z""")
+def q_steering(spark, sf_dir):
+    return L.steering(P.overlaps(_long(spark, sf_dir), key="day").where("a <> b"))
+
+
+@query(f"""WITH {_DAYS}, ends AS (SELECT min(day) AS a, max(day) AS b FROM lf), x AS (SELECT reg, zeros FROM lf JOIN ends ON day = a), y AS (SELECT reg, zeros FROM lf JOIN ends ON day = b),
+c AS (SELECT coalesce(x.reg, y.reg) AS reg, coalesce(x.zeros, y.zeros) AS zeros, CASE WHEN y.reg IS NULL THEN 'deleted' WHEN x.reg IS NULL THEN 'novel' ELSE 'retained' END AS component FROM x FULL JOIN y ON x.reg = y.reg AND x.zeros = y.zeros)
+SELECT DISTINCT component, token FROM c JOIN p USING (reg, zeros)""")
+def q_drn_tokens(spark, sf_dir):
+    """Users that went, stayed and came between the first and the last day, out of the token table."""
+    long = _long(spark, sf_dir)
+    first, last = long.agg(F.min("day"), F.max("day")).first()
+    lut = K.build_lut(T.day_users(spark, sf_dir).select(F.lit(0).alias("layer"), F.col("token").alias("ngram")))
+    at = lambda d: long.where(F.col("day") == d).select("reg", "zeros")
+    return L.recover_tokens(at(first), at(last), lut)
