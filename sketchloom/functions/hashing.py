@@ -158,9 +158,9 @@ def zeros_of(h: Column, p: int = P_BITS) -> Column:
     return F.when(z < BITS, z)
 
 
-def content_key(tokens: Column) -> Column:
-    """Address of a token set: hash of its sorted distinct tokens."""
-    return F.concat(F.lit("hllset:"), F.sha1(F.array_join(F.array_sort(F.array_distinct(tokens)), "\u0000")))
+def content_key(tokens: Column, prefix: str = "set:") -> Column:
+    """Address of a token set: a prefix and the hash of its sorted distinct tokens."""
+    return F.concat(F.lit(prefix), F.sha1(F.array_join(F.array_sort(F.array_distinct(tokens)), "\u0000")))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

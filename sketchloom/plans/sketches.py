@@ -43,7 +43,7 @@ def q_hash_sha(spark, sf_dir):
 
 
 @query(f"""WITH tk AS ({BRAND_WORDS}), g AS (SELECT set_id, list_sort(list_distinct(list(token))) AS tokens FROM tk GROUP BY set_id)
-SELECT set_id, 'hllset:' || sha1(array_to_string(tokens, chr(0))) AS content_key FROM g""")
+SELECT set_id, 'set:' || sha1(array_to_string(tokens, chr(0))) AS content_key FROM g""")
 def q_content_key(spark, sf_dir):
     sets = T.brand_words(spark, sf_dir).groupBy("set_id").agg(F.collect_set("token").alias("tokens"))
     return sets.select("set_id", H.content_key(F.col("tokens")).alias("content_key"))

@@ -192,3 +192,34 @@ def test_registered_queries_have_matching_names():
     from sketchloom.catalog import FLAGSHIP, ORACLES, QUERIES
 
     assert FLAGSHIP in QUERIES and set(ORACLES) <= set(QUERIES)
+
+
+def test_transaction_phases(spark):
+    import pytest
+
+    from sketchloom.operators.transaction import Transaction
+
+    rows = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), ("2", "c"), ("3", "a"), ("3", "c")], "batch string, token string")
+    draft = Transaction().ingest(rows)
+    assert [(r["batch"], r["rank"]) for r in draft.ranks().orderBy("batch").collect()] == [("1", 1), ("2", 2), ("3", 2)]
+    q = S.long_form(spark.createDataFrame([("a",), ("zzz",)], "token string"), "token")
+    assert draft.orphans(q).count() == 1 and {r["batch"] for r in draft.search(q).collect()} == {"1", "3"}
+    assert draft.search(q, least=10).count() == 0 and draft.batch_ids().count() == 3
+    assert S.unpack(draft.from_bases()).count() == S.unpack(draft.commit()).count() == 3
+    with pytest.raises(RuntimeError):
+        draft.rollback()
+    other = Transaction().ingest(rows)
+    other.rollback()
+    with pytest.raises(RuntimeError):
+        other.rows()
+
+
+def test_steering_and_recovered_tokens(spark):
+    long = long_of(spark, {"a": "abcd", "b": "cdef"})
+    r = T.steering(P.overlaps(long)).where("a = 'a' AND b = 'b'").first()
+    assert (r["direct"], r["incremental"], r["conservative"], r["at_target"]) == (4, 0.8, 2, False)
+    assert T.steering(P.overlaps(long)).where("a = b AND NOT at_target").count() == 0
+    lut = Q.build_lut(spark.createDataFrame([(0, c) for c in "abcdef"], "layer int, ngram string"))
+    at = lambda k: long.where(F.col("set_id") == k)
+    got = {(r["component"], r["token"]) for r in T.recover_tokens(at("a"), at("b"), lut).collect()}
+    assert got == {("deleted", "a"), ("deleted", "b"), ("retained", "c"), ("retained", "d"), ("novel", "e"), ("novel", "f")}
