@@ -23,18 +23,19 @@ P_BITS = 10
 BITS = 32
 
 
-def murmur64a_numpy(tokens: pa.Array, seed: int = SEED) -> np.ndarray:
-    """Signed 64-bit hashes of an Arrow array of strings; nulls hash as empty."""
-    tokens = tokens.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
-    data = np.frombuffer(tokens.buffers()[2] or b"", dtype=np.uint8)
-    start, n = offsets[:-1], np.diff(offsets)
+def murmur64a_spans(data: np.ndarray, start: np.ndarray, n: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Signed 64-bit hashes of the stretches of ``data`` (bytes) of the given starts and lengths."""
     m, r = np.uint64(M), np.uint64(SHIFT)
     h = np.uint64(seed) ^ (n.astype(np.uint64) * m)
-    for blocks in np.unique(n // 8).tolist():
-        rows = np.flatnonzero(n // 8 == blocks)
+    order = np.argsort(n // 8, kind="stable")
+    counts = np.bincount(n // 8) if len(n) else np.empty(0, np.int64)
+    done = 0
+    for blocks in np.flatnonzero(counts).tolist():
+        rows = order[done : done + counts[blocks]]
+        done += counts[blocks]
         width = 8 * (blocks + 1)
-        for part in np.array_split(rows, max(1, len(rows) * width // 8_000_000 + 1)):
+        for i in range(0, len(rows), max(1, 4_000_000 // width)):
+            part = rows[i : i + max(1, 4_000_000 // width)]
             at = start[part][:, None] + np.arange(width)
             inside = np.arange(width) < n[part][:, None]
             padded = np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8) if len(data) else np.zeros(at.shape, np.uint8)
@@ -44,13 +45,28 @@ def murmur64a_numpy(tokens: pa.Array, seed: int = SEED) -> np.ndarray:
                 k = words[:, b] * m
                 k = (k ^ (k >> r)) * m
                 acc = (acc ^ k) * m
-            tail = n[part] % 8 > 0
-            acc = np.where(tail, (acc ^ words[:, blocks]) * m, acc)
-            h[part] = acc
+            h[part] = np.where(n[part] % 8 > 0, (acc ^ words[:, blocks]) * m, acc)
     h = (h ^ (h >> r)) * m
     return (h ^ (h >> r)).view(np.int64)
 
 
+def murmur64a_numpy(tokens: pa.Array, seed: int = SEED) -> np.ndarray:
+    """Signed 64-bit hashes of an Arrow array of strings; nulls hash as empty."""
+    tokens = tokens.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2] or b"", dtype=np.uint8)
+    return murmur64a_spans(data, offsets[:-1], np.diff(offsets), seed)
+
+
+def positions_numpy(h: np.ndarray, p: int = P_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """reg and zeros of signed hashes; zeros is BITS where no bit is recorded."""
+    u = h.view(np.uint64)
+    rest = u >> np.uint64(p)
+    lowest = rest & (~rest + np.uint64(1))
+    zeros = np.bitwise_count(lowest - np.uint64(1))  # 64 for a rest of 0
+    return (u & np.uint64(2**p - 1)).astype(np.int32), np.minimum(zeros, BITS).astype(np.int32)
+
+
 def _arrow_udf(seed: int):
     @F.arrow_udf("long")
     def murmur(tokens: pa.Array) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,48 @@ def ngram_rows(docs: DataFrame, tokens: str, *keys: str, max_n: int = LAYERS) ->
     return docs.select(*keys, F.explode(F.flatten(F.array(*[runs(n) for n in range(1, max_n + 1)]))).alias("x")).select(*keys, "x.layer", "x.ngram")
 
 
+def text_positions(docs: DataFrame, text: str, key: str | None = None, max_n: int = 1, lower: bool = False, p: int = H.P_BITS) -> DataFrame:
+    """(key?, layer, reg, zeros, n): positions of a text column's n-grams and how often each occurs.
+
+    Words, n-grams and hashes are found in one pass over the bytes of each Arrow
+    batch, and counted there by key, so what leaves a batch is bounded by the
+    bits of its keys and no n-gram becomes a row.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [(t.lower() if lower else t).encode("utf-8", "surrogatepass").split() for t in (x or "" for x in batch.column(0).to_pylist())]
+            words = np.array([len(w) for w in texts], dtype=np.int64)
+            data = np.frombuffer(b" ".join(w for t in texts for w in t), dtype=np.uint8)
+            lengths = np.fromiter((len(w) for t in texts for w in t), dtype=np.int64, count=int(words.sum()))
+            end = np.cumsum(lengths + 1) - 1
+            start, row = end - lengths, np.repeat(np.arange(len(texts)), words)
+            codes = batch.column(1).dictionary_encode() if key else None
+            group = np.array(codes.indices.fill_null(len(codes.dictionary)))[row] if key else np.zeros(len(row), dtype=np.int64)
+            out = []
+            for n in range(1, max_n + 1):
+                first = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :]) if len(row) >= n else np.empty(0, np.int64)
+                h = H.murmur64a_spans(data, start[first], end[first + n - 1] - start[first])
+                reg, zeros = H.positions_numpy(h, p)
+                ok = zeros < H.BITS
+                out.append((((group[first].astype(np.int64) * max_n + n - 1) << (p + 5)) | (reg.astype(np.int64) << 5) | zeros)[ok])
+            place, count = np.unique(np.concatenate(out), return_counts=True)
+            columns = [pa.array((place >> (p + 5)) % max_n, pa.int32()), pa.array((place >> 5) & (2**p - 1), pa.int32()), pa.array(place & 31, pa.int32()), pa.array(count, pa.int64())]
+            names = ["layer", "reg", "zeros", "n"]
+            if key:
+                which = pa.array((place >> (p + 5)) // max_n)
+                columns, names = [pa.concat_arrays([codes.dictionary, pa.nulls(1, codes.dictionary.type)]).take(which), *columns], [key, *names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = "layer int, reg int, zeros int, n long"
+    if key:
+        fields = f"{key} {dict(docs.dtypes)[key]}, {fields}"
+    rows = docs.select(F.col(text).alias("text"), *([key] if key else [])).mapInArrow(run, fields)
+    return rows.groupBy(*([key] if key else []), "layer", "reg", "zeros").agg(F.sum("n").alias("n"))
+
+
 def build_lut(ngrams: DataFrame, **options) -> DataFrame:
     """The token table: one row for each (layer, hash).
 

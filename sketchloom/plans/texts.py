@@ -51,9 +51,8 @@ def q_hash_document_words(spark, sf_dir):
 lf AS (SELECT DISTINCT layer, reg, zeros FROM ng JOIN p ON p.token = ng.ngram WHERE zeros IS NOT NULL), {O.cards_cte('lf', 'layer')},
 n AS (SELECT layer, count(*) AS occurrences FROM ng GROUP BY layer) SELECT layer, card, occurrences FROM card JOIN n USING (layer)""")
 def q_ngram_registry(spark, sf_dir):
-    """The universes of the documents' n-grams: the hash is per n-gram as it streams by."""
-    rows = S.positions(_ngrams(spark, sf_dir, "documents", "doc_id"), "ngram")
-    bits = rows.groupBy("layer", "reg", "zeros").agg(F.count(F.lit(1)).alias("n"))
+    """The universes of the documents' n-grams, counted as their bytes stream by."""
+    bits = K.text_positions(T.read(spark, sf_dir, "documents"), "text", max_n=3)
     card = S.cardinality(bits.select("layer", "reg", "zeros"), "layer")
     return card.join(bits.groupBy("layer").agg(F.sum("n").alias("occurrences")), "layer")
 
@@ -67,8 +66,8 @@ SELECT set_id, card.card, least(1.0::DOUBLE, coalesce(inside, 0)/us.card) AS cov
 FROM card LEFT JOIN ci USING (set_id) LEFT JOIN co USING (set_id) CROSS JOIN us""")
 def q_coverage_novelty(spark, sf_dir):
     """Each language's words against the English universe."""
-    docs = T.read(spark, sf_dir, "documents").select(F.col("lang").alias("set_id"), F.explode(H.words(F.col("text"))).alias("token"))
-    long = S.long_form(docs, "token", "set_id")
+    docs = T.read(spark, sf_dir, "documents").select(F.col("lang").alias("set_id"), "text")
+    long = K.text_positions(docs, "text", "set_id").select("set_id", "reg", "zeros")
     return K.coverage_novelty(long, long.where("set_id = 'en'").select("reg", "zeros"), "set_id")
 
 
@@ -150,8 +149,8 @@ SELECT item_id, lang, count(*) AS bits_found, any_value(n) AS bits FROM b JOIN (
 def q_contamination(spark, sf_dir):
     """Bits of each benchmark item's sketch found among each language's documents."""
     items = T.read(spark, sf_dir, "benchmark").select("item_id", F.explode(H.words(F.col("text"))).alias("token"))
-    docs = T.read(spark, sf_dir, "documents").select("lang", F.explode(H.words(F.col("text"))).alias("token"))
-    b, u = S.long_form(items, "token", "item_id"), S.long_form(docs, "token", "lang")
+    u = K.text_positions(T.read(spark, sf_dir, "documents"), "text", "lang").select("lang", "reg", "zeros")
+    b = S.long_form(items, "token", "item_id")
     found = b.join(u, ["reg", "zeros"]).groupBy("item_id", "lang").agg(F.count(F.lit(1)).alias("bits_found"))
     return found.join(b.groupBy("item_id").agg(F.count(F.lit(1)).alias("bits")), "item_id")
 

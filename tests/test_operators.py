@@ -223,3 +223,13 @@ def test_steering_and_recovered_tokens(spark):
     at = lambda k: long.where(F.col("set_id") == k)
     got = {(r["component"], r["token"]) for r in T.recover_tokens(at("a"), at("b"), lut).collect()}
     assert got == {("deleted", "a"), ("deleted", "b"), ("retained", "c"), ("retained", "d"), ("novel", "e"), ("novel", "f")}
+
+
+def test_text_positions_equal_exploded_ngrams(spark):
+    texts = [("en", "the quick  brown\nfox the quick"), ("en", "a"), ("de", "über straße über"), (None, "the quick"), ("de", None), ("de", "  ")]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    got = {tuple(r) for r in Q.text_positions(docs, "text", "lang", max_n=3).collect()}
+    rows = Q.ngram_rows(docs.where("text is not null").select("lang", H.words(F.col("text")).alias("w")), "w", "lang")
+    want = S.positions(rows, "ngram").groupBy("lang", "layer", "reg", "zeros").agg(F.count(F.lit(1)).alias("n"))
+    assert got == {tuple(r) for r in want.collect()}
+    assert Q.text_positions(docs.where("false"), "text").count() == 0
