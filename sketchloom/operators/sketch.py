@@ -51,8 +51,13 @@ def pack(long: DataFrame, *keys: str, p: int = H.P_BITS) -> DataFrame:
 
 
 def build(tokens: DataFrame, token: str, *keys: str, p: int = H.P_BITS, **options) -> DataFrame:
-    """Packed sketch of each key's tokens in one aggregation."""
-    return pack(positions(tokens.select(*keys, token), token, p=p, **options), *keys, p=p)
+    """Packed sketch of each key's tokens.
+
+    The bitmap aggregate sorts its input, so the bits are made distinct before:
+    that is a hash aggregation, combined before the shuffle, which leaves at
+    most 2^p * 32 rows a key however many tokens there are.
+    """
+    return pack(long_form(tokens, token, *keys, p=p, **options), *keys, p=p)
 
 
 def unpack(packed: DataFrame, *keys: str) -> DataFrame:
