@@ -236,7 +236,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
         .groupBy("token")
         .count()
         .where(F.col("count") >= least)
-        .limit(NARROW * FREQUENT)
+        .limit(NARROW * FREQUENT)  # no more can have that share: it never cuts
         .collect()
     )
     posts = materialize(
