@@ -146,3 +146,28 @@ def test_complement_is_an_involution(spark):
 def test_empty_tokens(spark):
     none = spark.createDataFrame([], "set_id string, token string")
     assert S.cardinality(S.long_form(none, "token", "set_id"), "set_id").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_set_laws_on_random_sets(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    sets = {k: [f"t{rng.randrange(400)}" for _ in range(rng.randrange(1, 300))] for k in "abc"}
+    long = S.long_form(tokens_df(spark, sets), "token", "set_id").cache()
+    a, b, c = (long.where(F.col("set_id") == k).select("reg", "zeros") for k in "abc")
+    bits = lambda df: {tuple(r) for r in df.collect()}
+    A, B, C = bits(a), bits(b), bits(c)
+    assert bits(S.union(a, b)) == A | B == bits(S.union(b, a)) and bits(S.intersect(a, b)) == A & B
+    assert bits(S.difference(a, b)) == A - B and bits(S.symmetric_difference(a, b)) == A ^ B
+    assert bits(S.symmetric_difference(S.symmetric_difference(a, b), S.intersect(a, b))) == A | B
+    assert bits(S.intersect(a, S.union(b, c))) == bits(S.union(S.intersect(a, b), S.intersect(a, c))) == A & (B | C)
+    assert S.is_subset(S.intersect(a, b), a) and not S.symmetric_difference(a, a).count()
+    packed = S.pack(long, "set_id")
+    assert bits(S.unpack(S.merge(packed))) == A | B | C and bits(S.unpack(S.meet_all(packed))) == A & B & C
+
+
+def test_sketches_do_not_depend_on_partitions(spark):
+    tokens = spark.range(3000).select(F.concat(F.lit("w"), (F.col("id") % 700).cast("string")).alias("token"), (F.col("id") % 3).alias("k"))
+    once = {r["k"]: bytes(r["bitmap"]) for r in S.build(tokens.coalesce(1), "token", "k").collect()}
+    assert once == {r["k"]: bytes(r["bitmap"]) for r in S.build(tokens.repartition(7), "token", "k").collect()}
