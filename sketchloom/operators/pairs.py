@@ -3,8 +3,10 @@
 One self-join on (reg, zeros) counts, for each pair and bit, the registers that
 both sketches hold.  With each sketch's own counts this gives the counts of the
 intersection, the differences, the union and the symmetric difference, so no
-further join is needed.  Pairs without a common position come from the ids.
-The result has n * n rows by definition.
+further join is needed.  Pairs without a common position come from the ids, and
+the result then has n * n rows by definition; with ``disjoint=False`` they are
+left out, as for graphs under a threshold, and no pair is made that the
+positions do not give.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ MEASURES = {
 }
 
 
-def overlaps(long: DataFrame, other: DataFrame | None = None, key: str = "set_id", p: int = H.P_BITS) -> DataFrame:
+def overlaps(long: DataFrame, other: DataFrame | None = None, key: str = "set_id", p: int = H.P_BITS, disjoint: bool = True) -> DataFrame:
     """(a, b, card_a, card_b, card_ab, card_a_not_b, card_b_not_a, card_or, card_xor, pop_a, pop_b, pop_ab).
 
     All pairs of a sketch in ``long`` and one in ``other`` (default: ``long``),
-    a sketch with itself included.
+    a sketch with itself included; those that share no position only if
+    ``disjoint``.
     """
     m = 2**p
     left = long.select(F.col(key).alias("a"), "reg", "zeros")
@@ -39,8 +42,13 @@ def overlaps(long: DataFrame, other: DataFrame | None = None, key: str = "set_id
     both = left.join(right, ["reg", "zeros"]).groupBy("a", "b", "zeros").agg(F.count(F.lit(1)).alias("cab"))
     ca, cb = bit_counts(left, "a"), bit_counts(right, "b")
     none = F.lit(0).cast("long")
-    from_a = ca.crossJoin(cb.select("b").distinct()).select("a", "b", "zeros", F.col("c").alias("ca"), none.alias("cb"), none.alias("cab"))
-    from_b = cb.crossJoin(ca.select("a").distinct()).select("a", "b", "zeros", none.alias("ca"), F.col("c").alias("cb"), none.alias("cab"))
+    if disjoint:
+        of_a, of_b = ca.crossJoin(cb.select("b").distinct()), cb.crossJoin(ca.select("a").distinct())
+    else:
+        met = both.select("a", "b").distinct()
+        of_a, of_b = ca.join(met, "a"), cb.join(met, "b")
+    from_a = of_a.select("a", "b", "zeros", F.col("c").alias("ca"), none.alias("cb"), none.alias("cab"))
+    from_b = of_b.select("a", "b", "zeros", none.alias("ca"), F.col("c").alias("cb"), none.alias("cab"))
     from_ab = both.select("a", "b", "zeros", none.alias("ca"), none.alias("cb"), "cab")
     counts = (
         from_a.unionByName(from_b).unionByName(from_ab).groupBy("a", "b", "zeros")

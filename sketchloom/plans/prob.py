@@ -111,7 +111,7 @@ FROM ps WHERE a < b AND greatest(card_ab/card_a, card_ab/card_b) >= 0.56)"""
 
 
 def _net(spark, sf_dir):
-    return N.edges(P.overlaps(_long(spark, sf_dir)), 0.56)
+    return N.edges(P.overlaps(_long(spark, sf_dir), disjoint=False), 0.56)
 
 
 @query(f"{_NET} SELECT parent, child, probability FROM bn")
@@ -241,7 +241,7 @@ def q_mrf_energy(spark, sf_dir):
 n AS (SELECT n, max(up) AS up, max(down) AS down FROM (SELECT parent AS n, 1 AS up, 0 AS down FROM g UNION ALL SELECT child, 0, 1 FROM g) GROUP BY n)
 SELECT count(*) AS nodes, (SELECT count(*) FROM g) AS edges, count(*) FILTER (down = 0) AS roots, count(*) FILTER (up = 0) AS leaves FROM n""")
 def q_bn_from_graph(spark, sf_dir):
-    return N.structure(N.from_graph(P.morphism_graph(P.overlaps(_long(spark, sf_dir)), 0.5, 0.45)))
+    return N.structure(N.from_graph(P.morphism_graph(P.overlaps(_long(spark, sf_dir), disjoint=False), 0.5, 0.45)))
 
 
 _DAY_STATES = f"""WITH {O.long_cte(DAY_USERS, 'day')}, f AS (SELECT reg, zeros, min(day) AS seen FROM lf GROUP BY ALL), cl AS (SELECT d.day AS set_id, reg, zeros FROM (SELECT DISTINCT day FROM lf) d JOIN f ON f.seen <= d.day)"""

@@ -165,7 +165,8 @@ def q_bss_matrix(spark, sf_dir):
 
 @query(f"""{_NATION_PAIRS}, d AS (SELECT a, b, {O.TAU} AS tau, {O.RHO} AS rho FROM ps) SELECT * FROM d WHERE a <> b AND tau >= 0.5 AND rho <= 0.45""")
 def q_morphism_graph(spark, sf_dir):
-    return P.morphism_graph(_nation_pairs(spark, sf_dir), 0.5, 0.45)
+    long = S.long_form(T.nation_parts(spark, sf_dir), "token", "set_id")
+    return P.morphism_graph(P.overlaps(long, disjoint=False), 0.5, 0.45)
 
 
 @query(f"""WITH {_BRAND}, {O.pairs_cte()}, d AS (SELECT *, {O.TAU} AS tau, {O.RHO} AS rho FROM ps)

@@ -149,7 +149,7 @@ def q_state_graph(spark, sf_dir):
 
 
 def _state_edges(spark, sf_dir):
-    d = P.directed(P.overlaps(_long(spark, sf_dir), key="day"))
+    d = P.directed(P.overlaps(_long(spark, sf_dir), key="day", disjoint=False))
     return d.where("a <> b AND tau >= 0.2 AND rho <= 0.8").select("a", "b", "tau", "rho")
 
 
@@ -162,7 +162,7 @@ def q_evolution_path(spark, sf_dir):
 @query()
 def q_cheapest_path(spark, sf_dir):
     """Transitions of the least total cost between the first and the last day."""
-    pairs = P.directed(P.overlaps(_long(spark, sf_dir), key="day")).where("a <> b AND tau >= 0.1")
+    pairs = P.directed(P.overlaps(_long(spark, sf_dir), key="day", disjoint=False)).where("a <> b AND tau >= 0.1")
     edges = pairs.select("a", "b", (F.col("card_a_not_b") + F.col("card_b_not_a")).alias("cost"))
     ends = edges.agg(F.min("a"), F.max("a")).first()
     found = L.cheapest_path(edges, ends[0], ends[1]) if ends[0] else None

@@ -171,3 +171,10 @@ def test_sketches_do_not_depend_on_partitions(spark):
     tokens = spark.range(3000).select(F.concat(F.lit("w"), (F.col("id") % 700).cast("string")).alias("token"), (F.col("id") % 3).alias("k"))
     once = {r["k"]: bytes(r["bitmap"]) for r in S.build(tokens.coalesce(1), "token", "k").collect()}
     assert once == {r["k"]: bytes(r["bitmap"]) for r in S.build(tokens.repartition(7), "token", "k").collect()}
+
+
+def test_overlaps_without_disjoint_pairs(spark):
+    long = S.long_form(tokens_df(spark, {"a": ["x", "y"], "b": ["y", "z"], "c": ["hello"]}), "token", "set_id").cache()
+    full = {(r["a"], r["b"]): tuple(r) for r in P.overlaps(long).collect()}
+    met = {(r["a"], r["b"]): tuple(r) for r in P.overlaps(long, disjoint=False).collect()}
+    assert set(met) == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "b"), ("b", "a")} and all(full[k] == v for k, v in met.items())
