@@ -134,3 +134,28 @@ def common_ancestor(links: DataFrame, x, y) -> DataFrame:
 def roll_back(links: DataFrame, target, new) -> DataFrame:
     """Commits with one more whose state is that of ``target``: a new id on the same parent chain."""
     return links.unionByName(links.where(F.col("id") == target).select(F.lit(new).cast(dict(links.dtypes)["id"]).alias("id"), F.col("id").alias("parent")))
+
+
+def merge_commits(links: DataFrame, ours, theirs, new) -> DataFrame:
+    """Commits with one more that has both as parents; its state is the union of theirs."""
+    kind = dict(links.dtypes)["id"]
+    return links.unionByName(links.where(F.col("id").isin(ours, theirs)).select(F.lit(new).cast(kind).alias("id"), F.col("id").alias("parent")).distinct())
+
+
+def state_at(links: DataFrame, deltas: DataFrame, id_) -> DataFrame:
+    """(reg, zeros) of a commit: what it and its ancestors added, ``deltas`` being (id, reg, zeros)."""
+    line = history(links).where(F.col("id") == id_).select(F.col("ancestor").alias("id")).distinct()
+    return deltas.join(line, "id", "left_semi").select("reg", "zeros").distinct()
+
+
+def create_branch(branches: DataFrame, name: str, head) -> DataFrame:
+    """Branches (name, head) with one more; a name that is taken moves to the new head."""
+    kind = dict(branches.dtypes)["head"]
+    row = branches.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(head).cast(kind).alias("head"))
+    return branches.where(F.col("name") != name).unionByName(row)
+
+
+def log_of(branches: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(ancestor, distance) from a branch's head back."""
+    heads = branches.where(F.col("name") == name).select(F.col("head").alias("id"))
+    return history(links).join(heads, "id", "left_semi").select("ancestor", "distance")

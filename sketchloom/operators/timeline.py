@@ -40,6 +40,17 @@ def latest(df: DataFrame, time: str) -> DataFrame:
     return df.orderBy(F.desc(time)).limit(1)
 
 
+def join_nodes(long: DataFrame, time: str, times: list) -> DataFrame:
+    """(time, reg, zeros): the union of the nodes at the given times, at the latest of them."""
+    return long.where(F.col(time).isin(times)).groupBy("reg", "zeros").agg(F.lit(max(times)).alias(time)).select(time, "reg", "zeros")
+
+
+def meet_nodes(long: DataFrame, time: str, times: list) -> DataFrame:
+    """(time, reg, zeros): what all the nodes hold, at the earliest time."""
+    held = long.where(F.col(time).isin(times)).groupBy("reg", "zeros").agg(F.countDistinct(time).alias("n"))
+    return held.where(F.col("n") == len(set(times))).select(F.lit(min(times)).alias(time), "reg", "zeros")
+
+
 def cumulative(long: DataFrame, time: str, p: int = H.P_BITS) -> DataFrame:
     """(time, card, popcount, novel) of the union of all sets so far.
 

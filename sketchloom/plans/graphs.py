@@ -220,6 +220,15 @@ def q_lineage(spark, sf_dir):
     return X.bases(_derivations(spark, sf_dir))
 
 
+@query("SELECT n_name AS id FROM nation WHERE n_regionkey NOT IN (0, 1, 2) AND n_nationkey % 5 <> 0")
+def q_unreferenced(spark, sf_dir):
+    """Nations that neither a compound of the first three regions nor a ring names."""
+    n = T.read(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), "n_nationkey", "n_regionkey", F.lit(True).alias("is_base"))
+    compounds = n.where("n_regionkey < 3").groupBy("n_regionkey").agg(F.collect_list("id").alias("operands"))
+    ring = n.where("n_nationkey % 5 = 0").agg(F.collect_list("id").alias("ids"))
+    return X.unreferenced(n, compounds, ring).select("id")
+
+
 _MONTHS = "SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(o_custkey AS VARCHAR) AS token FROM orders"
 _COMMITS = f"""WITH {O.long_cte(_MONTHS, 'month')}, f AS (SELECT reg, zeros, min(month) AS month FROM lf GROUP BY ALL), d AS (SELECT DISTINCT month FROM lf),
 g AS (SELECT d.month, z.range AS zeros, count(f.reg) AS n FROM d CROSS JOIN range({H.BITS}) z LEFT JOIN f ON f.month = d.month AND f.zeros = z.range GROUP BY ALL),

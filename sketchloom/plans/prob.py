@@ -275,3 +275,16 @@ def q_interpretation(spark, sf_dir):
     rows = rows.select("day", (F.col("own") - F.lag("own").over(w)).alias("flux"), (F.col("entity") / F.col("u") - F.lag(F.col("entity") / F.col("u")).over(w)).alias("dp")).where("flux IS NOT NULL")
     a, b, note = B.interpretation(F.col("flux"), F.col("dp"))
     return rows.select("day", "flux", F.round("dp", 9).alias("dp"), a.alias("by_flux"), b.alias("by_belief"), note.alias("note"))
+
+
+_WEEKS = "SELECT 'week ' || weekofyear(ts) AS set_id, CAST(user_id AS VARCHAR) AS token FROM events"
+
+
+@query(f"""WITH tk AS ({_WEEKS} UNION ALL {_TYPE_USERS}), {O.hash_cte('tk')}, hd AS (SELECT DISTINCT set_id, reg, zeros FROM ({_WEEKS}) JOIN p USING (token) WHERE zeros IS NOT NULL), ob AS (SELECT DISTINCT set_id, reg, zeros FROM ({_TYPE_USERS}) JOIN p USING (token) WHERE zeros IS NOT NULL),
+{O.pairs_cte('hd', 'ob')}, r AS (SELECT a AS i, b AS j, CASE WHEN card_a > 0 THEN card_ab/card_a ELSE 0.0 END AS raw FROM ps) SELECT i, j, round(CASE WHEN sum(raw) OVER (PARTITION BY i) > 0 THEN raw/sum(raw) OVER (PARTITION BY i) ELSE 0.0 END, 9) AS p FROM r""")
+def q_hmm_emissions(spark, sf_dir):
+    """Weeks' users as hidden sets, event types' users as observations."""
+    e = T.read(spark, sf_dir, "events").select(F.concat(F.lit("week "), F.weekofyear("ts").cast("string")).alias("week"), "event_type", F.col("user_id").cast("string").alias("token"))
+    hidden = S.long_form(e.select(F.col("week").alias("set_id"), "token"), "token", "set_id")
+    seen = S.long_form(e.select(F.col("event_type").alias("set_id"), "token"), "token", "set_id")
+    return K.emissions(P.overlaps(hidden, seen)).select("i", "j", F.round("p", 9).alias("p"))

@@ -175,3 +175,12 @@ r AS (SELECT unnest(CASE WHEN method = 'triangulated' THEN na ELSE al END) AS to
 SELECT token, count(*) AS positions, max((method = 'exact')::INT) AS exact FROM r GROUP BY token ORDER BY positions DESC, token LIMIT 10""")
 def q_ranked_tokens(spark, sf_dir):
     return K.ranked_tokens(K.disambiguate(_lut(spark, sf_dir), _first_item(spark, sf_dir)), 10)
+
+
+@query(f"""WITH {_LUT}, f AS (SELECT split_part(ngram, ' ', 1) AS t FROM cnt WHERE layer = 0 ORDER BY tf DESC, ngram LIMIT 1) SELECT layer, reg, zeros, ngrams, tf FROM lut WHERE list_contains(first_tokens, (SELECT t FROM f))""")
+def q_lut_first_token(spark, sf_dir):
+    """Entries that begin with the most frequent word."""
+    lut = _lut(spark, sf_dir)
+    words = _ngrams(spark, sf_dir, "benchmark", "item_id").where("layer = 0").groupBy("ngram").count()
+    top = words.orderBy(F.desc("count"), "ngram").first()["ngram"]
+    return K.by_first_token(lut, top).select("layer", "reg", "zeros", "ngrams", "tf")

@@ -233,3 +233,21 @@ def test_text_positions_equal_exploded_ngrams(spark):
     want = S.positions(rows, "ngram").groupBy("lang", "layer", "reg", "zeros").agg(F.count(F.lit(1)).alias("n"))
     assert got == {tuple(r) for r in want.collect()}
     assert Q.text_positions(docs.where("false"), "text").count() == 0
+
+
+def test_branches_and_merges(spark):
+    links = spark.createDataFrame([(1, None), (2, 1), (3, 1)], "id int, parent int")
+    merged = X.merge_commits(links, 2, 3, 4)
+    deltas = long_of(spark, {"1": "a", "2": "b", "3": "c"}).select(F.col("set_id").cast("int").alias("id"), "reg", "zeros")
+    assert S.cardinality(X.state_at(merged, deltas, 4)).first()["card"] == 3
+    assert S.cardinality(X.state_at(merged, deltas, 3)).first()["card"] == 2
+    assert X.common_ancestor(merged, 4, 3).first()["ancestor"] == 3
+    b = X.create_branch(spark.createDataFrame([("main", 2)], "name string, head int"), "side", 3)
+    assert {r["ancestor"] for r in X.log_of(b, links, "side").collect()} == {3, 1}
+    assert X.create_branch(b, "side", 4).where("name = 'side'").first()["head"] == 4
+
+
+def test_join_and_meet_of_nodes(spark):
+    long = long_of(spark, {"1": "abc", "2": "bcd", "3": "c"}, "ts")
+    assert S.cardinality(T.join_nodes(long, "ts", ["1", "2"]), "ts").first() == ("2", 4.0)
+    assert S.cardinality(T.meet_nodes(long, "ts", ["1", "2", "3"]), "ts").first() == ("1", 1.0)
