@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import collect_bounded, labelled_sample, text_of
-from .textblocks import Words, blocks, mix
+from .textblocks import Words, blocks, mix, word_arrays
 
 BUCKETS, DIM, NONZERO = 1 << 15, 24, 4
 HIDDEN = 24
@@ -62,9 +62,8 @@ def word_terms(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def pooled(texts: list[str], vectors: np.ndarray) -> Iterator[np.ndarray]:
     """Mean vector of a text's words, mean of its shapes, and statistics of both."""
     for block in blocks(t.encode("utf-8", "surrogatepass") for t in texts):
-        w = Words(block)
-        word, shape = word_terms(w)
-        for a, b in zip(w.first.tolist(), w.last.tolist()):
+        (word, shape), first, last = word_arrays(block, word_terms)
+        for a, b in zip(first.tolist(), last.tolist()):
             n = b - a
             if not n:
                 yield np.zeros(2 * DIM + 8, dtype=np.float32)
@@ -86,10 +85,9 @@ def context_vectors(texts: list[str], index: np.ndarray) -> np.ndarray:
     """Index vectors, plus for words of the sample the normalised sum of their neighbours'."""
     context = np.zeros_like(index)
     for block in blocks(t.encode("utf-8", "surrogatepass") for t in texts):
-        w = Words(block)
-        word, shape = word_terms(w)
+        (word, shape), first, _ = word_arrays(block, word_terms)
         inside = np.ones(len(word), dtype=bool)
-        inside[w.first[w.first < len(word)]] = False  # no neighbour before a text's first word
+        inside[first[first < len(word)]] = False  # no neighbour before a text's first word
         here = np.flatnonzero(inside)
         for term in (word, shape):
             np.add.at(context, term[here], index[shape[here - 1]])

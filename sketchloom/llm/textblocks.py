@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 BLOCK_BYTES = 1_000_000
+#: Longer texts are taken in stretches, so that memory stays a few times the text's size.
+LONG_BYTES = 4_000_000
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,6 +81,32 @@ class Words:
         self.last = np.searchsorted(self.start, text_end)
 
 
+def stretches(text: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A long text in stretches of about ``size`` bytes, cut at white space."""
+    start = 0
+    while len(text) - start > size:
+        cut = min((at for c in b" \t\n\x0b\x0c\r" if (at := text.find(c, start + size)) >= 0), default=-1)
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
+def word_arrays(block: list[bytes], arrays) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``arrays(Words)`` of a block, and the range of words of each text.
+
+    A block of one long text is taken in stretches: what ``arrays`` makes of a
+    word depends on that word alone.
+    """
+    if len(block) == 1 and len(block[0]) > LONG_BYTES:
+        parts = [arrays(Words([x])) for x in stretches(block[0])]
+        whole = [np.concatenate(p) for p in zip(*parts)]
+        return whole, np.array([0]), np.array([len(whole[0])])
+    w = Words(block)
+    return list(arrays(w)), w.first, w.last
+
+
 def lowered(text: str) -> bytes:
     """UTF-8 with A-Z in lower case and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower()
@@ -92,17 +120,17 @@ def shingle_sets(texts: list[str], width: int = 5) -> Iterator[np.ndarray]:
     """
     factor = np.uint64(0xD6E8FEB86659FD93)
     for block in blocks(map(lowered, texts)):
-        w = Words(block)
-        acc = np.zeros(max(0, len(w.hash) - width + 1), dtype=np.uint64)
+        (hashes,), first, last = word_arrays(block, lambda w: (w.hash,))
+        acc = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
         for i in range(width):
-            acc = acc * factor + w.hash[i : i + len(acc)]
+            acc = acc * factor + hashes[i : i + len(acc)]
         acc = mix(acc)
-        for a, b in zip(w.first.tolist(), w.last.tolist()):
+        for a, b in zip(first.tolist(), last.tolist()):
             if b - a >= width:
                 yield np.unique(acc[a : b - width + 1])
             elif b > a:
                 short = np.uint64(b - a)
-                for h in w.hash[a:b]:
+                for h in hashes[a:b]:
                     with np.errstate(over="ignore"):
                         short = short * factor + h
                 yield mix(mix(np.array([short])))

@@ -478,3 +478,20 @@ def test_pipeline_stages(spark):
     assert set(ids) == {i for i, (n, c, kept) in want.items() if kept or not n}
     rows = P.run(spark, SF).collect()
     check_packing(rows, dict(zip(ids, reference_ids(list(ids.values())))))
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    from sketchloom.llm import textblocks as B
+
+    rng = random.Random(2)
+    texts = [" \t".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (3, 4000, 700)] + ["", "x" * 9000]
+    sets = [s.tolist() for s in B.shingle_sets(texts)]
+    vectors = quality.index_vectors()
+    means = [v.tolist() for v in quality.pooled(texts, vectors)]
+    monkeypatch.setattr(B, "LONG_BYTES", 500)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(B.stretches, "__defaults__", (300,))
+    monkeypatch.setattr(B.blocks, "__defaults__", (300,))
+    assert len(list(B.stretches(texts[1].encode()))) > 20
+    assert [s.tolist() for s in B.shingle_sets(texts)] == sets
+    assert [v.tolist() for v in quality.pooled(texts, vectors)] == means
