@@ -49,7 +49,7 @@ FAMILIES = {
 }
 _BREAKS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _WORDS = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
-_AFTER_TAG = re.compile(r"SPDX-License-Identifier\W{0,3}[ \t]*([^\r\n]*)", re.IGNORECASE)
+_AFTER_TAG = re.compile(r"SPDX-License-Identifier[^\w(]{0,3}[ \t]*([^\r\n]*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 

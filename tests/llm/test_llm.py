@@ -199,6 +199,12 @@ def test_expressions():
     assert got["labels"] == ["apache-2", "mit"] and got["base"] == [] and got["score"] == 1.0
 
 
+@pytest.mark.parametrize("between", [": ", ":", " ", " = ", "\t:\t"])
+def test_tagged_expressions_that_begin_with_a_bracket(between):
+    got = licenses.scan(f"# SPDX-License-Identifier{between}(MIT OR Apache-2.0) AND GPL-2.0-only\n")
+    assert got["labels"] == ["apache-2", "gpl-2", "mit"] and got["expressions"] == [["mit", "apache-2.0", "or", "gpl-2.0-only", "and"]]
+
+
 def test_license_rows(spark, odd, empty):
     got = licenses.scan_licenses(odd).collect()
     assert len(got) == 8 and all(r["score"] == 0.0 and r["labels"] == "" and r["first_word"] is None for r in got)
