@@ -70,9 +70,10 @@ def _compressors(model: Model):
 
     out = []
     for content in (model.ordinary, model.toxic):
-        # matches of five bytes and more: shorter ones come by chance
+        # matches of five bytes and more: shorter ones come by chance; the tables hold the
+        # whole dictionary, so that words which begin alike hide none of it
         params = zstd.ZstdCompressionParameters(
-            strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=16, hash_log=12, chain_log=12, search_log=3, target_length=32,
+            strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=16, hash_log=14, chain_log=15, search_log=6, target_length=32,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -98,8 +99,7 @@ def _contrast(texts: list[str], ys: list[float], least: int = 4) -> tuple[list[b
 
     A word counts once a document and once for each pair of neighbours it first
     stands between, so neither a long document nor copies of one make its words
-    look frequent.  A marked word's log-likelihood ratio is at least EVIDENCE, and
-    a quarter of the strongest word's.
+    look frequent.  A marked word's log-likelihood ratio is at least EVIDENCE.
     """
     around: list[dict] = [defaultdict(set), defaultdict(set)]
     for text, y in zip(texts, ys):
@@ -116,8 +116,7 @@ def _contrast(texts: list[str], ys: list[float], least: int = 4) -> tuple[list[b
             g = seen * np.log(rate / share) + (other * np.log((1 - rate) / (1 - share)) if other else 0.0)
             if g >= EVIDENCE:
                 found.append((g, word))
-    top = max(found, default=(0.0, b""))[0]
-    marked = [w for g, w in sorted(found, reverse=True) if g >= top / 4]
+    marked = [w for _, w in sorted(found, reverse=True)]
     common = Counter({w: len(s) for w, s in around[0].items()}).most_common(700)
     marked, common = marked[:400], [w for w, _ in common]
     return marked, _alike(marked, {w: len(s) for w, s in around[0].items()}) + common

@@ -134,6 +134,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(right) > 80 and sum(right) / len(right) > 0.97 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_weaker_marks_count_beside_a_frequent_one():
+    rng = random.Random(4)
+    plain = ["the", "cat", "sat", "on", "a", "mat", "under", "tree", "with", "green", "leaves", "singing"]
+    texts, ys = [], []
+    for i in range(1200):
+        w = [rng.choice(plain) + rng.choice(["", "s", "ing", "ed"]) for _ in range(rng.randint(30, 60))]
+        if i % 4 == 0:
+            for _ in range(3):
+                w[rng.randrange(30)] = "worthless" if i % 40 == 0 else "idiot"
+        texts.append(" ".join(w))
+        ys.append(float(i % 4 == 0))
+    assert {b"idiot", b"worthless"} <= set(toxicity._contrast(texts, ys)[0])
+    model = toxicity.train(texts, ys)
+    found = [toxicity.score_text(model, toxicity._compressors(model), t) >= 0.5 for t in texts if "worthless" in t]
+    assert len(found) == 30 and np.mean(found) > 0.9
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
