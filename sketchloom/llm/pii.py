@@ -138,26 +138,38 @@ def _normal(kind: Column, entity: Column) -> Column:
     )
 
 
+def _tail(digest: Column, n: int, letters: bool) -> Column:
+    """``n`` more letters or digits for a surrogate, none at first."""
+    return _redraw(F.lit(("x" if letters else "0") * n), _hash("tail", digest)) if n else F.lit("")
+
+
 def surrogate(key: str, kind: Column, normal: Column, attempt: int) -> Column:
-    """A draw for the normal form of an entity; the attempt number changes it."""
+    """A draw for the normal form of an entity; the attempt number changes it.
+
+    Later attempts draw longer forms where the type allows it: a syllable more
+    for a name at each attempt, a letter or digit more for addresses, telephone
+    numbers and credentials from the fourth on.
+    """
     d = _hash(key, kind, normal, F.lit(attempt))
+    more = max(0, attempt - 2)
     user, host = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     top = F.regexp_extract(host, r"((?:\.example)?\.[^.]+)$", 1)
-    email = F.concat(_redraw(user, d), F.lit("@"), _redraw(F.substr(host, F.lit(1), F.length(host) - F.length(top)), _hash(key, d, F.lit("host"))), top)
+    email = F.concat(_redraw(user, d), _tail(d, more, True), F.lit("@"), _redraw(F.substr(host, F.lit(1), F.length(host) - F.length(top)), _hash(key, d, F.lit("host"))), top)
     octet = lambda i: (_stream(d, F.lit(i), 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
     code = F.regexp_extract(normal, r"^(\+1|\+7|\+\d{2})", 1)
-    phone = F.concat(code, _redraw(F.substr(normal, F.length(code) + 1, F.length(normal)), d))
+    phone = F.concat(code, _redraw(F.substr(normal, F.length(code) + 1, F.length(normal)), d), _tail(d, more, False))
     body = _redraw(F.substr(normal, F.lit(1), F.length(normal) - 1), d)
     check = F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     valid = F.pmod(_luhn_sum(normal), F.lit(10)) == 0
     card = F.concat(body, F.when(valid, check).otherwise(_stream(d, F.lit(99), 10).cast("string")))
     iban = F.concat(F.substr(normal, F.lit(1), F.lit(2)), _redraw(F.substr(normal, F.lit(3), F.length(normal)), d))
     secret = F.when(normal.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _redraw_hex(normal, d)).otherwise(_redraw(normal, d))
+    secret = F.concat(secret, F.when(normal.rlike("^[0-9]+$"), _tail(d, more, False)).otherwise(_tail(d, more, True)))
     parts = F.size(F.split(normal, " "))
     name = None
     for script, block in (("Cyrillic", r"\p{IsCyrillic}"), ("Greek", r"\p{IsGreek}"), ("Latin", "")):
-        last = F.initcap(F.concat(*[_choose(_SYLLABLES[script], d, i) for i in (1, 2, 3)]))
+        last = F.initcap(F.concat(*[_choose(_SYLLABLES[script], d, i) for i in (1, 2, 3, *range(7, 7 + attempt))]))
         first = F.when(kind == "name-f", _choose(_FIRST[script, "f"], d, 0)).otherwise(_choose(_FIRST[script, "m"], d, 0))
         second = F.initcap(F.concat(*[_choose(_SYLLABLES[script], d, i) for i in (4, 5, 6)]))
         made = F.when(parts == 1, last).when(parts == 2, F.concat_ws(" ", first, last)).otherwise(F.concat_ws(" ", first, second, last))
@@ -178,10 +190,13 @@ def _render(kind: Column, entity: Column, drawn: Column) -> Column:
         lambda s, c: F.when(
             c.rlike("[0-9A-Z+]"), F.struct(F.concat(s["out"], F.substr(drawn, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
         ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
-    )["out"]
+    )
+    spaced = F.concat(spaced["out"], F.substr(drawn, spaced["at"], F.length(drawn)))
     cased = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike(r"^\p{Lu}$"), F.upper(F.substr(drawn, i + 1, F.lit(1)))).otherwise(F.substr(drawn, i + 1, F.lit(1)))), ""
     )
+    rest = F.substr(drawn, F.length(entity) + 1, F.length(drawn))
+    cased = F.concat(cased, F.when(entity == F.upper(entity), F.upper(rest)).otherwise(rest))
     return (
         F.when(kind.isin("card", "ssn", "phone", "iban"), spaced)
         .when(kind == "email", cased)
@@ -218,9 +233,10 @@ def replace_pii(docs: DataFrame, key: str, attempts: int = 50) -> DataFrame:
     All columns of ``docs`` stay; one of them named pii_entities is replaced.  A
     text without entities stays as it is, a null text stays null (0 entities).
     Rows are matched by their text, so null or repeated ids do no harm.  An
-    empty table gives an empty result.  Entities of fewer forms than there are
-    entities (two-letter names, say) end in an error after ``attempts`` draws,
-    never in a shared surrogate.
+    empty table gives an empty result.  Surrogates of names, addresses, telephone
+    numbers and credentials grow until all differ.  Those of the other types keep
+    their length; entities that take up their numbers (a billion or more) end in
+    an error after ``attempts`` draws, never in a shared surrogate.
     """
     text = F.col("text")
     marked = (

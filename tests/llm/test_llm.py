@@ -446,6 +446,23 @@ def test_surrogates_stay_distinct(spark):
     assert sorted(out) == sorted(again) and sorted(out) != sorted(other)
 
 
+def test_surnames_beyond_three_syllables(spark):
+    """27,000 surnames of three syllables exist; these are more."""
+    names = ["X" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(30_000)]
+    texts = [", ".join(f"Mr {n}" for n in names[i : i + 300]) for i in range(0, len(names), 300)]
+    out = [r["text"] for r in pii.replace_pii(docs_of(spark, texts), "k").collect()]
+    after = {x for t in out for x in re.findall(r"Mr (\w+)", t)}
+    assert len(after) == 30_000 and not after & set(names)
+
+
+def test_surrogates_of_short_forms(spark):
+    """One letter, or four digits, of which there are more entities than such forms."""
+    texts = [f"{chr(97 + i % 26)}@{chr(97 + i // 26)}.com" for i in range(600)] + [f"+49 {i // 100:02d} {i % 100:02d}" for i in range(6000)]
+    out = [r["text"] for r in pii.replace_pii(docs_of(spark, texts), "k").collect()]
+    assert len(set(out)) == 6600 and not set(out) & set(texts)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.com|\+49 \d\d \d\d+", t) for t in out)
+
+
 def test_surrogates_odd_rows(spark, odd, empty):
     got = pii.replace_pii(odd, "k")
     assert got.count() == 8 and set(got.columns) == {*odd.columns, "pii_entities"}
