@@ -154,6 +154,8 @@ def surrogate(key: str, kind: Column, normal: Column, attempt: int) -> Column:
     more = max(0, attempt - 2)
     user, host = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     top = F.regexp_extract(host, r"((?:\.example)?\.[^.]+)$", 1)
+    empty = ~F.concat(user, F.substr(host, F.lit(1), F.length(host) - F.length(top))).rlike("[A-Za-z0-9]")
+    user = F.when(empty, F.regexp_replace(user, ".", "x")).otherwise(user)
     email = F.concat(_redraw(user, d), _tail(d, more, True), F.lit("@"), _redraw(F.substr(host, F.lit(1), F.length(host) - F.length(top)), _hash(key, d, F.lit("host"))), top)
     octet = lambda i: (_stream(d, F.lit(i), 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
@@ -164,7 +166,8 @@ def surrogate(key: str, kind: Column, normal: Column, attempt: int) -> Column:
     valid = F.pmod(_luhn_sum(normal), F.lit(10)) == 0
     card = F.concat(body, F.when(valid, check).otherwise(_stream(d, F.lit(99), 10).cast("string")))
     iban = F.concat(F.substr(normal, F.lit(1), F.lit(2)), _redraw(F.substr(normal, F.lit(3), F.length(normal)), d))
-    secret = F.when(normal.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _redraw_hex(normal, d)).otherwise(_redraw(normal, d))
+    filled = F.when(normal.rlike("[A-Za-z0-9]"), normal).otherwise(F.regexp_replace(normal, ".", "x"))
+    secret = F.when(normal.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _redraw_hex(normal, d)).otherwise(_redraw(filled, d))
     secret = F.concat(secret, F.when(normal.rlike("^[0-9]+$"), _tail(d, more, False)).otherwise(_tail(d, more, True)))
     parts = F.size(F.split(normal, " "))
     name = None
@@ -234,7 +237,8 @@ def replace_pii(docs: DataFrame, key: str, attempts: int = 50) -> DataFrame:
     text without entities stays as it is, a null text stays null (0 entities).
     Rows are matched by their text, so null or repeated ids do no harm.  An
     empty table gives an empty result.  Surrogates of names, addresses, telephone
-    numbers and credentials grow until all differ.  Those of the other types keep
+    numbers and credentials grow until all differ; an address or a credential of
+    neither letters nor digits gets letters.  Those of the other types keep
     their length; entities that take up their numbers (a billion or more) end in
     an error after ``attempts`` draws, never in a shared surrogate.
     """

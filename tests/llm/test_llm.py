@@ -463,6 +463,13 @@ def test_surrogates_of_short_forms(spark):
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.com|\+49 \d\d \d\d+", t) for t in out)
 
 
+def test_surrogates_without_letters_and_digits(spark):
+    texts = ["mail: ____@____.com", 'password = "--------"', "password = '________'", 'token = "++++++++"', "--@-.org"]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs_of(spark, texts), "k").collect()}
+    assert all(got[i] != t for i, t in enumerate(texts)) and len(set(got.values())) == 5
+    assert re.fullmatch(r"mail: [a-z]{4}@____\.com", got[0]) and re.fullmatch(r'password = "[a-z]{8}"', got[1])
+
+
 def test_surrogates_odd_rows(spark, odd, empty):
     got = pii.replace_pii(odd, "k")
     assert got.count() == 8 and set(got.columns) == {*odd.columns, "pii_entities"}
