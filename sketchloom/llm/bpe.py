@@ -36,7 +36,8 @@ def json_encoder(vocab_file: str, pattern: str):
     """The same encoding, read from a tokenizer description in JSON.
 
     Its vocabulary spells bytes as printable characters: those that print stand
-    for themselves, the others for 256 and up, in order.
+    for themselves, the others for 256 and up, in order.  Its added tokens are the
+    encoding's special tokens.
     """
     import tiktoken
 
@@ -45,9 +46,9 @@ def json_encoder(vocab_file: str, pattern: str):
     spelled |= {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(kept))}
     with open(vocab_file, encoding="utf-8") as f:
         described = json.load(f)
-    added = {x["content"] for x in described.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in described.get("added_tokens", [])}
     ranks = {bytes(map(spelled.__getitem__, t)): i for t, i in described["model"]["vocab"].items() if t not in added}
-    return tiktoken.Encoding("local-json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local-json", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -63,10 +64,11 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encode(enc, text: str) -> np.ndarray:
-    """Ids of the whole text, special tokens being ordinary text."""
+    """Ids of the whole text; the special tokens of the encoding, if it has any, are found in it."""
+    ids = (lambda x: enc.encode(x, allowed_special="all")) if enc.special_tokens_set else enc.encode_ordinary
     if len(text) <= PIECE:
-        return np.asarray(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(x), dtype="<u4") for x in safe_pieces(text)])
+        return np.asarray(ids(text), dtype="<u4")
+    return np.concatenate([np.asarray(ids(x), dtype="<u4") for x in safe_pieces(text)])
 
 
 def decode(enc, ids: np.ndarray) -> bytes:

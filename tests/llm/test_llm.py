@@ -505,6 +505,18 @@ def test_json_vocabulary_gives_the_same_ids():
     assert [enc.encode_ordinary(t) + [1] for t in texts] == reference_ids(texts)
 
 
+def test_added_tokens_are_found_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "no such token", "word <|endoftext|> " * 12_000]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    make = packing.json_vocabulary(path, public_tokenizers.PATTERN)
+    assert [bpe.encode(make(), t).tolist() for t in texts] == want
+    check_packing(packing.pack_documents(docs_of(spark, texts), make, 50_257).collect(), {i: [*ids, 1] for i, ids in enumerate(want)})
+
+
 # the pipeline -------------------------------------------------------------------
 
 
