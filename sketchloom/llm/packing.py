@@ -25,13 +25,12 @@ from .bpe import encode, json_encoder
 from .common import text_of
 
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
 SHARD_TOKENS = 1_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Index:
-    """A BM25 inverted index of one shard; a query is a document's strongest terms."""
+    """A BM25 inverted index of one shard; a query is all of a document's terms."""
 
     def __init__(self, docs: list[np.ndarray], n_terms: int):
         n = len(docs)
@@ -44,20 +43,16 @@ class Index:
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))).astype(np.float32)
         self.n, self.df = n, df
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
-        self.term, self.weight = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, d: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``d``, best first."""
-        own = slice(self.doc_at[d], self.doc_at[d + 1])
-        term, weight = self.term[own], self.weight[own]
-        shared = np.flatnonzero(self.df[term] > 1)
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argpartition(-weight[shared], QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused documents that share a term with ``d``, best first."""
+        term = self.term[self.doc_at[d] : self.doc_at[d + 1]]
         score = np.zeros(self.n, dtype=np.float32)
-        for t in term[shared].tolist():
+        for t in term[self.df[term] > 1].tolist():
             p = slice(self.post_at[t], self.post_at[t + 1])
             score[self.post_doc[p]] += self.post_weight[p]
         score[~unused] = 0

@@ -325,6 +325,13 @@ def test_neighbours_follow_their_seed():
     assert list(packing.order_documents(docs, 64, 1000)) == [0, 3, 1, 2]
 
 
+def test_neighbours_by_any_term_of_the_seed():
+    seed, other = np.arange(100, 140, dtype="<u4"), np.arange(500, 530, dtype="<u4")
+    docs = [seed, other, *(np.array([t, 900 + t], dtype="<u4") for t in seed)]
+    found = packing.Index(docs, 2000).neighbours(0, np.array([False] + [True] * 41))
+    assert sorted(found.tolist()) == list(range(2, 42))
+
+
 # 8: near dedup ----------------------------------------------------------------
 
 
