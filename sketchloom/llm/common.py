@@ -14,11 +14,14 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a single-machine session, as in tests)
-    a temporary folder is made and kept in the session's settings.
+    Only where that setting is absent and the session is a single machine's, as
+    in tests, a temporary folder is made and kept in the session's settings; a
+    cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,34 +63,37 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, y) of at most about ``max_rows`` labelled rows outside the held-out fold.
+    """(text, y) of the ``max_rows`` labelled ids outside the held-out fold whose hashes are smallest.
 
-    The rows are drawn by a hash of their id, so the draw is the same at every
-    run.  Labels are narrow, so they are drawn first; ``limit`` makes
-    ``max_rows`` a hard bound, hence they may be broadcast.
+    The draw depends on the ids alone, so it is the same at every run and in
+    every partitioning.  Labels are narrow, so they are drawn first, and at most
+    ``max_rows`` of them may be broadcast.  An id labelled twice has its larger
+    label; one with several texts, the text of the smallest hash.
     """
-    usable = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(
-        F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out()
-    )
-    n = usable.count()
-    if n > max_rows:
-        share = int(max_rows / n * 1_000_000)
-        usable = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < share)
-    usable = usable.limit(max_rows)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(usable), "doc_id").select("text", "y")
+    usable = (
+        labels.select("doc_id", F.col(label).cast("double").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out())
+        .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(max_rows)
+    )
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(usable), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y")
 
 
 def collect_bounded(sample: DataFrame, max_bytes: int) -> tuple[list[str], list[float]]:
-    """Fetch the sample in a fixed order, ending at ``max_bytes`` of text.
+    """Fetch the sample in a fixed order, passing over texts that would exceed ``max_bytes`` in all.
 
     The few rows are dealt into four partitions, so that the scan behind them
     runs once and in parallel, and the iterator then holds a quarter at a time.
+    If the bound leaves no text of a label that the sample has, that is an error.
     """
-    texts, ys, left = [], [], max_bytes
-    for text, y in sample.repartition(4).sortWithinPartitions(F.xxhash64("text"), "y").toLocalIterator():
-        left -= len(text)
-        if left < 0:
-            break
-        texts.append(text)
-        ys.append(y)
+    texts, ys, left, met = [], [], max_bytes, set()
+    rows = sample.withColumn("n", F.octet_length("text")).repartition(4, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text"), "y")
+    for text, y, n in rows.select("text", "y", "n").toLocalIterator():
+        met.add(y)
+        if n <= left:
+            left -= n
+            texts.append(text)
+            ys.append(y)
+    if met != set(ys):
+        raise ValueError(f"no text of a label fits in {max_bytes} bytes")
     return texts, ys

@@ -1,18 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic
-text.  Both hold the words that ordinary text uses in most surroundings; the
-toxic one also holds those that toxic text uses in many surroundings and
-ordinary text does not, and the other is filled up to the same length.  A window of a few words that
-compresses better with the toxic dictionary, by more than a threshold, is
-suspicious.  The threshold and the map from a document's windows to a
-probability are calibrated on labelled documents that trained no dictionary.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text,
+and a window of a text is compressed with each.  Where the toxic dictionary
+saves bytes over the ordinary one, the window is suspicious.
+
+A toxic document is ordinary in most of its windows, so a dictionary of whole
+documents learns ordinary text.  The toxic samples are therefore what is left of
+a toxic document when only words with evidence (a log-likelihood ratio) stay;
+the ordinary samples are windows of ordinary documents, and, in a second round,
+those of them that the first round's dictionaries take for toxic.  Both
+compressors hold the ordinary content at the same place, so what both know
+saves nothing.
+
+A document's features are the numbers and the shares of its windows, of two
+sizes, whose gain reaches each of several thresholds; a logistic map calibrated
+on labelled documents that trained no dictionary makes them a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import collect_bounded, labelled_sample, text_of
 
-WINDOW_BYTES, LONGEST = 96, 160
+WINDOWS, LONGEST = (24, 96), 160
+#: Bytes of gain a window of either size may reach.
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
 #: Log-likelihood that chance reaches for about one word in 100,000.
 EVIDENCE = 10.0
+TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 4096, 8192, 8192
+#: Windows of each ordinary document that train the ordinary dictionary, evenly over its length.
+ORDINARY_WINDOWS, ORDINARY_SIZE = 6, 48
 MAX_ROWS, MAX_BYTES = 6000, 64_000_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _KEEP = bytes(c if 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 or c >= 0x80 else 0x20 for c in range(256))
 
 
-def windows(text: str, size: int = WINDOW_BYTES) -> list[bytes]:
+def windows(text: str, size: int) -> list[bytes]:
     """Lower-cased words in windows of ``size`` bytes or a little more, cut between words.
 
     A run without a break is cut LONGEST bytes after, the next window beginning
@@ -58,22 +72,23 @@ def windows(text: str, size: int = WINDOW_BYTES) -> list[bytes]:
 class Model:
     """What scoring needs; ``toxic`` is empty if there was nothing to learn from."""
 
-    ordinary: bytes
     toxic: bytes
-    threshold: int
+    ordinary: bytes
     weights: tuple[float, ...]
     prior: float
 
 
-def _compressors(model: Model):
+def _compressors(toxic: bytes, ordinary: bytes):
+    """Compressors of windows without and with the toxic content, the ordinary one at the same distance."""
     import zstandard as zstd
 
     out = []
-    for content in (model.ordinary, model.toxic):
-        # matches of five bytes and more: shorter ones come by chance; the tables hold the
-        # whole dictionary, so that words which begin alike hide none of it
+    # in place of the toxic content the ordinary compressor has bytes that no window holds
+    for content in (bytes(1 + i % 8 for i in range(len(toxic))) + ordinary, toxic + ordinary):
+        # matches as long as the training's; the tables hold the whole dictionary, so that
+        # words which begin alike hide none of it
         params = zstd.ZstdCompressionParameters(
-            strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=16, hash_log=14, chain_log=15, search_log=6, target_length=32,
+            strategy=zstd.STRATEGY_LAZY2, min_match=6, window_log=17, hash_log=15, chain_log=16, search_log=6, target_length=32,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -88,14 +103,19 @@ def gains(compressors, pieces: list[bytes]) -> np.ndarray:
     return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in pieces), dtype=np.int64, count=len(pieces))
 
 
-def features(gain: np.ndarray, threshold: int) -> np.ndarray:
-    """Of a document: suspicious windows and their gains (logs), their share, one."""
-    high = gain[gain >= threshold]
-    return np.array([np.log1p(len(high)), np.log1p(int(high.sum())), min(1.0, 10 * len(high) / max(1, len(gain))), 1.0])
+def features(gain: np.ndarray) -> np.ndarray:
+    """Of a document's windows of one size: logs of the numbers at each threshold, their shares, all windows, mean gain."""
+    n = max(1, len(gain))
+    high = np.array([(gain >= t).sum() for t in THRESHOLDS])
+    return np.concatenate([np.log1p(high), np.minimum(1.0, 5 * high / n), [np.log1p(n), gain.sum() / n]])
+
 
+def document_features(compressors, text: str) -> np.ndarray:
+    return np.concatenate([*(features(gains(compressors, windows(text, size))) for size in WINDOWS), [1.0]])
 
-def _contrast(texts: list[str], ys: list[float], least: int = 4) -> tuple[list[bytes], list[bytes]]:
-    """Words marked by toxic text, and frequent words of ordinary text.
+
+def marked_words(texts: list[str], ys: list[float], least: int = 4) -> set[bytes]:
+    """Words that toxic text uses more than chance allows.
 
     A word counts once a document and once for each pair of neighbours it first
     stands between, so neither a long document nor copies of one make its words
@@ -108,33 +128,46 @@ def _contrast(texts: list[str], ys: list[float], least: int = 4) -> tuple[list[b
         for word, beside in first.items():
             around[int(y)][word].add(beside)
     share = np.clip(np.mean(ys), 1e-3, 1 - 1e-3)
-    found = []
+    found = set()
     for word, beside in around[1].items():
         seen, other = len(beside), len(around[0].get(word, ()))
         rate = seen / (seen + other)
         if seen >= least and len(word) >= 3 and rate > 3 * share / (1 + 2 * share):
             g = seen * np.log(rate / share) + (other * np.log((1 - rate) / (1 - share)) if other else 0.0)
             if g >= EVIDENCE:
-                found.append((g, word))
-    marked = [w for _, w in sorted(found, reverse=True)]
-    common = Counter({w: len(s) for w, s in around[0].items()}).most_common(700)
-    marked, common = marked[:400], [w for w, _ in common]
-    return marked, _alike(marked, {w: len(s) for w, s in around[0].items()}) + common
+                found.add(word)
+    return found
 
 
-def _alike(marked: list[bytes], counts: dict[bytes, int], size: int = 5, each: int = 3) -> list[bytes]:
-    """Ordinary words that share ``size`` bytes with a marked word, the most frequent for each run of bytes.
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained by zstandard on the samples; all of them, where they are too few to train on."""
+    import zstandard as zstd
 
-    Both dictionaries get them, so that what ordinary words have in common with
-    marked ones saves nothing.
-    """
-    grams: dict[bytes, list] = {w[i : i + size]: [] for w in (b" %b " % m for m in marked) for i in range(len(w) - size + 1)}
-    for word, n in counts.items():
-        flat = b" %b " % word
-        for i in range(len(flat) - size + 1):
-            if (held := grams.get(flat[i : i + size])) is not None:
-                held.append((n, word))
-    return sorted({w for held in grams.values() for _, w in sorted(held, reverse=True)[:each]})
+    samples = [x for x in samples if len(x) >= 8]
+    try:
+        return zstd.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def train_dictionaries(texts: list[str], ys: list[float]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) dictionaries; empty ones if no word is marked."""
+    marked = marked_words(texts, ys)
+    if not marked:
+        return b"", b""
+    toxic, every, spread = [], [], []
+    for text, y in zip(texts, ys):
+        if y:
+            w = [x for x in text.encode("utf-8", "surrogatepass").lower().translate(_KEEP).split() if x in marked]
+            toxic += [b" %b " % b" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
+        else:
+            own = windows(text, ORDINARY_SIZE)
+            every += own
+            spread += own[:: max(1, len(own) // ORDINARY_WINDOWS)]
+    first, base = trained(toxic, TOXIC_BYTES, 24), trained(spread, ORDINARY_BYTES, 32)
+    gain = gains(_compressors(first, base), every)
+    hard = [w for w, g in zip(every, gain) if g >= 2]
+    return first, (trained(hard, HARD_BYTES, 24) if hard else b"") + base
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
@@ -150,37 +183,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
 
 
 def train(texts: list[str], ys: list[float]) -> Model:
-    """Dictionaries from two thirds of the texts, threshold and weights from the rest."""
+    """Dictionaries from about two thirds of the texts, the map to probabilities from the rest."""
     prior = float(np.mean(ys)) if ys else 0.0
     if len(set(ys)) < 2:
-        return Model(b"", b"", 0, (), prior)
-    # a text and its exact copies fall on the same side
-    rest = [len(t) % 3 == 0 for t in texts]
-    marked, common = _contrast(*zip(*[(t, y) for t, y, r in zip(texts, ys, rest) if not r])) if not all(rest) else ([], [])
-    if not marked:
-        return Model(b"", b"", 0, (), prior)
-    marks = b"".join(b"\x01 %b " % w for w in reversed(marked)) + b"\x01"
-    base = b" ".join([b"", *common, b""])
-    # in place of the toxic words the ordinary dictionary has bytes that no window holds
-    model = Model(bytes(1 + i % 8 for i in range(len(marks))) + base, marks + base, 0, (), prior)
-    c = _compressors(model)
-    held = [(gains(c, windows(t)), y) for t, y, r in zip(texts, ys, rest) if r]
-    y = np.array([v for _, v in held])
-    if len(set(y.tolist())) < 2:
-        return Model(b"", b"", 0, (), prior)
-    best = None
-    for threshold in range(1, 6):
-        x = np.stack([features(g, threshold) for g, _ in held])
-        w = _logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-        if best is None or loss < best[0] - 1e-4:
-            best = loss, threshold, tuple(w.tolist())
-    return Model(model.ordinary, model.toxic, best[1], best[2], prior)
+        return Model(b"", b"", (), prior)
+    # by the text, so that exact copies fall on the same side
+    rest = [int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 3 == 0 for t in texts]
+    own = [(t, y) for t, y, r in zip(texts, ys, rest) if not r]
+    toxic, ordinary = train_dictionaries(*map(list, zip(*own))) if own else (b"", b"")
+    y = np.array([v for v, r in zip(ys, rest) if r])
+    if not toxic or len(set(y.tolist())) < 2:
+        return Model(b"", b"", (), prior)
+    c = _compressors(toxic, ordinary)
+    x = np.stack([document_features(c, t) for t, r in zip(texts, rest) if r])
+    return Model(toxic, ordinary, tuple(_logistic(x, y).tolist()), prior)
 
 
 def score_text(model: Model, compressors, text: str) -> float:
-    x = features(gains(compressors, windows(text)), model.threshold)
+    x = document_features(compressors, text)
     return float(1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30))))
 
 
@@ -197,7 +217,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     model = train(*collect_bounded(labelled_sample(docs, labels, "toxic", max_rows), max_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _compressors(model) if model.toxic else None
+        c = _compressors(model.toxic, model.ordinary) if model.toxic else None
         for batch in batches:
             scores = [score_text(model, c, t.as_py()) if c else model.prior for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
