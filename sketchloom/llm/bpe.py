@@ -19,6 +19,8 @@ from .common import text_of
 #: splitting pattern always starts a match there, so cutting changes no id.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 100_000
+#: The white space of the splitting pattern, in runs that its look-ahead should not walk.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=4)
@@ -64,11 +66,23 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encode(enc, text: str) -> np.ndarray:
-    """Ids of the whole text; the special tokens of the encoding, if it has any, are found in it."""
+    """Ids of the whole text; the special tokens of the encoding, if it has any, are found in it.
+
+    A long run of white space is one match of the splitting pattern, but for its
+    last character where something follows; such runs go to the encoder of
+    single pieces, since matching them takes memory in proportion.
+    """
     ids = (lambda x: enc.encode(x, allowed_special="all")) if enc.special_tokens_set else enc.encode_ordinary
     if len(text) <= PIECE:
         return np.asarray(ids(text), dtype="<u4")
-    return np.concatenate([np.asarray(ids(x), dtype="<u4") for x in safe_pieces(text)])
+    out, start = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += [ids(x) for x in safe_pieces(text[start : run.start()])]
+        out.append(enc._encode_single_piece(text[run.start() : end]))
+        start = end
+    out += [ids(x) for x in safe_pieces(text[start:])]
+    return np.concatenate([np.asarray(x, dtype="<u4") for x in out])
 
 
 def decode(enc, ids: np.ndarray) -> bytes:
