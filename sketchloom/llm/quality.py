@@ -3,14 +3,16 @@
 Every word has a sparse random index vector, drawn from its hash; words of the
 training sample also have a context vector, the sum of the index vectors that
 stood beside them.  A document pools its words' vectors.  Words are taken with
-their case and punctuation, and each gives three terms (itself, its last bytes,
-its shape), so that the open vocabulary of unseen words still gets vectors.  A
+their case and punctuation, and each gives two terms, itself and its shape
+(kinds of its characters, its ends, its length), so that the open vocabulary of
+unseen words still gets vectors.  A
 numpy network with one hidden layer reads the pooled vector, and a temperature
 fitted on documents apart makes its outputs probabilities.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,8 +92,9 @@ def context_vectors(texts: list[str], index: np.ndarray) -> np.ndarray:
         inside[first[first < len(word)]] = False  # no neighbour before a text's first word
         here = np.flatnonzero(inside)
         for term in (word, shape):
-            np.add.at(context, term[here], index[shape[here - 1]])
-            np.add.at(context, term[here - 1], index[shape[here]])
+            for beside in (word, shape):
+                np.add.at(context, term[here], index[beside[here - 1]])
+                np.add.at(context, term[here - 1], index[beside[here]])
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     return index + context / np.maximum(norm, 1e-6)
 
@@ -143,7 +146,8 @@ def train(texts: list[str], ys: list[float]) -> Model:
     prior = float(np.mean(ys)) if ys else 0.5
     index = index_vectors()
     y = np.array(ys)
-    apart = np.array([len(t) % 5 == 0 for t in texts], dtype=bool)
+    # by the text, so that exact copies fall on the same side
+    apart = np.array([int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 5 == 0 for t in texts], dtype=bool)
     if len(set(y[~apart].tolist())) < 2:
         return Model(index, (), 1.0, prior)
     vectors = context_vectors([t for t, a in zip(texts, apart) if not a], index)

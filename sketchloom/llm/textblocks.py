@@ -1,7 +1,8 @@
 """Words and shingles of many texts at once, as numpy arrays of 64-bit hashes.
 
-Texts are joined into blocks of a few megabytes.  A word's hash is a polynomial
-over its bytes, taken from running sums, so no Python code runs per word.
+Texts are joined into blocks of a few megabytes.  A word's hash mixes its bytes
+eight at a time, for all words of a block together, so no Python code runs per
+word; only words of more than LONG_WORD bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import numpy as np
 BLOCK_BYTES = 1_000_000
 #: Longer texts are taken in stretches, so that memory stays a few times the text's size.
 LONG_BYTES = 4_000_000
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+LONG_WORD = 256
+_R = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,14 +27,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    got = _powers.get(str(base))
-    if got is None or len(got) < n:
-        got = np.full(max(n, BLOCK_BYTES + 65_536), base, dtype=np.uint64)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        _powers[str(base)] = got
-    return got[:n]
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, by its length and its bytes alone.
+
+    Every eight bytes pass through ``mix`` together with what came before, so no
+    algebra over the bytes makes two spans equal.
+    """
+    import xxhash
+
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = mix(length.astype(np.uint64) * _R)
+    left = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(left):
+        take = np.minimum(length[left] - at, 8)
+        h[left] = mix(h[left] * _R ^ (eight[start[left] + at] & _KEEP[take]))
+        at += 8
+        left = left[length[left] > at]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed=length[i].item())
+    return h
 
 
 def blocks(texts: Iterable[bytes], size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
@@ -64,7 +79,6 @@ class Words:
     def __init__(self, texts: list[bytes], separators: np.ndarray = WHITE):
         joined = b" ".join(texts) + b" "
         self.bytes = np.frombuffer(joined, dtype=np.uint8)
-        n = len(self.bytes)
         gap = separators[self.bytes]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         text_end = np.cumsum(lengths)
@@ -74,9 +88,7 @@ class Words:
         self.end = np.flatnonzero(edge == 1)
         if len(self.end) > len(self.start):  # the block begins with a separator
             self.end = self.end[len(self.end) - len(self.start) :]
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(_R, n), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power(_R_INV, n + 1)[self.start])
+        self.hash = hash_spans(self.bytes, self.start, self.end)
         self.first = np.searchsorted(self.start, text_end - lengths)
         self.last = np.searchsorted(self.start, text_end)
 
