@@ -32,7 +32,7 @@ NOTICES = {
     "this is free and unencumbered software": "unlicense",
 }
 TAG = "spdx license identifier"
-#: Identifiers in expressions, by prefix, and the labels they get.
+#: Families of identifiers in expressions, and the labels they get.
 FAMILIES = {
     "mit": "mit",
     "apache-2": "apache-2",
@@ -89,38 +89,63 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def evaluate(postfix: list[str], allowed: set[str]) -> bool:
     """Whether the labels in ``allowed`` satisfy the expression; exceptions only add rights."""
-    stack: list = []
+    return any(x <= allowed for x in alternatives(postfix))
+
+
+def alternatives(postfix: list[str]) -> list[frozenset[str]]:
+    """The smallest sets of labels that satisfy the expression, none of them within another.
+
+    An identifier without a label is satisfied by no set.
+    """
+    stack: list[set[frozenset[str]]] = []
+    for t in postfix:
+        if t not in _RANK:
+            label = label_of(t)
+            stack.append({frozenset([label])} if label else set())
+            continue
+        b, a = stack.pop(), stack.pop()
+        found = {"or": a | b, "and": {x | y for x in a for y in b}, "with": a}[t]
+        stack.append({x for x in found if not any(y < x for y in found)})
+    return sorted(stack[0], key=sorted) if stack else []
+
+
+def labels_of(postfix: list[str]) -> set[str]:
+    """Labels of all licences of the expression; what stands after ``with`` is an exception, not a licence."""
+    stack: list[set[str]] = []
     for t in postfix:
         if t in _RANK:
             b, a = stack.pop(), stack.pop()
-            stack.append({"or": bool(a or b), "and": bool(a and b), "with": a}[t])
+            stack.append(a if t == "with" else a | b)
         else:
-            stack.append(label_of(t) in allowed)
-    return stack[0]
+            stack.append({label_of(t)} - {None})
+    return stack[0] if stack else set()
 
 
 def parse_expression(text: str) -> list[str]:
     """Postfix form of the longest and/or/with expression ``text`` begins with, [] if none."""
-    tokens, at = [], 0
+    tokens, at, depth, end, operand = [], 0, 0, 0, True
     while m := _TOKEN.match(text, at):
-        tokens.append(m[1])
-        at = m.end()
-    best, open_, ends = [], 0, []
-    for n, t in enumerate(tokens, 1):  # an expression ends where no bracket is open
-        open_ += (t == "(") - (t == ")")
-        if open_ < 0 or n > 1 and t.lower() not in _RANK and t != ")" and tokens[n - 2].lower() not in _RANK and tokens[n - 2] != "(":
-            break
-        if open_ == 0:
-            ends.append(n)
-    for n in reversed(ends):
-        if (best := to_postfix(tokens[:n]) or []):
+        t = m[1]
+        if operand and t == "(":
+            depth += 1
+        elif operand and t != ")" and t.lower() not in _RANK:
+            operand = False
+        elif not operand and t.lower() in _RANK:
+            operand = True
+        elif not operand and t == ")" and depth:
+            depth -= 1
+        else:
             break
-    return best
+        tokens.append(t)
+        at = m.end()
+        if not operand and not depth:
+            end = len(tokens)
+    return to_postfix(tokens[:end]) or []
 
 
 def label_of(identifier: str) -> str | None:
-    """The label of a licence identifier in lower case."""
-    return next((v for k, v in FAMILIES.items() if identifier.startswith(k)), None)
+    """The label of a licence identifier in lower case: a family's name, alone or before "-", "." or "+"."""
+    return next((v for k, v in FAMILIES.items() if identifier.startswith(k) and identifier[len(k) : len(k) + 1] in ("", "-", ".", "+")), None)
 
 
 @lru_cache(maxsize=1)
@@ -143,7 +168,7 @@ def scan(text: str) -> dict:
     words = words_of(text)
     # Latin-1 gives one character a byte, so places are those of the bytes
     joined = f" {b' '.join(words).decode('latin-1')} "
-    places, base, more, tagged, read_to, seen = [], set(), set(), False, 0, 0
+    places, base, more, tagged, notices, read_to, seen = [], set(), set(), False, 0, 0, 0
     for end, (kind, label, length) in _automaton().iter(joined):
         start = end - length  # of the phrase's first character
         if kind == "base":
@@ -156,25 +181,36 @@ def scan(text: str) -> dict:
             base.add(label)
         elif kind == "notice":
             more.add(label)
+            notices += 1
         else:
             tagged = True
     expressions = []
     if tagged:
         expressions = [e for m in _AFTER_TAG.finditer(text) if (e := parse_expression(m[1]))]
-        more |= {label for e in expressions for t in e if (label := label_of(t))}
-    known = any(evaluate(e, set(FAMILIES.values())) for e in expressions)
-    score = 1.0 if known else 0.9 if base else 0.7 if more else 0.0
-    return {"n_words": len(words), "places": sorted(places), "base": sorted(base), "labels": sorted(base | more), "expressions": expressions, "score": score}
+    choices = [alternatives(e) for e in expressions]
+    for e in expressions:
+        more |= labels_of(e)
+    # independent pieces of evidence, each with a chance to be wrong
+    doubt = 0.1 ** len(places) * 0.3**notices
+    for c in choices:
+        doubt *= 0.05 if c else 0.5
+    return {
+        "n_words": len(words), "places": sorted(places), "base": sorted(base), "labels": sorted(base | more), "expressions": expressions,
+        "alternatives": sorted({"+".join(sorted(x)) for c in choices for x in c}), "score": 1.0 - doubt,
+    }
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, score).
+    """Return (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, alternatives, score).
 
     One row per document, in no shuffle.  A null or empty text has no words, no
     labels ("") and score 0; first_word and last_word are null without a base
     place.  Rows that repeat give repeated rows; a null doc_id stays null; other
     columns are ignored.  ``expressions`` lists the tagged licence expressions
-    in postfix order; ``evaluate`` tells whether given labels satisfy one.
+    in postfix order, ``alternatives`` the smallest sets of labels (joined by +)
+    that satisfy one of them; ``evaluate`` tells whether given labels do.  The
+    score is 1 less the product of the doubts that places, notices and
+    expressions leave.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +226,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                     pa.array([",".join(x["base"]) for x in found], pa.string()),
                     pa.array([",".join(x["labels"]) for x in found], pa.string()),
                     pa.array([[" ".join(e) for e in x["expressions"]] for x in found], pa.list_(pa.string())),
+                    pa.array([x["alternatives"] for x in found], pa.list_(pa.string())),
                     pa.array([x["score"] for x in found], pa.float64()),
                 ],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "score"],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "alternatives", "score"],
             )
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(
         run,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, score double",
+        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, alternatives array<string>, score double",
     )

@@ -41,7 +41,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("expressions", "alternatives")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
