@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import exact_dedup, minhash, packing, pii, quality
 from sketchloom.llm.common import materialize, table
-from sketchloom.llm.queries import PII_KEY, VOCABULARY, _vocabulary
+from sketchloom.llm.queries import VOCABULARY, _vocabulary, pii_key
 
 MIN_QUALITY = 0.3
 
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    replaced = pii.replace_pii(docs, PII_KEY).drop("pii_entities")
+    replaced = pii.replace_pii(docs, pii_key(spark)).drop("pii_entities")
     return replaced.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
