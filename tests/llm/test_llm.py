@@ -54,12 +54,13 @@ def brute_top_k(rows, queries_, k):
     return sorted(out)
 
 
-def test_top_k_with_ties_lengths_and_large_values(spark):
+@pytest.mark.parametrize("sample", [1, 30])
+def test_top_k_with_ties_lengths_and_large_values(spark, sample):
     rng = random.Random(3)
     rows = [(i, [rng.randint(-4, 4) for _ in range(20)]) for i in range(400)] + [(1000 + i, [1] * 20) for i in range(50)] + [(2000, [5]), (2001, [7]), (2002, [2**28] * 20)]
     df = spark.createDataFrame(rows, "vec_id long, vec array<long>")
     asked = [r for r in rows if r[0] % 50 == 0]
-    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, query_block=3).collect()
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block_bytes=8 * 20 * 40, sample=sample).collect()
     assert sorted(map(tuple, got)) == brute_top_k(rows, asked, 5)
 
 
@@ -72,6 +73,27 @@ def test_top_k_drops_what_takes_no_part(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_clustered_vectors_are_pruned():
+    """Of 40 groups of similar rows a query scores little more than its own, and the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-200, 200, (40, 8)).repeat(8, axis=1)
+    x = centres.repeat(200, axis=0) + rng.integers(-20, 20, (8000, 64))
+    ids, stats = np.arange(8000), {}
+    q = x[::200]
+    exact = q @ x.T
+    exact[np.arange(40), ids[::200]] = np.iinfo(np.int64).min
+    want = [sorted((-s, i) for i, s in enumerate(e))[:5] for e in exact.tolist()]
+    least = np.full(40, np.iinfo(np.int64).min)
+    at, vec, score = topk.best_of_block(ids[::200], q, least, ids, x, 5, stats)
+    assert [[(-s, v) for a, v, s in zip(at, vec, score) if a == i] for i in range(40)] == want
+    # with the thresholds that a sample gives
+    sampled = np.sort(exact[:, rng.permutation(8000)[:2000]], axis=1)[:, -5]
+    stats = {}
+    at, vec, score = topk.best_of_block(ids[::200], q, sampled, ids, x, 5, stats)
+    assert [[(-s, v) for a, v, s in zip(at, vec, score) if a == i] for i in range(40)] == want
+    assert stats["pairs"] == 320_000 and stats["fine"] <= stats["coarse"] < 0.2 * stats["pairs"]
+
+
 def test_segment_bound_holds():
     rng = np.random.default_rng(0)
     q, x = rng.integers(-300, 300, (30, 37)), rng.integers(-300, 300, (200, 37))
