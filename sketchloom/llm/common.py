@@ -48,6 +48,25 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_frequent(left: DataFrame, right: DataFrame, key: str | list[str], size: str, least: int, how: str = "inner") -> DataFrame:
+    """Join on keys that ``right`` holds once, with the number of ``left``'s rows of each in ``size``.
+
+    Keys of ``least`` rows or more, of which there are at most rows / least, are
+    broadcast, so no task gets all rows of a frequent key; the others meet in a
+    merge join.  ``how`` is inner or left.
+    """
+    hot = F.broadcast(right.where(F.col(size) >= least))
+    keys = [key] if isinstance(key, str) else key
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(size) < least).hint("merge"), keys, how)
+    return left.join(hot, keys).unionByName(rest)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``join_frequent`` of a written table, keys with a share of 1 / ``share`` of its rows being frequent."""
+    sized = right.join(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    return join_frequent(left, sized, key, "_n", max(64, left.count() // share), how).drop("_n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

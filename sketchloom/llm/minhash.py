@@ -11,10 +11,12 @@
    texts share is skipped too; frequent pairs are those above a share of 1/1000,
    hence bounded in number.
 3. Round one compares each posting list's members with its smallest member only.
-   A second signature, ``BINS`` bins of one permutation, estimates a pair's
-   similarity closely (nearly exactly where a text has fewer shingles than
-   bins); pairs that may reach the threshold, by six standard deviations, are
-   confirmed on their sets, and confirmed links contracted into components.
+   A pair's collisions are counted by merging the two signatures; pairs with
+   ``AGREE`` go on.  A second signature, ``BINS`` bins of one permutation,
+   estimates their similarity closely (nearly exactly where a text has fewer
+   shingles than bins); pairs that may reach the threshold, by six standard
+   deviations, are confirmed on their sets, and confirmed links contracted into
+   components.
 4. Round two takes the posting lists that still hold several components, and
    compares members of different components, in cells of a bounded number of
    rows.  Members that already share the component of the list's first member
@@ -22,7 +24,13 @@
    coordinate is in one component or was compared, so no link is lost.  A group
    whose members mostly link costs about one comparison a member.  Members that
    link with nobody are compared with the whole list, by their signatures; the
-   sets are read for pairs that may reach the threshold.
+   sets are read for pairs that may reach the threshold.  Within a cell, rows
+   that links above the threshold by five standard deviations already join are
+   not compared further.
+
+A frequent coordinate, a long list's first member and the copies of one text
+are split over tasks: by broadcasting the few frequent keys, or by a part number
+that the other side is repeated for.
 
 Only representatives that are in some pair have their sets built, from their
 texts.  Nothing is collected but the bounded list of frequent pairs and counts.
@@ -37,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import join_counted, join_frequent, materialize, text_of
 from .components import components
 from .textblocks import mix, shingle_sets
 
@@ -46,6 +54,8 @@ BINS, EMPTY = 512, 255
 PREFIX = NARROW - AGREE + 1
 FREQUENT = 1000
 CELL = 128
+#: Pairs of one member that meet its set in one task.
+PART = 256
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +82,8 @@ def bins(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx, ny, similarity: float) -> np.ndarray:
-    """Whether pairs of bins (rows) may come from sets of at least that similarity.
+def may_link(x: np.ndarray, y: np.ndarray, nx, ny, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs of bins (rows) may come from sets of at least that similarity, and whether they nearly surely do.
 
     At the threshold the union has (nx + ny) / (1 + similarity) shingles, of
     which the bins hold a sample without replacement.
@@ -85,7 +95,7 @@ def may_link(x: np.ndarray, y: np.ndarray, nx, ny, similarity: float) -> np.ndar
     left_out = np.maximum(union - n, 0) / np.maximum(union - 1, 1)
     sigma = np.sqrt(similarity * (1 - similarity) / n * left_out)
     sizes = np.minimum(nx, ny) >= similarity * np.maximum(nx, ny)
-    return sizes & (agree >= n * (similarity - 6 * sigma) - 1.5)
+    return sizes & (agree >= n * (similarity - 6 * sigma) - 1.5), sizes & (agree >= n * (similarity + 5 * sigma) + 1.5)
 
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>, bins binary"
@@ -125,13 +135,18 @@ def _rows(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
+def _signature_rows(column) -> np.ndarray:
+    return np.array(column.flatten()).reshape(-1, NARROW)
+
+
 def _filter_pairs(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = _rows(batch.column(2), BINS), _rows(batch.column(3), BINS)
-                ok = may_link(x, y, np.array(batch.column(4)), np.array(batch.column(5)), similarity)
-                yield batch.select([0, 1]).filter(pa.array(ok))
+                a, b, sx, sy, x, y, nx, ny = batch.columns
+                collisions = (_signature_rows(sx) == _signature_rows(sy)).sum(axis=1)
+                ok, _ = may_link(_rows(x, BINS), _rows(y, BINS), np.array(nx), np.array(ny), similarity)
+                yield batch.select([0, 1]).filter(pa.array(ok & (collisions >= AGREE)))
 
     return run
 
@@ -178,12 +193,18 @@ def _cells(similarity: float):
             posted = np.array(t["mask"])[:, None] >> np.arange(NARROW) & 1 == 1
             here = t["token"][0].as_py() >> 32
             right = np.flatnonzero(side != 0)
+            comp = comp.copy()
             for i in np.flatnonzero(side != 1):
                 other = right[comp[right] != comp[i]]
                 same = sig[other] == sig[i]
                 first = (same & posted[other] & posted[i]).argmax(axis=1)
                 other = other[(same.sum(axis=1) >= AGREE) & (first == here)]
-                for j in other[may_link(held[other], held[i], n[other], n[i], similarity)]:
+                maybe, surely = may_link(held[other], held[i], n[other], n[i], similarity)
+                # one sure pair joins i with a whole component of the cell
+                whole, at = np.unique(comp[other[surely]], return_index=True)
+                close = np.concatenate([other[surely][at], other[maybe & ~np.isin(comp[other], whole)]])
+                comp[np.isin(comp, whole)] = comp[i]
+                for j in close:
                     out_a.append(min(rep[i], rep[j]))
                     out_b.append(max(rep[i], rep[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -191,21 +212,33 @@ def _cells(similarity: float):
     return run
 
 
+def _beside(pairs: DataFrame, key: str, held: DataFrame) -> DataFrame:
+    """(key, part, ...) pairs with what ``held`` knows of ``key``; a key in many pairs has a copy for each of their parts."""
+    wanted = pairs.select(key, "part").distinct().join(held, key)
+    return pairs.join(wanted, [key, "part"])
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b, part) whose full shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # one plan at every size: neither side has a bound that a broadcast could rely on
     texts = docs.select("doc_id", text_of().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "near-sets")
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        _beside(with_b, "a", sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
         .withColumn("common", F.size(F.array_intersect("sa", "sb")))
         .where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
     )
     return materialize(both.select("a", "b"), "near-links")
 
 
+def _in_parts(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with a part number: each a has a part for every PART of its pairs, about."""
+    sizes = pairs.select(F.col("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return join_counted(pairs, sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int").alias("part"))
+
+
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -224,7 +257,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     reps = materialize(
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "h1", "h2", "sig", "bins")
-        .agg(F.min("doc_id").alias("rep")),
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
         "near-reps",
     )
     similarity = percent / 100
@@ -246,12 +279,13 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     lists = materialize(
         posts.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-lists"
     )
-    posts = materialize(posts.join(lists, "token"), "near-shared")
-    side = lambda id_, bins_, n: reps.select(F.col("rep").alias(id_), F.col("bins").alias(bins_), F.col("n_shingles").alias(n))
-    stars = posts.where("lead <> rep").select("lead", "rep").distinct()
-    stars = stars.join(side("rep", "x", "nx"), "rep").join(side("lead", "y", "ny"), "lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "x", "y", "nx", "ny")
-    first = materialize(stars.mapInArrow(_filter_pairs(similarity), "a long, b long"), "near-stars")
-    links = _confirm(first, docs, width, percent)
+    posts = materialize(join_frequent(posts, lists, "token", "size", least), "near-shared")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART)).cast("int")
+    stars = posts.where("lead <> rep").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.min(part).alias("part"))
+    of = lambda id_, *names: reps.select(F.col("rep").alias(id_), *[F.col(c).alias(n) for c, n in zip(("sig", "bins", "n_shingles"), names)])
+    stars = _beside(stars.join(of("b", "sy", "y", "ny"), "b"), "a", of("a", "sx", "x", "nx"))
+    first = materialize(stars.select("a", "b", "sx", "sy", "x", "y", "nx", "ny").mapInArrow(_filter_pairs(similarity), "a long, b long"), "near-stars")
+    links = _confirm(_in_parts(first), docs, width, percent)
     comp = components(links, "a", "b")
 
     # round two: lists with several components
@@ -259,23 +293,20 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
         "comp", F.coalesce("comp", "rep")
     )
     member = materialize(member, "near-members")
+    per_comp = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("rep") == F.col("lead")).alias("leads"))
     open_lists = materialize(
-        member.groupBy("token")
+        per_comp.groupBy("token")
         .agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.max(F.when(F.col("rep") == F.col("lead"), F.col("comp"))).alias("main"),
-            F.count(F.lit(1)).alias("all"),
+            F.sum("n").alias("all"),
+            F.sum(F.when(~F.col("leads"), F.col("n")).otherwise(0)).alias("n_rest"),
+            F.max(F.when(F.col("leads"), F.col("comp"))).alias("main"),
         )
-        .where("lo <> hi"),
+        .where("n_rest > 0"),
         "near-open",
     )
-    member = member.join(open_lists.select("token", "main", "all"), "token").withColumn(
-        "is_main", F.col("comp") == F.col("main")
-    )
-    member = materialize(member.select("token", "rep", "mask", "comp", "is_main", "all"), "near-open-members")
-    rest = materialize(member.groupBy("token").agg(F.sum((~F.col("is_main")).cast("long")).alias("n_rest")), "near-rest")
-    member = member.join(rest, "token").join(reps.select("rep", "n_shingles", "sig", "bins"), "rep")
+    member = join_frequent(member, open_lists, "token", "all", least).withColumn("is_main", F.col("comp") == F.col("main"))
+    member = materialize(member.select("token", "rep", "mask", "comp", "is_main", "all", "n_rest"), "near-open-members")
+    member = member.join(reps.select("rep", "n_shingles", "sig", "bins"), "rep")
     rest_cells = F.ceil(F.col("n_rest") / CELL).cast("int")
     main_cells = F.ceil((F.col("all") - F.col("n_rest")) / CELL).cast("int")
     spot = F.xxhash64("rep")
@@ -302,16 +333,19 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     )
     found = cells.groupBy("token", "x", "y").applyInArrow(_cells(similarity), "a long, b long").distinct()
     second = materialize(found.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    more = _confirm(second, docs, width, percent)
+    more = _confirm(_in_parts(second), docs, width, percent)
     comp = components(links.unionByName(more), "a", "b")
 
-    groups = reps.select("n_shingles", "h1", "h2", "rep")
-    label = (
-        signed.select("doc_id", "n_shingles", "h1", "h2")
-        .join(groups, ["n_shingles", "h1", "h2"], "left")
-        .join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
+    keys = ["n_shingles", "h1", "h2"]
+    is_node = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    # texts with equal sets: a third of the rows may have one
+    least = max(64, signed.count() // FREQUENT)
+    node = join_frequent(signed.where(is_node).select("doc_id", *keys), reps.select(*keys, "rep", "copies"), keys, "copies", least)
+    node = materialize(node.select("doc_id", "n_shingles", "rep"), "near-nodes")
+    top = materialize(reps.select("rep", "copies").join(comp.select(F.col("id").alias("rep"), "comp"), "rep"), "near-top")
+    node = join_frequent(node, top, "rep", "copies", least, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    label = node.unionByName(signed.where(~is_node).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("comp")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return label.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
     )
