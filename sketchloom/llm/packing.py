@@ -1,14 +1,19 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are dealt into shards as they are read.  Each shard has a BM25
-inverted index over its documents' token ids.  A window starts with a seed
-document; the index ranks the shard's other documents by the seed's terms, and
-the best unused ones follow until the window is full.  The document that
-crosses the border is cut there, and the rest of it is the next window's seed.
-A shard's last window is cut into sequences of powers of two, so nothing is
-padded.
-
-There is no shuffle: a shard lives within one task and is bounded in tokens.
+1. Every text is encoded once, and the ids are written.
+2. Document frequencies, the number of documents and their mean length are
+   counted over the whole corpus.
+3. A document's key is the term of its greatest BM25 weight among those that
+   another document has.  Keys, of which there are no more than terms, are laid
+   out in shards of about ``shard_tokens`` tokens, so documents about the same
+   rare term share a shard; a key with more tokens than that gets several shards.
+4. A shard has a BM25 inverted index over its documents, weighted by the corpus'
+   statistics.  A window starts with a seed document; the index ranks the
+   shard's other documents by all of the seed's terms, and the best unused ones
+   follow until the window is full.  The document that crosses the border is cut
+   there, and the rest of it is the next window's seed.
+5. What is left at the ends of shards is joined over many shards into further
+   sequences; the last of those are cut into powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -18,35 +23,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encode, json_encoder
-from .common import text_of
+from .common import materialize, text_of
 
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 1_000_000
-_OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Shards whose ends are joined; they hold fewer than a window of tokens each.
+ENDS_OF = 500
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
+
+
+class Statistics:
+    """Of all documents: how many have each term, their number and mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.mean = df, max(mean, 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        """BM25 weights of terms that occur ``tf`` times in documents of ``length`` terms."""
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def key(self, ids: np.ndarray) -> int:
+        """The term of the greatest weight that another document has, the smallest of equals; -1 if there is none."""
+        term, tf = np.unique(ids, return_counts=True)
+        shared = self.df[term] > 1
+        term, tf = term[shared], tf[shared]
+        return int(term[np.argmax(self.weights(term, tf, len(ids)))]) if len(term) else -1
 
 
 class Index:
     """A BM25 inverted index of one shard; a query is all of a document's terms."""
 
-    def __init__(self, docs: list[np.ndarray], n_terms: int):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], stats: Statistics):
+        n, n_terms = len(docs), len(stats.df)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         terms = np.concatenate(docs).astype(np.int64)
         key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), lengths) * n_terms + terms, return_counts=True)
         doc, term = key // n_terms, key % n_terms
-        df = np.bincount(term, minlength=n_terms)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))).astype(np.float32)
-        self.n, self.df = n, df
+        weight = stats.weights(term, tf, lengths[doc]).astype(np.float32)
+        self.n, self.df = n, np.bincount(term, minlength=n_terms)
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.term = term
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
-        self.post_at = np.concatenate([[0], np.cumsum(df)])
+        self.post_at = np.concatenate([[0], np.cumsum(self.df)])
 
     def neighbours(self, d: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with ``d``, best first."""
@@ -60,9 +85,12 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def order_documents(docs: list[np.ndarray], window: int, n_terms: int) -> Iterator[int]:
+def order_documents(docs: list[np.ndarray], window: int, stats: Statistics) -> Iterator[int]:
     """The order in which seeds and their neighbours fill the windows."""
-    index = Index(docs, n_terms)
+    if len(docs) < 3:
+        yield from range(len(docs))
+        return
+    index = Index(docs, stats)
     unused = np.ones(len(docs), dtype=bool)
     free, at, seed, ranked, k = 0, 0, None, None, 0
     for _ in docs:
@@ -84,67 +112,156 @@ def order_documents(docs: list[np.ndarray], window: int, n_terms: int) -> Iterat
         at += len(docs[d])
 
 
-def pack_shard(docs: list[np.ndarray], window: int, n_terms: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece of a shard."""
-    total = sum(map(len, docs))
+def cut(lengths: list[int], window: int, powers: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place in the list, start, length, sequence, offset) of each piece of stretches that follow one another.
+
+    The last window, if not full, is cut into powers of two if ``powers``, else
+    it is one sequence.
+    """
+    total = sum(lengths)
     ends = [*range(window, total + 1, window)]
     end = ends[-1] if ends else 0
-    for bit in range((total - end).bit_length() - 1, -1, -1):
+    for bit in range((total - end).bit_length() - 1, -1, -1) if powers else []:
         if (total - end) >> bit & 1:
             ends.append(end := end + (1 << bit))
+    if end < total:
+        ends.append(total)
     at = s = begin = 0
-    for d in order_documents(docs, window, n_terms):
+    for i, n in enumerate(lengths):
         start = 0
-        while start < len(docs[d]):
-            length = min(len(docs[d]) - start, ends[s] - at)
-            yield d, start, length, s, at - begin
+        while start < n:
+            length = min(n - start, ends[s] - at)
+            yield i, start, length, s, at - begin
             start, at = start + length, at + length
             if at == ends[s]:
                 begin, s = at, s + 1
 
 
-def pack_documents(docs: DataFrame, make_encoder: Callable, n_terms: int, end_id: int = 1, window: int = 2048) -> DataFrame:
+def pack_shard(docs: list[np.ndarray], window: int, stats: Statistics) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece of a shard; the last sequence may not be full."""
+    order = list(order_documents(docs, window, stats))
+    for i, *piece in cut([len(docs[d]) for d in order], window, False):
+        yield order[i], *piece
+
+
+def _encoded(make_encoder: Callable, end_id: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = make_encoder()
+        for batch in batches:
+            ids = [np.append(encode(enc, t.as_py()), np.uint32(end_id)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "tokens", "ids"]
+            )
+
+    return run
+
+
+def _document_frequencies(n_terms: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n_terms, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                df[np.unique(np.frombuffer(x.as_py(), kind))] += 1
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(df[term])], ["term", "n"])
+
+    return run
+
+
+def _keys(stats: Statistics, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([stats.key(np.frombuffer(x.as_py(), kind)) for x in batch.column(2)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["doc_id", "tokens", "ids", "key"])
+
+    return run
+
+
+def lay_out(tokens: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """(key, first shard, number of shards): keys in order, as many in a shard as fit; a large one has shards of its own."""
+    out, shard, held = [], 0, 0
+    for key, n in sorted(tokens.items()):
+        if held and held + n > shard_tokens:
+            shard, held = shard + 1, 0
+        out.append((key, shard, max(1, -(-n // shard_tokens))))
+        held += n
+        if n > shard_tokens:
+            shard, held = shard + out[-1][2], 0
+    return out
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * 8
+    arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.binary())]
+    return pa.Table.from_arrays(arrays, [*_NAMES, "rest"])
+
+
+def _pack(stats: Statistics, window: int, kind: str):
+    """Pieces of a shard; those of a last sequence that is not full carry their ids along."""
+
+    def run(t: pa.Table) -> pa.Table:
+        shard = t["shard"][0].as_py()
+        data = t["ids"].to_pylist()
+        doc_ids = t["doc_id"].to_pylist()
+        order = sorted(range(len(data)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0, data[i]))
+        docs = [np.frombuffer(data[i], kind).astype("<u4") for i in order]
+        pieces, filled = list(pack_shard(docs, window, stats)), {}
+        for _, _, length, s, _ in pieces:
+            filled[s] = filled.get(s, 0) + length
+        rows = []
+        for d, start, length, s, offset in pieces:
+            part = docs[d][start : start + length].tobytes()
+            rows.append((doc_ids[order[d]], start, length, zlib.crc32(part), len(docs[d]), (shard << 32) + s, offset, part if filled[s] < window else None))
+        return _table(rows)
+
+    return run
+
+
+def _pack_ends(window: int):
+    """Sequences of what was left at the ends of shards."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rest = sorted(t.drop_columns(["part"]).to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
+        first = (1 << 62) + (t["part"][0].as_py() << 32)
+        rows = []
+        for i, start, length, s, offset in cut([r["length"] for r in rest], window, True):
+            r = rest[i]
+            rows.append((r["doc_id"], r["start"] + start, length, zlib.crc32(r["rest"][4 * start : 4 * (start + length)]), r["doc_tokens"], first + s, offset, None))
+        return _table(rows)
+
+    return run
+
+
+def pack_documents(docs: DataFrame, make_encoder: Callable, n_terms: int, end_id: int = 1, window: int = 2048, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Return the pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     ``window`` is a power of two.  Each document is its ids and ``end_id``; every
     id lies in exactly one piece.  A null or empty text is the end id alone.
     Rows that repeat are packed singly; a null doc_id stays null; other columns
-    are ignored; an empty table gives no pieces.  sequence_id holds the task in
+    are ignored; an empty table gives no pieces.  sequence_id holds the shard in
     its upper bits, so it is unique but not gapless.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seq = make_encoder(), TaskContext.get().partitionId(), 0
-        ids: list = []
-        held: list[np.ndarray] = []
-
-        def flush():
-            nonlocal seq
-            rows, last = [], -1
-            for d, start, length, s, offset in pack_shard(held, window, n_terms):
-                crc = zlib.crc32(held[d][start : start + length].tobytes())
-                rows.append((ids[d], start, length, crc, len(held[d]), (task << 32) + seq + s, offset))
-                last = s
-            seq += last + 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in zip(*rows)],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-        tokens = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                one = np.append(encode(enc, text.as_py()), np.uint32(end_id)).astype("<u4")
-                if held and tokens + len(one) > SHARD_TOKENS:
-                    yield flush()
-                    ids, held, tokens = [], [], 0
-                ids.append(doc_id.as_py())
-                held.append(one)
-                tokens += len(one)
-        if held:
-            yield flush()
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, _OUT)
+    A shard holds about ``shard_tokens`` tokens or one longer document.  What the
+    driver fetches is bounded by ``n_terms``: frequencies, and tokens by key.
+    """
+    kind = "<u2" if n_terms <= 1 << 16 else "<u4"
+    ids = docs.select("doc_id", text_of().alias("text")).mapInArrow(_encoded(make_encoder, end_id, kind), "doc_id long, tokens long, ids binary")
+    ids = materialize(ids, "pack-ids")
+    n, total = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    df = np.zeros(n_terms, dtype=np.int64)
+    for term, count in ids.select("ids").mapInArrow(_document_frequencies(n_terms, kind), "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+        df[term] = count
+    stats = Statistics(df, n, total / max(n, 1))
+    keyed = materialize(ids.mapInArrow(_keys(stats, kind), "doc_id long, tokens long, ids binary, key int").withColumn("row", F.monotonically_increasing_id()), "pack-keyed")
+    places = lay_out({r[0]: r[1] for r in keyed.groupBy("key").agg(F.sum("tokens")).collect()}, shard_tokens)
+    # a row for each key, hence no more than terms
+    places = F.broadcast(docs.sparkSession.createDataFrame(places, "key int, first long, n int"))
+    shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("n"))
+    packed = keyed.join(places, "key").select("doc_id", "ids", shard.alias("shard")).groupBy("shard").applyInArrow(_pack(stats, window, kind), f"{_PIECE}, rest binary")
+    packed = materialize(packed, "pack-shards")
+    ends = packed.where("rest IS NOT NULL").withColumn("part", F.floor(F.shiftright("sequence_id", 32) / ENDS_OF))
+    ends = ends.groupBy("part").applyInArrow(_pack_ends(window), f"{_PIECE}, rest binary")
+    return packed.where("rest IS NULL").unionByName(ends).select(*_NAMES)
 
 
 def json_vocabulary(path: str, pattern: str) -> Callable:

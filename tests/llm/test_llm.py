@@ -324,7 +324,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -341,19 +340,80 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack_documents(empty, make, 50_257).count() == 0
 
 
+def stats_of(docs, n_terms):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=n_terms)
+    return packing.Statistics(df, len(docs), sum(map(len, docs)) / len(docs))
+
+
 def test_neighbours_follow_their_seed():
     a, b = np.arange(100, 130, dtype="<u4"), np.arange(500, 530, dtype="<u4")
     docs = [a, b, b[::-1].copy(), a[::-1].copy()]
-    assert list(packing.order_documents(docs, 64, 1000)) == [0, 3, 1, 2]
+    assert list(packing.order_documents(docs, 64, stats_of(docs, 1000))) == [0, 3, 1, 2]
 
 
 def test_neighbours_by_any_term_of_the_seed():
     seed, other = np.arange(100, 140, dtype="<u4"), np.arange(500, 530, dtype="<u4")
     docs = [seed, other, *(np.array([t, 900 + t], dtype="<u4") for t in seed)]
-    found = packing.Index(docs, 2000).neighbours(0, np.array([False] + [True] * 41))
+    found = packing.Index(docs, stats_of(docs, 2000)).neighbours(0, np.array([False] + [True] * 41))
     assert sorted(found.tolist()) == list(range(2, 42))
 
 
+def test_order_of_documents_against_brute_force():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 60, rng.integers(1, 90)).astype("<u4") for _ in range(150)]
+    stats, window = stats_of(docs[:100], 60), 128  # the corpus' statistics are not the shard's
+    counts = [collections.Counter(d.tolist()) for d in docs]
+
+    def score(seed, d):
+        weight = lambda t: stats.idf[t] * counts[d][t] * 2.2 / (counts[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / stats.mean))
+        return sum(weight(t) for t in counts[seed] if counts[d][t])
+
+    unused, at, seed = set(range(150)), 0, None
+    got = list(packing.order_documents(docs, window, stats))
+    for d in got:
+        if at % window and seed is not None and any(score(seed, u) for u in unused):
+            assert score(seed, d) >= max(score(seed, u) for u in unused) - 1e-4
+        else:
+            assert d == min(unused)
+        unused.remove(d)
+        if at % window == 0 or at // window != (at + len(docs[d])) // window:
+            seed = d
+        at += len(docs[d])
+    assert sorted(got) == list(range(150))
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    """Related documents far apart in the table share a shard, however the table is split."""
+    rng = random.Random(2)
+    common, rare = [f"the{i}" for i in range(30)], [f"zyx{i}qv" for i in range(40)]
+    texts = [" ".join([rng.choice(common) for _ in range(60)] + [rare[i % 40]] * 20) for i in range(400)]
+    make = packing.json_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    out = []
+    for n in (1, 7):
+        rows = packing.pack_documents(docs_of(spark, texts).repartition(n), make, 50_257, shard_tokens=20_000).collect()
+        check_packing(rows, dict(enumerate(reference_ids(texts))))
+        out.append(sorted(tuple(r)[:5] + (r["sequence_id"], r["offset"]) for r in rows))
+    assert out[0] == out[1]
+    small = [s for s in {r[5] for r in out[0]} if sum(x[2] for x in out[0] if x[5] == s) < 2048]
+    assert len({r[5] >> 32 for r in out[0]}) > 3 and len(small) <= 11  # the ends of all shards are joined
+
+
+def test_a_key_beyond_a_shard():
+    got = packing.lay_out({5: 10, 7: 250, 9: 40, 11: 70}, 100)
+    assert got == [(5, 0, 1), (7, 1, 3), (9, 4, 1), (11, 5, 1)]
+
+
+def test_long_runs_and_added_tokens_in_packing(spark):
+    texts = ["a <|endoftext|> b", " " * 1_500_000, "\n" * 1_200_000 + "x", "y" * 1_000_000, "<|endoftext|>"]
+    make = packing.json_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rows = packing.pack_documents(docs_of(spark, texts), make, 50_257).collect()
+    for d in (0, 4):
+        ids, own = reference_ids([texts[d]])[0], sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"])
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes()) for r in own]
+        assert sum(r["length"] for r in own) == len(ids) == own[0]["doc_tokens"]
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[1] == 1_500_001
+
+
 # 8: near dedup ----------------------------------------------------------------
 
 
