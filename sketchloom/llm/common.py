@@ -63,7 +63,8 @@ def join_frequent(left: DataFrame, right: DataFrame, key: str | list[str], size:
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
     """``join_frequent`` of a written table, keys with a share of 1 / ``share`` of its rows being frequent."""
-    sized = right.join(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    # a frequent key that ``right`` lacks has its row too, if such rows are kept
+    sized = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(right, key, how)
     return join_frequent(left, sized, key, "_n", max(64, left.count() // share), how).drop("_n")
 
 
