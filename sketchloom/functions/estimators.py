@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ def ht_estimate(m: int, name: str = "ht") -> Column:
     return F.greatest(F.lit(0.0), F.round(c("sum") + full))
 
 
+def ht_array(c: np.ndarray, m: int) -> np.ndarray:
+    """``ht_estimate`` of counts whose last axis is the bit."""
+    c = c.astype(np.float64)
+    z = 2.0 ** np.arange(c.shape[-1])
+    some, full = (c > 0) & (c < m), c >= m
+    part = -m * np.log1p(-np.where(some, c, 0) / m)
+    lowest = np.take_along_axis(part * z, some.argmax(axis=-1)[..., None], -1)[..., 0]
+    extra = np.where(some.any(axis=-1), lowest * (full / z).sum(axis=-1), full.sum(axis=-1) * (m * math.log(m)))
+    return np.maximum(0.0, np.floor(part.sum(axis=-1) + extra + 0.5))
+
+
 def alpha(m: int) -> float:
     return ALPHA.get(m, ALPHA_LARGE)
 

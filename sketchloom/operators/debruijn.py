@@ -125,3 +125,29 @@ def restore(edges: DataFrame, key: str, order: str, start: str = "<S>", end: str
 
     kind = dict(edges.dtypes)[key]
     return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, sequence string, is_eulerian boolean")
+
+
+def generate(edges: DataFrame, start: str, steps: int) -> DataFrame:
+    """(place, node): from a node along the likeliest continuation, each ``steps`` at most.
+
+    Every node has one likeliest continuation, so the way is found by asking for
+    one node's row a step; nothing but that row is fetched.
+    """
+    nxt = edges.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("multiplicity"), "label"))).where("rank = 1").select("src", "dst").cache()
+    at, way = start, [(0, start)]
+    for place in range(1, steps + 1):
+        row = nxt.where(F.col("src") == at).first()
+        if row is None:
+            break
+        at = row["dst"]
+        way.append((place, at))
+    nxt.unpersist()
+    return edges.sparkSession.createDataFrame(way, "place int, node string")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(nodes, parts, is_connected) of the graph without directions."""
+    from .lattice import parts_of
+
+    part = parts_of(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return part.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("part").alias("parts"), (F.countDistinct("part") <= 1).alias("is_connected"))

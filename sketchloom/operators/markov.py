@@ -2,7 +2,8 @@
 
 Transition tables are DataFrames (i, j, p).  Chains over at most ``DENSE``
 states are small matrices, for which the driver uses numpy; above that the
-power iteration stays a join and an aggregation per step.
+power iteration stays a join and an aggregation per step, by the same rule of
+when to stop.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import bounded, written
+
 DENSE = 2000
 
 
@@ -30,7 +33,8 @@ def transition(pairs: DataFrame) -> DataFrame:
 
 
 def dense(t: DataFrame) -> tuple[list, np.ndarray]:
-    rows = t.collect()
+    """Labels and matrix of a chain of at most DENSE states; a larger one is an error."""
+    rows = bounded(t, DENSE * DENSE)
     labels = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
     at = {x: k for k, x in enumerate(labels)}
     m = np.zeros((len(labels), len(labels)))
@@ -51,16 +55,20 @@ def power(m: np.ndarray, damping: float = 1.0, steps: int = 200, tolerance: floa
     return x / x.sum() if x.sum() > 0 else x
 
 
-def power_distributed(t: DataFrame, damping: float, steps: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(state, score) by ``steps`` joins; ``cut`` ends the lineage, for example DataFrame.checkpoint."""
+def power_distributed(t: DataFrame, damping: float, steps: int, tolerance: float = 0.0, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(state, score) by at most ``steps`` joins, fewer if the scores change by less than ``tolerance`` in all; ``cut`` ends the lineage."""
     states = t.select(F.col("i").alias("state")).distinct()
     n = states.count()
-    x = states.withColumn("score", F.lit(1.0 / n))
+    x, total = states.withColumn("score", F.lit(1.0 / n)), 1.0
     for _ in range(steps):
         flow = t.join(x, t.i == x.state).groupBy(F.col("j").alias("state")).agg(F.sum(F.col("p") * F.col("score")).alias("flow"))
-        x = cut(states.join(flow, "state", "left").select("state", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) / n).alias("score")))
-    total = x.agg(F.sum("score")).first()[0]
-    return x.withColumn("score", F.col("score") / total)
+        new = states.join(flow, "state", "left").select("state", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping) * total / n).alias("score"))
+        new = cut(new.join(x.withColumnRenamed("score", "old"), "state"))
+        total, moved = new.agg(F.sum("score"), F.sum(F.abs(F.col("score") - F.col("old")))).first()
+        x = new.select("state", "score")
+        if moved < tolerance:
+            break
+    return x.withColumn("score", F.col("score") / total) if total > 0 else x
 
 
 def ranked(t: DataFrame, damping: float = 0.85, steps: int = 200, tolerance: float = 1e-8) -> DataFrame:
@@ -68,7 +76,7 @@ def ranked(t: DataFrame, damping: float = 0.85, steps: int = 200, tolerance: flo
     spark = t.sparkSession
     n = t.select("i").distinct().count()
     if n > DENSE:
-        return power_distributed(t, damping, steps, lambda df: df.checkpoint())
+        return power_distributed(t, damping, steps, tolerance)
     labels, m = dense(t)
     scores = power(m, damping, steps, tolerance)
     return spark.createDataFrame([(x, float(v)) for x, v in zip(labels, scores)], "state string, score double")

@@ -7,6 +7,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import bounded
+
+MOST_EDGES = 4_000_000
+
 
 def edges(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
     """(parent, child, probability) of pairs that depend enough on each other.
@@ -50,10 +54,11 @@ def propagate(net: DataFrame, beliefs: dict[str, float], evidence: set[str] = fr
     """Beliefs after one pass from parents to children.
 
     A network is as small as the list of its nodes' names, so its edges are
-    collected; nodes in ``evidence`` keep belief 1.
+    collected, and more than MOST_EDGES are an error; nodes in ``evidence`` keep
+    belief 1.
     """
     parents, children, degree = defaultdict(list), defaultdict(list), defaultdict(int)
-    for r in net.select("parent", "child", "probability").collect():
+    for r in bounded(net.select("parent", "child", "probability"), MOST_EDGES):
         parents[r["child"]].append((r["parent"], r["probability"]))
         children[r["parent"]].append(r["child"])
         degree[r["child"]] += 1
@@ -91,3 +96,15 @@ def isomorphism_witness(pairs: DataFrame) -> DataFrame:
         F.abs(F.when(F.col("card_b") > 0, F.least(F.lit(1.0), F.col("card_ab") / F.col("card_b"))).otherwise(0.0) - F.when(F.col("card_b") > 0, F.col("card_ab") / F.col("card_b")).otherwise(0.0)).alias("e")
     )
     return d.agg(F.count("e").alias("pairs"), F.max("e").alias("max_error"), F.avg("e").alias("mean_error"))
+
+
+def from_lattice(reduced: DataFrame) -> DataFrame:
+    """(parent, child) of a subset order's reduction (a, b): the larger set is the parent."""
+    return reduced.select(F.col("b").alias("parent"), F.col("a").alias("child")).distinct()
+
+
+def from_ring(decomposed: DataFrame, pairs: DataFrame, key: str, threshold: float = 0.1) -> DataFrame:
+    """The network over a ring's base vectors only."""
+    base = decomposed.where("is_base").select(F.col(key).alias("k"))
+    inside = pairs.join(base.withColumnRenamed("k", "a"), "a", "left_semi").join(base.withColumnRenamed("k", "b"), "b", "left_semi")
+    return edges(inside, threshold)

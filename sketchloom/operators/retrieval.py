@@ -93,3 +93,27 @@ def prompt(documents: list[tuple[str, str, float]], query: str, width: int = 200
         cut = text if len(text) <= width else text[:width].rstrip() + "..."
         lines.append(f"- [{name}, weight {weight:.3f}] {cut}")
     return "\n".join(lines)
+
+
+def forward_two_phase(query: DataFrame, levels: DataFrame, time: str, least: float, **options) -> DataFrame:
+    """``collect_context`` over the levels that share enough with the query: a cheap choice first, then the walk.
+
+    The first phase counts common positions, as a share of the query's.
+    """
+    size = query.select("reg", "zeros").distinct().count()
+    shared = levels.join(query.select("reg", "zeros").distinct(), ["reg", "zeros"], "left_semi").groupBy(time).agg(F.count(F.lit(1)).alias("n"))
+    chosen = shared.where(F.col("n") >= least * size).select(time)
+    return collect_context(query, levels.join(chosen, time, "left_semi"), time, **options)
+
+
+def forward_chain(scored: DataFrame, transitions: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, weight): the query's relevance (b, score) spread along a chain (a, b, p) for some steps.
+
+    The walk is followed in distribution, not drawn, so the result is the mean
+    of all walks.
+    """
+    total = F.sum("score").over(W.partitionBy())
+    at = scored.where("score > 0").select(F.col("b").alias("node"), (F.col("score") / total).alias("weight"))
+    for _ in range(steps):
+        at = at.join(transitions.select(F.col("a").alias("node"), F.col("b").alias("to"), "p"), "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("weight") * F.col("p")).alias("weight"))
+    return at

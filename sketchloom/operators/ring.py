@@ -110,3 +110,21 @@ def snapshot_diff(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
         *keys, F.array_sort(F.array_except(new, old)).alias("added"), F.array_sort(F.array_except(old, new)).alias("removed"),
         F.array_sort(F.array_intersect(new, old)).alias("shared"), (F.size(new) - F.size(old)).alias("rank_delta"),
     )
+
+
+def matrix(rows: DataFrame, key: str) -> DataFrame:
+    """(key, bit): the ones of the matrix whose rows are the vectors."""
+    return rows.select(key, F.explode("bits").alias("bit"))
+
+
+def rank(rows: DataFrame, ring: str, key: str) -> DataFrame:
+    """(ring, vectors, rank): each partition reduces its own vectors first, so one task sees at most a basis of each."""
+    n = rows.groupBy(ring).agg(F.count(F.lit(1)).alias("vectors"))
+    d = decompose(partial_basis(rows, ring, key), ring, key, key)
+    return n.join(d.groupBy(ring).agg(F.max("rank").alias("rank")), ring)
+
+
+def stats(decomposed: DataFrame, ring: str) -> DataFrame:
+    """(ring, vectors, rank, compression): vectors held by how many bases."""
+    g = decomposed.groupBy(ring).agg(F.count(F.lit(1)).alias("vectors"), F.count_if("is_base").alias("rank"))
+    return g.withColumn("compression", F.col("vectors") / F.greatest(F.col("rank"), F.lit(1)))

@@ -75,14 +75,27 @@ def name(packed: DataFrame) -> DataFrame:
     return packed.withColumn("name", F.sha1("bitmap"))
 
 
+def _of_one_precision(packed: DataFrame, keys: tuple, aggregate: Column) -> DataFrame:
+    """An aggregate of bitmaps; sketches of different precision under one key are an error."""
+    n = F.octet_length("bitmap")
+    g = packed.groupBy(*keys).agg(aggregate.alias("bitmap"), F.min(n).alias("_low"), F.max(n).alias("_high"))
+    mixed = F.raise_error(F.lit("sketches of different precision cannot be combined")).cast("binary")
+    return g.select(*keys, F.when(F.col("_low") == F.col("_high"), F.expr("substring(bitmap, 1, _low)")).otherwise(mixed).alias("bitmap"))
+
+
 def merge(packed: DataFrame, *keys: str) -> DataFrame:
     """Union of all sketches of a key."""
-    return packed.groupBy(*keys).agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return _of_one_precision(packed, keys, F.bitmap_or_agg("bitmap"))
 
 
 def meet_all(packed: DataFrame, *keys: str) -> DataFrame:
     """Intersection of all sketches of a key."""
-    return packed.groupBy(*keys).agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
+    return _of_one_precision(packed, keys, F.bitmap_and_agg("bitmap"))
+
+
+def precision(packed: DataFrame) -> DataFrame:
+    """Add p, from the length of each bitmap."""
+    return packed.withColumn("p", F.round(F.log2(F.octet_length("bitmap") * 8 / H.BITS)).cast("int"))
 
 
 def xor_all(long: DataFrame, *keys: str) -> DataFrame:
@@ -159,6 +172,11 @@ def register(long: DataFrame, reg: int) -> DataFrame:
     return long.where(F.col("reg") == reg)
 
 
+def bits_held(long: DataFrame, bits: DataFrame) -> DataFrame:
+    """(reg, zeros, held): which of the given positions a sketch holds."""
+    return bits.select("reg", "zeros").join(long.select("reg", "zeros", F.lit(True).alias("held")).distinct(), ["reg", "zeros"], "left").fillna(False, ["held"])
+
+
 def has_bit(long: DataFrame, reg: int, zeros: int) -> bool:
     return long.where((F.col("reg") == reg) & (F.col("zeros") == zeros)).limit(1).count() == 1
 
@@ -198,3 +216,18 @@ def rolled_up(tokens: DataFrame, token: str, dims: list[str], cube: bool = False
     sets = F.array(*[F.struct(F.lit(x).cast("long").alias("level"), *[(F.col(d) if d in kept[x] else F.lit(None).cast(types[d])).alias(d) for d in dims]) for x in levels])
     spread = long.select(F.explode(sets).alias("s"), "reg", "zeros").select("s.*", "reg", "zeros").distinct()
     return cardinality(spread, *dims, "level")
+
+
+def sparse_form(long: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., places): sorted distances between neighbouring positions, from the first one; small for sparse sketches."""
+    at = F.array_sort(F.collect_list(_bit(0)))
+    held = long.groupBy(*keys).agg(at.alias("at"))
+    gaps = F.transform("at", lambda x, i: F.when(i == 0, x).otherwise(x - F.element_at("at", F.greatest(i, F.lit(1)))))
+    return held.select(*keys, gaps.alias("places"))
+
+
+def from_sparse(sparse: DataFrame, *keys: str) -> DataFrame:
+    """The long form of ``sparse_form``."""
+    at = F.transform("places", lambda x, i: F.aggregate(F.slice("places", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y))
+    pos = sparse.select(*keys, F.explode(at).alias("at"))
+    return pos.select(*keys, F.floor(F.col("at") / H.BITS).cast("int").alias("reg"), F.pmod("at", F.lit(H.BITS)).cast("int").alias("zeros"))

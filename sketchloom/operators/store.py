@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import sketch as S
+from .lattice import closure
 
 OPS = {"union": S.union, "intersect": S.intersect, "diff": S.difference, "xor": S.symmetric_difference}
 
@@ -45,15 +46,9 @@ def evaluate(base: DataFrame, plan: dict[str, tuple[str, list[str]]], wanted: st
 
 
 def lineage(derivations: DataFrame) -> DataFrame:
-    """(id, ancestor, depth) over all derivations (id, operands), by a recursive query."""
-    derivations.createOrReplaceTempView("store_derivations")
-    return derivations.sparkSession.sql("""
-        WITH RECURSIVE edge AS (SELECT id, explode(operands) AS operand FROM store_derivations),
-        walk(id, ancestor, depth) AS (
-            SELECT id, operand, 1 FROM edge
-            UNION ALL
-            SELECT w.id, e.operand, w.depth + 1 FROM walk w JOIN edge e ON e.id = w.ancestor)
-        SELECT id, ancestor, max(depth) AS depth FROM walk GROUP BY id, ancestor""")
+    """(id, ancestor, depth) over all derivations (id, operands); depth is the longest way."""
+    steps = derivations.select(F.col("id").alias("a"), F.explode("operands").alias("b"))
+    return closure(steps).select(F.col("a").alias("id"), F.col("b").alias("ancestor"), "depth")
 
 
 def bases(derivations: DataFrame) -> DataFrame:
@@ -113,14 +108,10 @@ def evolution_rate(log: DataFrame, last: int = 5) -> DataFrame:
 
 
 def history(links: DataFrame) -> DataFrame:
-    """(id, ancestor, distance) of commits (id, parent), each its own ancestor at distance 0."""
-    links.createOrReplaceTempView("store_commits")
-    return links.sparkSession.sql("""
-        WITH RECURSIVE up(id, ancestor, distance) AS (
-            SELECT id, id, 0 FROM store_commits
-            UNION ALL
-            SELECT u.id, c.parent, u.distance + 1 FROM up u JOIN store_commits c ON c.id = u.ancestor WHERE c.parent IS NOT NULL)
-        SELECT id, ancestor, distance FROM up""")
+    """(id, ancestor, distance) of commits (id, parent), each its own ancestor at distance 0, by the shortest way."""
+    steps = links.where(F.col("parent").isNotNull()).select(F.col("id").alias("a"), F.col("parent").alias("b"))
+    up = closure(steps, longest=False).select(F.col("a").alias("id"), F.col("b").alias("ancestor"), F.col("depth").alias("distance"))
+    return links.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct().unionByName(up)
 
 
 def common_ancestor(links: DataFrame, x, y) -> DataFrame:
@@ -159,3 +150,25 @@ def log_of(branches: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(ancestor, distance) from a branch's head back."""
     heads = branches.where(F.col("name") == name).select(F.col("head").alias("id"))
     return history(links).join(heads, "id", "left_semi").select("ancestor", "distance")
+
+
+def remove(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entries without those of the given ids."""
+    return entries.join(ids.select("id"), "id", "left_anti")
+
+
+def exist(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, found) of the asked ids."""
+    return ids.select("id").distinct().join(entries.select("id", F.lit(True).alias("found")).distinct(), "id", "left").fillna(False, ["found"])
+
+
+def refcounts(entries: DataFrame, derivations: DataFrame, rings: DataFrame) -> DataFrame:
+    """(id, refs): how many derivations and rings name each entry."""
+    used = derivations.select(F.explode("operands").alias("id")).unionByName(rings.select(F.explode("ids").alias("id")))
+    return entries.select("id").join(used.groupBy("id").agg(F.count(F.lit(1)).alias("refs")), "id", "left").fillna(0, ["refs"])
+
+
+def check_out(branches: DataFrame, links: DataFrame, deltas: DataFrame, name: str) -> DataFrame:
+    """(reg, zeros) of the state at a branch's head, ``deltas`` being (id, reg, zeros)."""
+    line = log_of(branches, links, name).select(F.col("ancestor").alias("id")).distinct()
+    return deltas.join(line, "id", "left_semi").select("reg", "zeros").distinct()

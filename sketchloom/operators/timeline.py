@@ -15,21 +15,26 @@ from pyspark.sql import Window as W
 
 from ..functions import estimators as E
 from ..functions import hashing as H
+from ..sources.tables import bounded
 from . import sketch as S
 
 DRIFT_ROWS = 50
+#: Edges between states that a walk on the driver may have.
+MOST_EDGES = 4_000_000
 
 
 def nodes(tokens: DataFrame, token: str, time: str, p: int = H.P_BITS) -> DataFrame:
-    """The timeline: (time, node_id, parent_id, bitmap, card, popcount).
+    """The timeline: (time, node_id, parent_id, parent_time, bitmap, card, popcount).
 
-    A node's id is its content's address; its parent is the node before it.
+    A node's id is its content's address; its parent is the node before it, and
+    as equal states share an id, the parent's time tells which of them it is.
     """
     packed = S.name(S.build(tokens, token, time, p=p)).withColumnRenamed("name", "node_id")
     long = S.long_form(tokens, token, time, p=p)
     stats = S.cardinality(long, time, p=p).join(S.popcount(long, time), time)
-    before = W.orderBy(time)
-    return packed.join(stats, time).withColumn("parent_id", F.lag("node_id").over(before)).select(time, "node_id", "parent_id", "bitmap", "card", "popcount")
+    # ids and times alone pass through the window over all steps
+    links = packed.select(time, "node_id").withColumn("parent_id", F.lag("node_id").over(W.orderBy(time))).withColumn("parent_time", F.lag(time).over(W.orderBy(time)))
+    return packed.join(stats, time).join(links.drop("node_id"), time).select(time, "node_id", "parent_id", "parent_time", "bitmap", "card", "popcount")
 
 
 def in_range(df: DataFrame, time: str, first, last) -> DataFrame:
@@ -220,20 +225,25 @@ def steering(pairs: DataFrame, step: float = 0.2, near: float = 0.95) -> DataFra
     )
 
 
+def components(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(component, reg, zeros): the positions that went, stayed and came."""
+    a, b = before.select("reg", "zeros", F.lit(1).alias("old")), after.select("reg", "zeros", F.lit(1).alias("new"))
+    which = F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "novel").otherwise("retained")
+    return a.join(b, ["reg", "zeros"], "full").select(which.alias("component"), "reg", "zeros")
+
+
 def recover_tokens(before: DataFrame, after: DataFrame, lut: DataFrame) -> DataFrame:
     """(component, token): what a token table knows about what went, stayed and came."""
-    a, b = before.select("reg", "zeros", F.lit(1).alias("old")), after.select("reg", "zeros", F.lit(1).alias("new"))
-    parts = a.join(b, ["reg", "zeros"], "full").withColumn("component", F.when(F.col("new").isNull(), "deleted").when(F.col("old").isNull(), "novel").otherwise("retained"))
-    return parts.join(lut.select("reg", "zeros", F.explode("ngrams").alias("token")), ["reg", "zeros"]).select("component", "token").distinct()
+    return components(before, after).join(lut.select("reg", "zeros", F.explode("ngrams").alias("token")), ["reg", "zeros"]).select("component", "token").distinct()
 
 
 def evolution_path(edges: DataFrame) -> list:
     """Greedy walk along the strongest edges from the most source-like node.
 
-    ``edges`` (a, b, tau) is between states, of which there are few; it is
-    collected.
+    ``edges`` (a, b, tau) is between states, of which there are few; more than
+    MOST_EDGES are an error.
     """
-    rows = [(r["a"], r["b"], r["tau"]) for r in edges.select("a", "b", "tau").collect()]
+    rows = [(r["a"], r["b"], r["tau"]) for r in bounded(edges.select("a", "b", "tau"), MOST_EDGES)]
     out: dict = {}
     for a, b, tau in rows:
         out.setdefault(a, []).append((b, tau))
@@ -252,7 +262,7 @@ def evolution_path(edges: DataFrame) -> list:
 def cheapest_path(edges: DataFrame, source, target) -> tuple[list, float] | None:
     """Dijkstra's path over (a, b, cost) between states; None if there is none."""
     out: dict = {}
-    for r in edges.select("a", "b", "cost").collect():
+    for r in bounded(edges.select("a", "b", "cost"), MOST_EDGES):
         out.setdefault(r["a"], []).append((r["b"], r["cost"]))
     heap, done = [(0.0, source, [source])], set()
     while heap:
@@ -265,3 +275,68 @@ def cheapest_path(edges: DataFrame, source, target) -> tuple[list, float] | None
                 if b not in done:
                     heapq.heappush(heap, (cost + c, b, [*path, b]))
     return None
+
+
+def by_id(df: DataFrame, node_id: str) -> DataFrame:
+    return df.where(F.col("node_id") == node_id)
+
+
+def as_of(left: DataFrame, right: DataFrame, time: str, value: str, *keys: str) -> DataFrame:
+    """``left`` with the ``value`` of the latest row of ``right`` at or before its time, under the same keys.
+
+    One window over the union of both sides, so a row meets no other row but the
+    last of the other side; keys deal the work.
+    """
+    types = dict(left.dtypes) | {value: dict(right.dtypes)[value]}
+    columns = [*keys, time, *(c for c in left.columns if c not in (*keys, time))]
+    a = left.select(*columns, F.lit(None).cast(types[value]).alias(value), F.lit(1).alias("_side"))
+    b = right.select(*keys, time, *[F.lit(None).cast(types[c]).alias(c) for c in columns if c not in (*keys, time)], value, F.lit(0).alias("_side"))
+    last = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(last))
+    return both.where("_side = 1").drop("_side")
+
+
+def shift_masks(long: DataFrame, time: str) -> DataFrame:
+    """(step, op, reg, zeros): the bits to clear and to set to get from each state to the next."""
+    here = long.join(_steps(long, time), time).select("step", "reg", "zeros")
+    last = here.agg(F.max("step")).first()[0] or 0
+    marks = here.select("step", "reg", "zeros", F.lit(1).alias("w")).unionByName(here.select((F.col("step") + 1).alias("step"), "reg", "zeros", F.lit(2).alias("w")))
+    w = marks.groupBy("step", "reg", "zeros").agg(F.sum("w").alias("w")).where((F.col("step") > 0) & (F.col("step") <= last) & (F.col("w") < 3))
+    return w.select("step", F.when(F.col("w") == 1, "set").otherwise("clear").alias("op"), "reg", "zeros")
+
+
+def apply_masks(state: DataFrame, masks: DataFrame) -> DataFrame:
+    """(reg, zeros) of a state after one step's masks (op, reg, zeros)."""
+    kept = S.difference(state.select("reg", "zeros"), masks.where("op = 'clear'").select("reg", "zeros"))
+    return S.union(kept, masks.where("op = 'set'").select("reg", "zeros"))
+
+
+def trajectory(pairs: DataFrame, steps: int, share: float = 0.2) -> DataFrame:
+    """(a, b, step, remaining): the distance left when each step changes at most a share of a's size."""
+    total = F.col("card_a_not_b") + F.col("card_b_not_a")
+    rows = pairs.select("a", "b", "card_a", total.alias("total"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    return rows.select("a", "b", "step", F.greatest(F.lit(0.0), F.col("total") - F.col("step") * F.col("card_a") * share).alias("remaining"))
+
+
+def analyze(t: DataFrame) -> DataFrame:
+    """One row on a whole evolution: steps, gains, losses, net change, steps of each kind."""
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("growth", "decay", "stable", "replacement")]
+    return t.agg(F.count(F.lit(1)).alias("steps"), F.sum("novel").alias("gained"), F.sum("deleted").alias("lost"), F.sum("flux").alias("net"), *kinds)
+
+
+class System:
+    """A system that adds and removes tokens step by step: ``step`` records, ``status`` tells where it is."""
+
+    def __init__(self):
+        self._added = self._removed = None
+
+    def step(self, number: int, added: DataFrame, removed: DataFrame) -> "System":
+        """Record a step's sketches (reg, zeros)."""
+        for name, new in (("_added", added), ("_removed", removed)):
+            rows, held = new.select(F.lit(number).alias("step"), "reg", "zeros"), getattr(self, name)
+            setattr(self, name, rows if held is None else held.unionByName(rows))
+        return self
+
+    def status(self) -> DataFrame:
+        """The last step's row of ``noether``."""
+        return latest(noether(self._added, self._removed, "step"), "step")

@@ -242,3 +242,54 @@ def staged(lut: DataFrame, positions: DataFrame, stages: list[tuple[str, int | N
         one = found.select(F.lit(name).alias("stage"), "layer", "reg", "zeros", "ngrams")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def get(lut: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries of the given (layer, hash); absent ones have a row with null tf."""
+    return keys.select("layer", "hash").join(lut, ["layer", "hash"], "left")
+
+
+def increment(lut: DataFrame, more: DataFrame) -> DataFrame:
+    """The table with further occurrences (layer, ngram) counted in; new n-grams get entries."""
+    return merge_lut(lut.drop("collisions").unionByName(build_lut(more).drop("collisions")))
+
+
+def top_tokens(disambiguated: DataFrame, limit: int) -> DataFrame:
+    """(token, positions, confidence): candidates by positions, each surer the fewer competed with it: 1 / (1 + 0.1 n)."""
+    rows = disambiguated.select(F.explode("candidates").alias("token"), F.size("candidates").alias("n"))
+    g = rows.groupBy("token").agg(F.count(F.lit(1)).alias("positions"), F.max(1 / (1 + 0.1 * F.col("n"))).alias("confidence"))
+    return g.orderBy(F.desc("positions"), F.desc("confidence"), "token").limit(limit)
+
+
+def survivor_stats(filtered: DataFrame) -> DataFrame:
+    """One row on ``register_filter``: registers, unigrams before and after, registers left with one."""
+    return filtered.agg(
+        F.count(F.lit(1)).alias("registers"), F.sum("initial").alias("initial"), F.sum(F.size("surviving")).alias("surviving"), F.count_if(F.size("surviving") == 1).alias("unique")
+    )
+
+
+def scan_matches(lut: DataFrame, positions: DataFrame, pattern: str, path: str) -> DataFrame:
+    """Candidates whose n-gram matches a LIKE pattern, written to a sink and read from it: (layer, reg, zeros, ngram)."""
+    found = lookup(lut, positions).select("layer", "reg", "zeros", F.explode("ngrams").alias("ngram")).where(F.col("ngram").like(pattern))
+    found.write.mode("errorifexists").parquet(path)
+    return lut.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def sketch_trigrams(lut: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
+    """(key, ngram): the table's trigrams at the positions of each sketch of trigrams (key, reg, zeros)."""
+    return sketches.join(lut.where("layer = 2").select("reg", "zeros", F.explode("ngrams").alias("ngram")), ["reg", "zeros"]).select(key, "ngram").distinct()
+
+
+def restore_order(lut: DataFrame, sketches: DataFrame, key: str) -> DataFrame:
+    """(key, sequence, is_eulerian): token order out of a sketch of padded trigrams and a token table alone.
+
+    The candidates at the sketch's positions are the edges of a De Bruijn graph,
+    tried in the order of their names.
+    """
+    from .debruijn import restore
+
+    parts = F.split("ngram", " ")
+    edges = sketch_trigrams(lut, sketches, key).select(
+        key, "ngram", F.concat_ws(" ", parts[0], parts[1]).alias("src"), F.concat_ws(" ", parts[1], parts[2]).alias("dst"), F.lit(1).alias("multiplicity")
+    )
+    return restore(edges, key, "ngram")

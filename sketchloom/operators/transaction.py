@@ -79,3 +79,10 @@ class Transaction:
     def rollback(self) -> None:
         self._active()
         self.phase, self._rows = "ROLLED_BACK", None
+
+
+def merge_into_ring(base: DataFrame, draft: Transaction) -> DataFrame:
+    """(key, is_base, rank, expression): a ring's vectors (key, bits) and after them the draft's batches, decomposed together."""
+    old = base.select(F.lit("ring").alias("ring"), F.col("key").cast("string").alias("key"), "bits", F.concat(F.lit("0"), F.col("key").cast("string")).alias("o"))
+    new = G.vectors(draft.long(), "batch").select(F.lit("ring").alias("ring"), F.col("batch").alias("key"), "bits", F.concat(F.lit("1"), "batch").alias("o"))
+    return G.decompose(old.unionByName(new), "ring", "key", "o").drop("ring")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -47,20 +45,20 @@ def q_subset_lattice(spark, sf_dir):
 
 @query(f"{_ORDER} SELECT o.a, o.b FROM o JOIN w USING (a, b) WHERE depth = 1")
 def q_hasse(spark, sf_dir):
-    order = _order(spark, sf_dir).where("kind = 'subset'").cache()
+    order = _order(spark, sf_dir).where("kind = 'subset'").transform(T.written)
     return L.hasse(order, L.closure(order))
 
 
 @query(f"{_ORDER}, n AS (SELECT DISTINCT day AS node FROM lf) SELECT node, coalesce(max(depth), 0)::INT AS level FROM n LEFT JOIN w ON w.b = node GROUP BY node")
 def q_levels(spark, sf_dir):
-    order = _order(spark, sf_dir).where("kind = 'subset'").cache()
+    order = _order(spark, sf_dir).where("kind = 'subset'").transform(T.written)
     return L.levels(_days(spark, sf_dir).select(F.col("day").alias("node")).distinct(), L.closure(order))
 
 
 @query(f"""{_ORDER}, n AS (SELECT DISTINCT day AS node FROM lf), lv AS (SELECT node, coalesce(max(depth), 0)::INT AS level FROM n LEFT JOIN w ON w.b = node GROUP BY node), h AS (SELECT o.a, o.b FROM o JOIN w USING (a, b) WHERE depth = 1)
 SELECT (SELECT max(level) FROM lv) AS height, (SELECT max(c) FROM (SELECT count(*) AS c FROM lv GROUP BY level)) AS width, (SELECT count(*) FROM n WHERE node NOT IN (SELECT a FROM h)) AS tops, (SELECT count(*) FROM n WHERE node NOT IN (SELECT b FROM h)) AS bottoms""")
 def q_lattice_shape(spark, sf_dir):
-    order = _order(spark, sf_dir).where("kind = 'subset'").cache()
+    order = _order(spark, sf_dir).where("kind = 'subset'").transform(T.written)
     reach = L.closure(order)
     lv = L.levels(_days(spark, sf_dir).select(F.col("day").alias("node")).distinct(), reach)
     return L.shape(lv, L.hasse(order, reach))
@@ -68,7 +66,7 @@ def q_lattice_shape(spark, sf_dir):
 
 @query(f"{_ORDER}, h AS (SELECT o.a, o.b FROM o JOIN w USING (a, b) WHERE depth = 1) SELECT 'digraph lattice {{' || chr(10) || string_agg(format('  \"{{}}\" -> \"{{}}\";', a, b), chr(10) ORDER BY a, b) || chr(10) || '}}' AS dot FROM h")
 def q_lattice_dot(spark, sf_dir):
-    order = _order(spark, sf_dir).where("kind = 'subset'").cache()
+    order = _order(spark, sf_dir).where("kind = 'subset'").transform(T.written)
     return L.to_dot(L.hasse(order, L.closure(order)))
 
 
@@ -122,8 +120,7 @@ def _ring(spark, sf_dir):
 
 @query()
 def q_ring_rank(spark, sf_dir):
-    d = G.decompose(_ring(spark, sf_dir), "ring", "set_id", "set_id")
-    return d.groupBy("ring").agg(F.max("rank").alias("rank"), F.count_if("is_base").alias("bases"), F.count(F.lit(1)).alias("vectors"))
+    return G.rank(_ring(spark, sf_dir), "ring", "set_id").select("ring", "rank", F.col("rank").cast("long").alias("bases"), "vectors")
 
 
 @query(f"""WITH {_DAYS}, b AS (SELECT day, count(*) AS bits FROM lf GROUP BY day), nb AS (SELECT x.day || '+' || y.day AS set_id, x.day AS p1, y.day AS p2, (SELECT count(*) FROM (SELECT reg, zeros FROM lf WHERE day IN (x.day, y.day) GROUP BY ALL HAVING count(*) = 1)) AS bits
@@ -325,10 +322,7 @@ _CONV = f"WITH {ngrams_sql('conversations', 'conv_id')}, {O.hash_cte('ng', 'ngra
 
 def _folder(spark) -> str:
     """A folder that driver and executors share, for a stream's files."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="session-")
-    return f"{root.rstrip('/')}/session-{uuid.uuid4().hex}"
+    return T.new_path(spark, "session")
 
 
 @query(f"{_CONV}, {O.cards_cte('lf', 'layer')}, n AS (SELECT layer, count(*) AS tokens FROM ng JOIN p ON p.token = ng.ngram WHERE zeros IS NOT NULL GROUP BY layer) SELECT layer, card, tokens FROM card JOIN n USING (layer)")

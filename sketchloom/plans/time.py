@@ -24,9 +24,7 @@ def _long(spark, sf_dir):
 SELECT day, card, popcount, lag(day) OVER (ORDER BY day) AS before FROM card JOIN s USING (day)""")
 def q_timeline(spark, sf_dir):
     n = L.nodes(T.day_users(spark, sf_dir), "token", "day")
-    days = n.select("node_id", F.col("day").alias("before"))
-    # equal states share an id, so the parent's day is looked up through its own row
-    return n.join(days.groupBy(F.col("node_id").alias("parent_id")).agg(F.max("before").alias("before")), "parent_id", "left").select("day", "card", "popcount", "before")
+    return n.select("day", "card", "popcount", F.col("parent_time").alias("before"))
 
 
 @query(f"""WITH {_DAYS}, f AS (SELECT reg, zeros, min(day) AS day FROM lf GROUP BY ALL), d AS (SELECT DISTINCT day FROM lf),

@@ -6,6 +6,9 @@ layer so that a filter on the layer prunes directories.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,46 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: the lineage is cut by a copy that outlives executors."""
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int) -> list:
+    """The rows of a table that has at most ``most`` of them; more are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for the driver")
+    return rows
+
+
+def register_views(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
+    """Temporary views of the tables, and the ratios of estimates as functions of SQL."""
+    for name in tables:
+        read(spark, sf_dir, name).createOrReplaceTempView(name)
+    one = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{one} sketch_tau(card_both DOUBLE, card_target DOUBLE) RETURNS DOUBLE RETURN CASE WHEN card_target > 0 THEN greatest(0.0D, least(1.0D, card_both / card_target)) ELSE 0.0D END")
+    spark.sql(f"{one} sketch_rho(card_rest DOUBLE, card_target DOUBLE) RETURNS DOUBLE RETURN CASE WHEN card_target > 0 THEN greatest(0.0D, least(1.0D, card_rest / card_target)) ELSE 1.0D END")
+
+
 def token_lines(spark: SparkSession, path: str) -> DataFrame:
     """One token a line, white space at the ends and empty lines dropped."""
     return spark.read.text(path).select(F.trim("value").alias("token")).where("token <> ''")

@@ -56,6 +56,22 @@ class Session:
         lut = self.spark.read.parquet(f"{self.folder}/lut")
         return S.merge(self.checkpoints(), "layer"), K.merge_lut(lut.drop("batch", "collisions"))
 
+    def length(self) -> int:
+        """Micro-batches that the session holds."""
+        return self.checkpoints().select("batch").distinct().count()
+
+    def trim(self, keep: int) -> tuple[DataFrame, DataFrame]:
+        """``commit`` of the last ``keep`` micro-batches only."""
+        last = self.checkpoints().agg(F.max("batch")).first()[0]
+        recent = lambda df: df.where(F.col("batch") > (-1 if last is None else last) - keep)
+        lut = recent(self.spark.read.parquet(f"{self.folder}/lut"))
+        return S.merge(recent(self.checkpoints()), "layer"), K.merge_lut(lut.drop("batch", "collisions"))
+
+    def cleanup(self) -> None:
+        """Delete the session's folder."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def stats(self) -> DataFrame:
         lut = self.spark.read.parquet(f"{self.folder}/lut")
         return lut.groupBy("layer").agg(F.countDistinct("batch").alias("batches"), F.sum("tf").alias("tokens"))
@@ -87,3 +103,15 @@ def flux_states(stream: DataFrame, step: str, key: str = "stream") -> DataFrame:
         state.update((total,))
 
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} string, {step} string, cumulative_flux double", "total double", "append", "NoTimeout")
+
+
+def ingest_lines(spark: SparkSession, path: str, folder: str) -> Session:
+    """Text files of tokens, one a line, through a session to its end; the session is ready to commit."""
+    session = Session(spark, folder)
+    session.run(line_stream(spark, path).select(F.lit(0).alias("layer"), F.col("token").alias("ngram"))).awaitTermination()
+    return session
+
+
+def to_sink(stream: DataFrame, path: str, offsets: str) -> StreamingQuery:
+    """Rows of a stream appended to Parquet files, each once, until what is there is read."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", offsets).trigger(availableNow=True).start()
