@@ -186,7 +186,7 @@ def q_sketch_trigrams(spark, sf_dir):
     return K.sketch_trigrams(lut, S.long_form(grams, "ngram", "item_id"), "item_id")
 
 
-@query()
+@query(f"WITH ws AS ({words_sql('benchmark', 'item_id')}) SELECT item_id, array_to_string(w, ' ') AS sequence, true AS is_eulerian FROM ws")
 def q_restore_order(spark, sf_dir):
     """Token order from sketch and table, at a precision at which few trigrams share a position."""
     grams = _padded_trigrams(spark, sf_dir)
@@ -255,9 +255,9 @@ def q_graph_two_hops(spark, sf_dir):
     return L.two_hops(_net(spark, sf_dir).select(F.col("parent").alias("a"), F.col("child").alias("b")))
 
 
-@query()
+@query(f"{_NET} SELECT parent, child, probability FROM bn")
 def q_ring_network(spark, sf_dir):
-    """The network over the base vectors of the nations' ring."""
+    """The network over the base vectors of the nations' ring: the whole network, as the nations are independent."""
     long = _long(spark, sf_dir)
     d = G.decompose(G.vectors(long, "set_id").withColumn("ring", F.lit("nations")), "ring", "set_id", "set_id")
     return N.from_ring(d, P.overlaps(long, disjoint=False), "set_id", 0.56).select("parent", "child", "probability")

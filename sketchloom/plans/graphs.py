@@ -103,7 +103,7 @@ def q_path_likelihood(spark, sf_dir):
     return out.withColumn("log2_likelihood", F.round("log2_likelihood", 4))
 
 
-@query()
+@query(f"WITH ws AS ({words_sql('benchmark', 'item_id')}) SELECT item_id, array_to_string(w, ' ') AS sequence, true AS is_eulerian FROM ws")
 def q_euler_restore(spark, sf_dir):
     """Each benchmark item's words put back in order from its own trigrams."""
     items = T.read(spark, sf_dir, "benchmark").select("item_id", H.padded(H.words(F.col("text")), 3).alias("w"))
