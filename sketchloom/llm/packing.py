@@ -33,6 +33,9 @@ K1, B = 1.2, 0.75
 SHARD_TOKENS = 1_000_000
 #: Shards whose ends are joined; they hold fewer than a window of tokens each.
 ENDS_OF = 500
+#: Up to so many documents in a shard all scores come from matrix products over TERMS terms at a time, beyond
+#: (documents are short then) from the postings of each seed's terms; the scores are the same.
+DENSE, TERMS = 4096, 2048
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
@@ -73,13 +76,38 @@ class Index:
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.post_at = np.concatenate([[0], np.cumsum(self.df)])
 
-    def neighbours(self, d: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``d``, best first."""
-        term = self.term[self.doc_at[d] : self.doc_at[d + 1]]
+        self.every = self._all_scores() if 1 < n <= DENSE else None
+
+    def _all_scores(self) -> np.ndarray:
+        """Scores of all documents (columns) for each document's terms (rows), by products over stretches of terms."""
+        out = np.zeros((self.n, self.n), dtype=np.float32)
+        shared = np.flatnonzero(self.df > 1)
+        place = np.full(len(self.df), -1)
+        term_of = np.repeat(np.arange(len(self.df)), self.df)
+        for i in range(0, len(shared), TERMS):
+            some = shared[i : i + TERMS]
+            place[some] = np.arange(len(some))
+            posts = slice(self.post_at[some[0]], self.post_at[some[-1] + 1])
+            column = place[term_of[posts]]
+            held = np.zeros((self.n, len(some)), dtype=np.float32)
+            held[self.post_doc[posts][column >= 0], column[column >= 0]] = self.post_weight[posts][column >= 0]
+            out += (held != 0).astype(np.float32) @ held.T
+            place[some] = -1
+        return out
+
+    def scores(self, d: int) -> np.ndarray:
+        if self.every is not None:
+            return self.every[d].copy()
         score = np.zeros(self.n, dtype=np.float32)
+        term = self.term[self.doc_at[d] : self.doc_at[d + 1]]
         for t in term[self.df[term] > 1].tolist():
             p = slice(self.post_at[t], self.post_at[t + 1])
             score[self.post_doc[p]] += self.post_weight[p]
+        return score
+
+    def neighbours(self, d: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with ``d``, best first."""
+        score = self.scores(d)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -168,11 +196,13 @@ def _document_frequencies(n_terms: int, kind: str):
     return run
 
 
-def _keys(stats: Statistics, kind: str):
+def _keys(stats: Statistics, kind: str, carry: bool):
+    """Rows (doc_id, tokens, ids, row) with their key; without ``carry`` the tokens of each key of a batch only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([stats.key(np.frombuffer(x.as_py(), kind)) for x in batch.column(2)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["doc_id", "tokens", "ids", "key"])
+            keys = pa.array([stats.key(np.frombuffer(x.as_py(), kind)) for x in batch["ids"]], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], batch["row"], keys] if carry else [keys, batch["tokens"]], ["doc_id", "ids", "row", "key"] if carry else ["key", "tokens"])
 
     return run
 
@@ -252,10 +282,12 @@ def pack_documents(docs: DataFrame, make_encoder: Callable, n_terms: int, end_id
     for term, count in ids.select("ids").mapInArrow(_document_frequencies(n_terms, kind), "term int, n long").groupBy("term").agg(F.sum("n")).collect():
         df[term] = count
     stats = Statistics(df, n, total / max(n, 1))
-    keyed = materialize(ids.mapInArrow(_keys(stats, kind), "doc_id long, tokens long, ids binary, key int").withColumn("row", F.monotonically_increasing_id()), "pack-keyed")
-    places = lay_out({r[0]: r[1] for r in keyed.groupBy("key").agg(F.sum("tokens")).collect()}, shard_tokens)
+    # keys are found twice: once for the layout, once on the way to the shards, so that ids are written only once
+    sums = ids.select("ids", "tokens", F.lit(0).alias("doc_id"), F.lit(0).alias("row")).mapInArrow(_keys(stats, kind, False), "key int, tokens long")
+    places = lay_out({r[0]: r[1] for r in sums.groupBy("key").agg(F.sum("tokens")).collect()}, shard_tokens)
     # a row for each key, hence no more than terms
     places = F.broadcast(docs.sparkSession.createDataFrame(places, "key int, first long, n int"))
+    keyed = ids.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_keys(stats, kind, True), "doc_id long, ids binary, row long, key int")
     shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("n"))
     packed = keyed.join(places, "key").select("doc_id", "ids", shard.alias("shard")).groupBy("shard").applyInArrow(_pack(stats, window, kind), f"{_PIECE}, rest binary")
     packed = materialize(packed, "pack-shards")

@@ -358,7 +358,10 @@ def test_neighbours_by_any_term_of_the_seed():
     assert sorted(found.tolist()) == list(range(2, 42))
 
 
-def test_order_of_documents_against_brute_force():
+@pytest.mark.parametrize("dense", [0, 4096])
+def test_order_of_documents_against_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "TERMS", 7)
     rng = np.random.default_rng(8)
     docs = [rng.integers(0, 60, rng.integers(1, 90)).astype("<u4") for _ in range(150)]
     stats, window = stats_of(docs[:100], 60), 128  # the corpus' statistics are not the shard's
