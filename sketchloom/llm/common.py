@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+#: Tasks that share the rows of one key in ``join_salted``.
+SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,11 +63,15 @@ def join_frequent(left: DataFrame, right: DataFrame, key: str | list[str], size:
     return left.join(hot, keys).unionByName(rest)
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
-    """``join_frequent`` of a written table, keys with a share of 1 / ``share`` of its rows being frequent."""
-    # a frequent key that ``right`` lacks has its row too, if such rows are kept
-    sized = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(right, key, how)
-    return join_frequent(left, sized, key, "_n", max(64, left.count() // share), how).drop("_n")
+def join_salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of narrow tables on a key that ``right`` holds once: ``left``'s rows of a key are dealt to SALTS tasks by ``by``.
+
+    ``right`` is repeated for each of them, which costs less than counting the
+    keys where rows are a few numbers.
+    """
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize
+from .common import join_salted, materialize
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -15,9 +15,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     to their ends by doubling, and replaces the links by links between the ends.
     Every node of a component with a link left joins another one, so the number
     of nodes at least halves.  Each round's tables are written to the shared
-    folder.  A node with many links, or that many point to, is joined by
-    broadcast (at most a thousand such), so it makes no task larger.  Empty
-    links give an empty result.
+    folder.  The links of a node, or the nodes that point to it, are dealt to
+    several tasks.  Empty links give an empty result.
     """
     edges = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc-edges")
     total = None
@@ -26,7 +25,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         up = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "cc-up")
         while True:
             above = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = materialize(join_counted(up, above, "p").select("u", F.col("p").alias("old"), F.col("pp").alias("p")), "cc-jump")
+            jumped = materialize(join_salted(up, above, "p", "u").select("u", F.col("p").alias("old"), F.col("pp").alias("p")), "cc-jump")
             moved = jumped.where("old <> p").limit(1).count()
             up = jumped.select("u", "p")
             if not moved:
@@ -35,10 +34,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             total = up.select(F.col("u").alias("id"), F.col("p").alias("comp"))
         else:
             further = up.select(F.col("u").alias("comp"), F.col("p").alias("q"))
-            total = materialize(join_counted(total, further, "comp", "left").select("id", F.coalesce("q", "comp").alias("comp")), "cc-total")
-        half = materialize(join_counted(edges, up.select("u", F.col("p").alias("pu")), "u").select("pu", "v"), "cc-half")
+            total = materialize(join_salted(total, further, "comp", "id", "left").select("id", F.coalesce("q", "comp").alias("comp")), "cc-total")
+        half = materialize(join_salted(edges, up.select("u", F.col("p").alias("pu")), "u", "v").select("pu", "v"), "cc-half")
         edges = materialize(
-            join_counted(half, up.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+            join_salted(half, up.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v", "pu")
             .where("pu <> pv")
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
             .distinct(),

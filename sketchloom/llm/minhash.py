@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, join_frequent, materialize, text_of
+from .common import join_frequent, materialize, text_of
 from .components import components
 from .textblocks import mix, shingle_sets
 
@@ -54,8 +54,8 @@ BINS, EMPTY = 512, 255
 PREFIX = NARROW - AGREE + 1
 FREQUENT = 1000
 CELL = 128
-#: Pairs of one member that meet its set in one task.
-PART = 256
+#: Pairs of a list's first member that meet its set in one task; parts of any member's pairs in round two.
+PART, PARTS = 256, 16
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +143,10 @@ def _filter_pairs(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b, sx, sy, x, y, nx, ny = batch.columns
+                a, b, part, sx, sy, x, y, nx, ny = batch.columns
                 collisions = (_signature_rows(sx) == _signature_rows(sy)).sum(axis=1)
                 ok, _ = may_link(_rows(x, BINS), _rows(y, BINS), np.array(nx), np.array(ny), similarity)
-                yield batch.select([0, 1]).filter(pa.array(ok & (collisions >= AGREE)))
+                yield batch.select([0, 1, 2]).filter(pa.array(ok & (collisions >= AGREE)))
 
     return run
 
@@ -233,12 +233,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return materialize(both.select("a", "b"), "near-links")
 
 
-def _in_parts(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with a part number: each a has a part for every PART of its pairs, about."""
-    sizes = pairs.select(F.col("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    return join_counted(pairs, sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART)).cast("int").alias("part"))
-
-
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -284,8 +278,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     stars = posts.where("lead <> rep").groupBy(F.col("lead").alias("a"), F.col("rep").alias("b")).agg(F.min(part).alias("part"))
     of = lambda id_, *names: reps.select(F.col("rep").alias(id_), *[F.col(c).alias(n) for c, n in zip(("sig", "bins", "n_shingles"), names)])
     stars = _beside(stars.join(of("b", "sy", "y", "ny"), "b"), "a", of("a", "sx", "x", "nx"))
-    first = materialize(stars.select("a", "b", "sx", "sy", "x", "y", "nx", "ny").mapInArrow(_filter_pairs(similarity), "a long, b long"), "near-stars")
-    links = _confirm(_in_parts(first), docs, width, percent)
+    first = materialize(stars.select("a", "b", "part", "sx", "sy", "x", "y", "nx", "ny").mapInArrow(_filter_pairs(similarity), "a long, b long, part int"), "near-stars")
+    links = _confirm(first, docs, width, percent)
     comp = components(links, "a", "b")
 
     # round two: lists with several components
@@ -333,7 +327,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     )
     found = cells.groupBy("token", "x", "y").applyInArrow(_cells(similarity), "a long, b long").distinct()
     second = materialize(found.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    more = _confirm(_in_parts(second), docs, width, percent)
+    more = _confirm(second.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")), docs, width, percent)
     comp = components(links.unionByName(more), "a", "b")
 
     keys = ["n_shingles", "h1", "h2"]
