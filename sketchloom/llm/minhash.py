@@ -336,7 +336,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     least = max(64, signed.count() // FREQUENT)
     node = join_frequent(signed.where(is_node).select("doc_id", *keys), reps.select(*keys, "rep", "copies"), keys, "copies", least)
     node = materialize(node.select("doc_id", "n_shingles", "rep"), "near-nodes")
-    top = materialize(reps.select("rep", "copies").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left"), "near-top")
+    top = materialize(reps.groupBy("rep").agg(F.sum("copies").alias("copies")).join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left"), "near-top")
     node = join_frequent(node, top, "rep", "copies", least).select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     label = node.unionByName(signed.where(~is_node).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("comp")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
