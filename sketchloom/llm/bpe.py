@@ -72,9 +72,9 @@ def encode(enc, text: str) -> np.ndarray:
     last character where something follows; such runs go to the encoder of
     single pieces, since matching them takes memory in proportion.
     """
-    ids = (lambda x: enc.encode(x, allowed_special="all")) if enc.special_tokens_set else enc.encode_ordinary
+    ids = lambda x: enc.encode_to_numpy(x, allowed_special="all")
     if len(text) <= PIECE:
-        return np.asarray(ids(text), dtype="<u4")
+        return ids(text)
     out, start = [], 0
     for run in BLANKS.finditer(text):
         end = run.end() - (run.end() < len(text))

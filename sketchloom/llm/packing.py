@@ -36,6 +36,8 @@ ENDS_OF = 500
 #: Up to so many documents in a shard all scores come from matrix products over TERMS terms at a time, beyond
 #: (documents are short then) from the postings of each seed's terms; the scores are the same.
 DENSE, TERMS = 4096, 2048
+#: Ids whose terms are counted at once.
+BLOCK = 200_000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
@@ -51,12 +53,42 @@ class Statistics:
         """BM25 weights of terms that occur ``tf`` times in documents of ``length`` terms."""
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
-    def key(self, ids: np.ndarray) -> int:
-        """The term of the greatest weight that another document has, the smallest of equals; -1 if there is none."""
-        term, tf = np.unique(ids, return_counts=True)
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Each document's term of the greatest weight that another document has, the smallest of equals; -1 if there is none."""
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        doc, term, tf = term_counts(docs)
         shared = self.df[term] > 1
-        term, tf = term[shared], tf[shared]
-        return int(term[np.argmax(self.weights(term, tf, len(ids)))]) if len(term) else -1
+        doc, term, tf = doc[shared], term[shared], tf[shared]
+        keys = np.full(len(docs), -1, dtype=np.int64)
+        if len(doc):
+            weight = self.weights(term, tf, lengths[doc])
+            at = np.flatnonzero(np.diff(doc, prepend=-1))
+            best = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, at), np.diff(at, append=len(doc))))
+            found, first = np.unique(doc[best], return_index=True)
+            keys[found] = term[best[first]]
+        return keys
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the document, term, occurrences) of each document's distinct terms, in this order."""
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    both = np.repeat(np.arange(len(docs), dtype=np.int64) << 32, lengths) + np.concatenate(docs)
+    both.sort()
+    at = np.flatnonzero(np.diff(both, prepend=-1))
+    return both[at] >> 32, both[at] & 0xFFFFFFFF, np.diff(at, append=len(both))
+
+
+def blocks(column: pa.Array, kind: str) -> Iterator[list[np.ndarray]]:
+    """The documents' ids, whole documents together until they have BLOCK ids."""
+    block, held = [], 0
+    for x in column:
+        block.append(np.frombuffer(x.as_py(), kind))
+        held += len(block[-1])
+        if held >= BLOCK:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
 
 
 class Index:
@@ -188,8 +220,8 @@ def _document_frequencies(n_terms: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(n_terms, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                df[np.unique(np.frombuffer(x.as_py(), kind))] += 1
+            for block in blocks(batch.column(0), kind):
+                df += np.bincount(term_counts(block)[1], minlength=n_terms)
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(df[term])], ["term", "n"])
 
@@ -201,7 +233,7 @@ def _keys(stats: Statistics, kind: str, carry: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([stats.key(np.frombuffer(x.as_py(), kind)) for x in batch["ids"]], pa.int32())
+            keys = pa.array(np.concatenate([np.empty(0, np.int64), *(stats.keys(block) for block in blocks(batch["ids"], kind))]), pa.int64()).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], batch["row"], keys] if carry else [keys, batch["tokens"]], ["doc_id", "ids", "row", "key"] if carry else ["key", "tokens"])
 
     return run

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+import pyarrow as pa
 from sketchloom.llm import bpe, components, exact_dedup, licenses, minhash, packing, pii, quality, queries, sharding, topk, toxicity
 from sketchloom.llm.textblocks import lowered
 
@@ -423,6 +424,24 @@ def test_shards_do_not_depend_on_partitions(spark):
     assert len({r[5] >> 32 for r in out[0]}) > 3 and len(small) <= 11  # the ends of all shards are joined
 
 
+@pytest.mark.parametrize("block", [1, 50, 10_000])
+def test_keys_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, rng.integers(1, 30)).astype("<u2") for _ in range(60)] + [np.array([45, 45], dtype="<u2")]
+    stats = stats_of(docs, 50)
+    want = []
+    for d in docs:
+        tf = {t: n for t, n in collections.Counter(d.tolist()).items() if stats.df[t] > 1}
+        weight = {t: float(stats.weights(np.array([t]), np.array([n]), len(d))[0]) for t, n in tf.items()}
+        want.append(min(weight, key=lambda t: (-weight[t], t)) if weight else -1)
+    column = pa.array([d.tobytes() for d in docs], pa.binary())
+    assert np.concatenate([stats.keys(b) for b in packing.blocks(column, "<u2")]).tolist() == want
+    assert want[-1] == -1
+    counted = sum(np.bincount(packing.term_counts(b)[1], minlength=50) for b in packing.blocks(column, "<u2"))
+    assert counted.tolist() == stats.df.tolist()
+
+
 def test_a_key_beyond_a_shard():
     got = packing.lay_out({5: 10, 7: 250, 9: 40, 11: 70}, 100)
     assert got == [(5, 0, 1), (7, 1, 3), (9, 4, 1), (11, 5, 1)]
