@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, minhash, packing, pii, quality, sharding, topk, toxicity
+from . import bestfit, bpe, exact_dedup, licenses, minhash, packing, pii, quality, sharding, spelling, topk, toxicity, trie
 from .common import held_out, table
 
 #: Surrogates are keyed by this setting of the session.  The test tables hold invented persons, so
@@ -70,10 +70,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), *_vocabulary(RANKS))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3)
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.best_fit(table(spark, sf_dir, "documents"), packing.json_vocabulary(*_vocabulary(VOCABULARY)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_exact_dedup, op3_toxicity, op4_quality, op5_licenses, op6_sharding, op7_packing, op8_minhash, op9_pii, op10_bpe)
-}
+    for f in (
+        op1_top_k, op2_exact_dedup, op3_toxicity, op4_quality, op5_licenses, op6_sharding, op7_packing, op8_minhash, op9_pii, op10_bpe,
+        op11_spelling, op12_trie, op13_best_fit,
+    )
+}
+
+
+def _crc32_sql(hex_bytes: str) -> str:
+    """The checksum of a column of bytes in hexadecimal; the table t of 256 remainders is in scope."""
+    return f"""xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len({hex_bytes}) // 2), lambda i: ('0x' || substr({hex_bytes}, (2*i+1)::INT, 2))::UBIGINT)),
+                lambda c, x: xor(c >> 8, t.t[(xor(c, x) & 255)::INT + 1])))::BIGINT"""
+
+
+_CRC_TABLE = """t AS (SELECT list(v ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(list_prepend(b::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+            FROM (SELECT unnest(range(256)) AS b)))"""
 
 
 def _draw(names: list[str], level: str, weight: float) -> str:
@@ -142,4 +169,38 @@ ORACLES = {
         c AS (SELECT id, min(root) AS c FROM r GROUP BY id)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id""",
+    "op11_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+        k AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hx FROM r GROUP BY doc_id, run),
+        c AS (SELECT run, k, {_crc32_sql("hx")} AS h FROM k CROSS JOIN t),
+        m AS (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word FROM c),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM m WHERE len(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        p AS (SELECT word, n, unnest(range(len(word))) AS i FROM v),
+        d AS (SELECT DISTINCT word, n, left(word, i::INT) || substr(word, i::INT + 2) AS shorter FROM p),
+        g AS (SELECT word, n, i, left(word, i::INT) || '*' || substr(word, i::INT + 2) AS pattern FROM p),
+        e AS (SELECT d.word AS a, d.n AS na, v.word AS b, v.n AS nb FROM d JOIN v ON v.word = d.shorter
+            UNION ALL SELECT x.word, x.n, y.word, y.n FROM g x JOIN g y USING (i, pattern) WHERE x.word < y.word),
+        b AS (SELECT a AS word, na AS n, b AS near, nb AS near_n FROM e UNION ALL SELECT b, nb, a, na FROM e),
+        s AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM b GROUP BY word, n),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN s USING (word)),
+        w(word, here, depth) AS (SELECT word, word, 0 FROM f UNION ALL SELECT w.word, f.form, depth + 1 FROM w JOIN f ON f.word = w.here WHERE f.form IS NOT NULL),
+        o AS (SELECT word, last(here ORDER BY depth) AS root FROM w GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN o USING (word)""",
+    "op12_trie": f"""
+        WITH {_CRC_TABLE},
+        c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        x AS (SELECT conv_id, turns, hex(encode(CAST(conv_id AS VARCHAR))) AS hx FROM c),
+        h AS (SELECT conv_id, turns, {_crc32_sql("hx")} % 6 AS h FROM x CROSS JOIN t),
+        b AS (SELECT h.conv_id, list_concat(coalesce(c.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM
+            (SELECT conv_id, turns, h FROM h) h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 100),
+        p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM b),
+        q AS (SELECT conv_id, n, depth, turns[1:depth] AS path FROM p),
+        g AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM q GROUP BY path, depth),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+        m AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * len(path[depth].t) ELSE 0 END AS own FROM g LEFT JOIN k USING (path)),
+        u AS (SELECT path, own, n_children, unnest(range(depth + 1)) AS up FROM m),
+        s AS (SELECT path[1:up] AS path, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY ALL)
+        SELECT m.conv_id, m.depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+        FROM m JOIN s USING (path) LEFT JOIN g a ON m.depth > 0 AND a.path = m.path[1:m.depth - 1]""",
 }
