@@ -20,7 +20,7 @@ from .common import text_of
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 PIECE = 100_000
 #: The white space of the splitting pattern, in runs that its look-ahead should not walk.
-BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{300,}")
 
 
 @lru_cache(maxsize=4)
@@ -65,23 +65,36 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(enc, text: str) -> np.ndarray:
-    """Ids of the whole text; the special tokens of the encoding, if it has any, are found in it.
+def _ordinary(enc, text: str) -> Iterator[np.ndarray]:
+    """Ids of a text that is not searched for special tokens.
 
     A long run of white space is one match of the splitting pattern, but for its
     last character where something follows; such runs go to the encoder of
-    single pieces, since matching them takes memory in proportion.
+    single pieces, since matching them takes time in proportion to their square.
     """
-    ids = lambda x: enc.encode_to_numpy(x, allowed_special="all")
-    if len(text) <= PIECE:
-        return ids(text)
-    out, start = [], 0
+    start = 0
     for run in BLANKS.finditer(text):
         end = run.end() - (run.end() < len(text))
-        out += [ids(x) for x in safe_pieces(text[start : run.start()])]
-        out.append(enc._encode_single_piece(text[run.start() : end]))
+        yield from (enc.encode_to_numpy(x, disallowed_special=()) for x in safe_pieces(text[start : run.start()]))
+        yield enc._encode_single_piece(text[run.start() : end])
         start = end
-    out += [ids(x) for x in safe_pieces(text[start:])]
+    yield from (enc.encode_to_numpy(x, disallowed_special=()) for x in safe_pieces(text[start:]))
+
+
+def encode(enc, text: str) -> np.ndarray:
+    """Ids of the whole text; the special tokens of the encoding, if it has any, are found in it.
+
+    What stands between special tokens is a text of its own to the splitting
+    pattern, so a long text is cut there first.
+    """
+    if len(text) <= PIECE and not BLANKS.search(text):
+        return enc.encode_to_numpy(text, allowed_special="all")
+    special = re.compile("|".join(map(re.escape, sorted(enc.special_tokens_set, key=len, reverse=True))) or r"(?!)")
+    out, start = [], 0
+    for found in special.finditer(text):
+        out += [*_ordinary(enc, text[start : found.start()]), [enc.encode_single_token(found.group())]]
+        start = found.end()
+    out += _ordinary(enc, text[start:])
     return np.concatenate([np.asarray(x, dtype="<u4") for x in out])
 
 

@@ -692,7 +692,7 @@ def test_safe_pieces_change_no_id():
 def test_json_vocabulary_gives_the_same_ids():
     enc = bpe.json_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     texts = ["Hello wörld 　 日本語 <|endoftext|> \x00\x7f 🙂 á", "x" * 300, "", " \n\t "]
-    assert [enc.encode_ordinary(t) + [1] for t in texts] == reference_ids(texts)
+    assert [[*bpe.encode(enc, t).tolist(), 1] for t in texts] == reference_ids(texts)
 
 
 def test_added_tokens_are_found_in_texts(spark):
@@ -707,6 +707,26 @@ def test_added_tokens_are_found_in_texts(spark):
     check_packing(packing.pack_documents(docs_of(spark, texts), make, 50_257).collect(), {i: [*ids, 1] for i, ids in enumerate(want)})
 
 
+def test_long_blank_runs_beside_special_tokens():
+    """Runs around the limit, in short and in long texts, before and after a special token, give the ids of both libraries."""
+    import time
+
+    enc = bpe.json_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    texts = []
+    for blank in ("\n", " ", "\r\n", "\u3000"):
+        for n in (299, 300, 301, 9_999, 10_000, 10_001):
+            for end in ("<|endoftext|>", "x", ""):
+                texts += [f"a{blank * n}{end}", f"<|endoftext|>{blank * n}{end} b"]
+    texts += ["word " * 25_000 + t for t in texts[::7]]
+    want = [enc.encode(t, allowed_special="all") for t in texts]
+    assert [bpe.encode(enc, t).tolist() for t in texts] == want
+    some = texts[:24:5]
+    assert [[*bpe.encode(enc, t).tolist(), 1] for t in some] == reference_ids(some)
+    began = time.time()
+    bpe.encode(enc, ("x" + " " * 9_999) * 200)
+    assert time.time() - began < 3
+
+
 # the pipeline -------------------------------------------------------------------
 
 
