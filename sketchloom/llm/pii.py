@@ -34,20 +34,24 @@ from .common import materialize, text_of
 _TITLE_F = r"(?:Mrs|Ms|Miss|Mme|Madame|Frau|Señora|Sra|Г-жа|Κα)"
 _TITLE_M = r"(?:Mr|Monsieur|Herr|Señor|Sr|Г-н|Κος)"
 _TITLE_N = r"(?:Dr|Prof|Professor|Doktor|Professeur|Doctor)"
-_TITLE = rf"(?:{_TITLE_F}|{_TITLE_M}|{_TITLE_N})\.? (?:{_TITLE_N}\.? )*"
+#: Words in lower case before a family name, which stay.
+_PARTICLE = r"(?:van|von|vom|zu|zum|der|den|de|del|della|di|da|do|dos|du|la|las|le|los|ten|ter|af)"
+# repeats of groups are bounded, since the matcher recurses into them
+_TITLE = rf"(?:{_TITLE_F}|{_TITLE_M}|{_TITLE_N})\.? (?:{_TITLE_N}\.? ){{0,20}}(?:{_PARTICLE} ){{0,3}}"
 _H = "[0-9A-Fa-f]{1,4}"
-_ASSIGN = r"""(?i:token|secret|password|passwd|api.?key)["']?\s{0,3}[=:]\s{0,3}["']"""
+_ASSIGN = r"""(?i:token|secret|password|passwd|api.?key)["']?\s{0,3}[=:]\s{0,3}["']?"""
 #: An entity begins where a word could; what may not stand before some types is said there.
 PATTERNS = {
-    "secret": rf"""{_ASSIGN}[A-Za-z0-9+/_=-]{{8,}}+(?=["'])""",
-    "email": r"(?<![.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
+    # without quotes only what has both letters and digits
+    "secret": rf"""{_ASSIGN}(?:(?<=["'])[A-Za-z0-9+/_=!@#$%^&*~?-]{{8,}}+(?=["'])|(?<!["'])(?=[A-Za-z+/_=-]{{0,99}}[0-9])(?=[0-9+/_=-]{{0,99}}[A-Za-z])[A-Za-z0-9+/_=-]{{8,}}+(?!["']))""",
+    "email": r"(?<![.+%-])[\w.+%-]++@[\w-]+(?:\.[\w-]+){0,125}\.\p{L}{2,}",
     "ipv4": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ipv6": rf"(?<!:)(?=[A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![\w:])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![.-])(?:\d{13,19}+|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?![\w-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
-    "name": rf"{_TITLE}\p{{Lu}}[\p{{L}}'-]*(?: \p{{Lu}}[\p{{L}}'-]*){{0,2}}",
+    "name": rf"{_TITLE}\p{{Lu}}[\p{{L}}'’-]*(?: \p{{Lu}}[\p{{L}}'’-]*){{0,2}}",
 }
 #: Joins of entities and surrogates are dealt to so many tasks an entity.
 SALTS = 8

@@ -660,6 +660,26 @@ def test_a_hot_entity_and_clashing_columns(spark):
     assert got.agg(F.sum("pii_entities"), F.countDistinct("doc_id")).first()[:] == (1600, 400)
 
 
+def test_long_texts_of_every_pattern(spark, tmp_path):
+    """A megabyte of what each pattern repeats: the matcher of the JVM must not recurse into it."""
+    units = ["bb.", "Dr ", "Mr Dr ", "van ", "a@b.", "1.", "abcd:", ":", "0 ", "12-", "+49 ", "AB12 ", "A ", "O’N", "token=", "password: a1", "x" * 7 + "=", "(1) "]
+    texts = [u * (1_000_000 // len(u)) for u in units] + [f"a@{'bb.' * 330_000}com", f"Mr {'Dr ' * 330_000}Name", f"Mr {'van ' * 250_000}Name"]
+    docs_of(spark, texts).repartition(8).write.parquet(f"{tmp_path}/long")
+    got = pii.replace_pii(spark.read.parquet(f"{tmp_path}/long"), "k")
+    assert got.select(F.count("*"), F.count_if(F.length("text") > 600_000)).first()[:] == (len(texts), len(texts))
+
+
+def test_particles_apostrophes_and_bare_credentials(spark):
+    texts = ["Mrs. van der Berg and Mr de la Cruz", "Mr O’Neill, O’Neill", "password: hunter2secret99", "token = 'abcd1234!efgh'", "token: everything is fine", "a secret: nothing, Mr. van"]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs_of(spark, texts), "k").collect()}
+    assert re.fullmatch(r"Mrs\. van der (?!Berg)\p{Lu}\w+ and Mr de la (?!Cruz)\w+".replace("\\p{Lu}", "[A-Z]"), out[0])
+    a, b = re.fullmatch(r"Mr ([^,]+), (.+)", out[1]).groups()
+    assert a == b and "Neill" not in a
+    assert out[2].startswith("password: ") and not re.search("hunter|secret99", out[2])
+    assert re.fullmatch(r"token = '[a-z]{4}\d{4}![a-z]{4}'", out[3]) and "abcd1234" not in out[3]
+    assert out[4] == texts[4] and out[5] == texts[5]
+
+
 def test_surrogates_odd_rows(spark, odd, empty):
     got = pii.replace_pii(odd, "k")
     assert got.count() == 8 and set(got.columns) == {*odd.columns, "pii_entities"}
