@@ -1,8 +1,11 @@
 """Bit vectors over F2: basis, rank, exact decomposition, transactions.
 
-A vector is an array of bit positions.  Elimination is sequential, so it runs
-once per ring in one task; it holds the basis, at most one vector per position,
-and each partition may reduce its own vectors first (``partial_basis``).
+A vector is an array of bit positions.  Elimination goes by stretches of the
+order: a vector that depends on earlier ones of its own stretch is no base
+anywhere, so each stretch keeps its independent vectors, and neighbouring
+stretches are merged pairwise until one is left.  A task holds no more than two
+bases, of at most one vector a position each, however many vectors there are.
+All vectors are then expressed in the base in slices.
 """
 
 from __future__ import annotations
@@ -11,8 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..sources.tables import written
 from . import sketch as S
 
+#: Vectors of one ring that a task takes at a time.
+VECTORS = 2000
+
 
 def vectors(long: DataFrame, key: str) -> DataFrame:
     """(key, bits): sketches as sorted arrays of positions."""
@@ -54,24 +61,75 @@ def as_int(bits) -> int:
     return int.from_bytes(out, "little")
 
 
-def decompose(rows: DataFrame, ring: str, key: str, order: str) -> DataFrame:
+def decompose(rows: DataFrame, ring: str, key: str, order: str, per_task: int = VECTORS) -> DataFrame:
     """(ring, key, is_base, rank, expression): vectors in order, as sums of earlier bases.
 
     ``expression`` names the original vectors whose XOR is the vector exactly.
+    Vectors of one place in the order are taken by key.
     """
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        basis, names, out = Basis(), [], []
-        for k, bits in zip(pdf[key], pdf["bits"]):
-            new, used = basis.add(as_int(bits), len(names))
-            if new:
-                names.append(k)
-            out.append((new, basis.rank(), [n for i, n in enumerate(names) if used >> i & 1]))
-        return pdf[[ring, key]].assign(is_base=[o[0] for o in out], rank=[o[1] for o in out], expression=[o[2] for o in out])
-
     kinds = dict(rows.dtypes)
-    return rows.groupBy(ring).applyInPandas(run, f"{ring} {kinds[ring]}, {key} {kinds[key]}, is_base boolean, rank int, expression array<{kinds[key]}>")
+    out = f"{ring} {kinds[ring]}, {key} {kinds[key]}, is_base boolean, rank int, expression array<{kinds[key]}>"
+    rows = written(rows.select(F.col(ring).alias("_ring"), F.col(key).alias("_key"), F.col(order).alias("_order"), "bits", F.monotonically_increasing_id().alias("_row")))
+    stretches = max(1, -(-rows.count() // per_task))
+    by = ["_order", "_key", "_row"]
+
+    def in_order(pdf):
+        # a null has no place among values that pandas compares, so it is taken first
+        return pdf.sort_values(by, na_position="first")
+
+    def independent(pdf):
+        pdf, basis = in_order(pdf), Basis()
+        return pdf[[basis.add(as_int(b), 0)[0] for b in pdf["bits"]]]
+
+    if stretches == 1:
+
+        def whole(pdf):
+            pdf, basis, names, found = in_order(pdf), Basis(), [], []
+            for k, bits in zip(pdf["_key"], pdf["bits"]):
+                new, used = basis.add(as_int(bits), len(names))
+                if new:
+                    names.append(k)
+                found.append((new, basis.rank(), [n for i, n in enumerate(names) if used >> i & 1]))
+            return pdf[["_ring", "_key"]].set_axis([ring, key], axis=1).assign(is_base=[f[0] for f in found], rank=[f[1] for f in found], expression=[f[2] for f in found])
+
+        return rows.groupBy("_ring").applyInPandas(whole, out)
+
+    ranged = rows.repartitionByRange(stretches, "_ring", *by).withColumn("_part", F.spark_partition_id())
+    base = written(ranged.groupBy("_ring", "_part").applyInPandas(independent, ranged.schema))
+    while stretches > 1:
+        halved = base.withColumn("_part", F.floor(F.col("_part") / 2).cast("int"))
+        base = written(halved.groupBy("_ring", "_part").applyInPandas(independent, base.schema))
+        stretches = -(-stretches // 2)
+
+    def echelon(pdf):
+        pdf, basis = in_order(pdf), Basis()
+        for i, bits in enumerate(pdf["bits"]):
+            basis.add(as_int(bits), i)
+        as_bytes = lambda x: x.to_bytes((x.bit_length() + 7) // 8, "little")
+        held = [(as_bytes(rest), as_bytes(used)) for rest, used in basis.rows.values()]
+        return pdf[["_ring", "_key", "_order", "_row"]].assign(_rest=[h[0] for h in held], _used=[h[1] for h in held])
+
+    names = "_ring {0}, _key {1}, _order {2}, _row long, _rest binary, _used binary".format(*(dict(rows.dtypes)[c] for c in ("_ring", "_key", "_order")))
+    reduced = written(base.groupBy("_ring").applyInPandas(echelon, names))
+    slices = max(1, -(-rows.count() // per_task))
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64("_row"), F.lit(slices)).cast("int"))
+    spread = reduced.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def express(pdf, held):
+        import pandas as pd
+
+        held, basis = in_order(held), Basis()
+        for rest, used in zip(held["_rest"], held["_used"]):
+            rest = int.from_bytes(rest, "little")
+            basis.rows[rest.bit_length()] = rest, int.from_bytes(used, "little")
+        bases, keys = set(held["_row"]), list(held["_key"])
+        placed = in_order(pd.concat([pdf[by], held[by]]).drop_duplicates("_row"))
+        rank = dict(zip(placed["_row"], placed["_row"].isin(bases).cumsum()))
+        used = [basis.reduce(as_int(b))[1] for b in pdf["bits"]]
+        found = [[k for i, k in enumerate(keys) if u >> i & 1] for u in used]
+        return pdf[["_ring", "_key"]].set_axis([ring, key], axis=1).assign(is_base=[r in bases for r in pdf["_row"]], rank=[int(rank[r]) for r in pdf["_row"]], expression=pd.Series(found, index=pdf.index, dtype=object))
+
+    return dealt.groupBy("_ring", "_slice").cogroup(spread.groupBy("_ring", "_slice")).applyInPandas(express, out)
 
 
 def partial_basis(rows: DataFrame, ring: str, key: str) -> DataFrame:

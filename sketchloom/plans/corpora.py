@@ -9,6 +9,7 @@ from ..functions import nested as N
 from ..operators import corpus as C
 from ..operators import debruijn as D
 from ..operators import patterns as P
+from ..operators import ring as G
 from ..operators import sketch as S
 from ..sources import tables as T
 from ..streaming import ingest as I
@@ -114,3 +115,27 @@ def q_ring_ingest(spark, sf_dir):
     entries = ingest.lut().groupBy("layer").agg(F.count(F.lit(1)).alias("entries"))
     bits = S.unpack(ingest.vectors(), "item_id").agg(F.count(F.lit(1)).alias("vector_bits"))
     return S.cardinality(S.unpack(ingest.universes(), "layer"), "layer").join(counts, "layer").join(entries, "layer").crossJoin(bits)
+
+
+_REGION_PARTS = "SELECT DISTINCT r_name AS name, CAST(l_partkey AS VARCHAR) AS token FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"""WITH tk AS ({_REGION_PARTS}), {O.hash_cte('tk')}, lf AS (SELECT DISTINCT name, (reg * 32 + zeros)::INT AS pos FROM tk JOIN p USING (token) WHERE zeros IS NOT NULL),
+v AS (SELECT name AS key, pos FROM lf UNION ALL SELECT key, pos FROM (SELECT x.name || '^' || y.name AS key, lf.pos FROM (SELECT DISTINCT name FROM lf) x JOIN (SELECT DISTINCT name FROM lf) y ON x.name < y.name JOIN lf ON lf.name IN (x.name, y.name)) GROUP BY key, pos HAVING count(*) = 1),
+h AS (SELECT key, bit_xor(hash(pos)) AS h FROM v GROUP BY key), n AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS i FROM h),
+m AS (SELECT mask, bit_xor(h) AS x FROM (SELECT range AS mask FROM range(1, (1 << (SELECT count(*) FROM n))::BIGINT)) r JOIN n ON (mask >> i) & 1 = 1 GROUP BY mask),
+k AS (SELECT n.i, round(log2(1 + count(DISTINCT CASE WHEN x <> 0 THEN x END)))::INT AS rank FROM n JOIN m ON mask < (1 << (n.i + 1)) GROUP BY n.i),
+b AS (SELECT i, rank, rank > coalesce(lag(rank) OVER (ORDER BY i), 0) AS is_base FROM k), a AS (SELECT sum(1 << i)::BIGINT AS bases FROM b WHERE is_base),
+e AS (SELECT n.key, n.i, m.mask FROM n JOIN m ON m.x = n.h CROSS JOIN a WHERE m.mask & a.bases = m.mask)
+SELECT e.key, b.is_base, b.rank, (SELECT string_agg(o.key, ' + ' ORDER BY o.i) FROM n o WHERE (e.mask >> o.i) & 1 = 1) AS expression FROM e JOIN b USING (i)""")
+def q_ring_elimination(spark, sf_dir):
+    """The regions' parts and all their symmetric differences: which are bases, and what the others are sums of."""
+    supplier = T.read(spark, sf_dir, "supplier").join(T.read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(T.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = T.read(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("r_name").alias("name"), F.col("l_partkey").cast("string").alias("token"))
+    long = T.written(S.long_form(parts, "token", "name"))
+    names = long.select(F.col("name").alias("a")).distinct()
+    both = names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select(F.concat_ws("^", "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("name"))
+    sums = S.xor_all(both.join(long, "name").select("key", "reg", "zeros"), "key")
+    vectors = G.vectors(long.withColumnRenamed("name", "key").unionByName(sums), "key").withColumn("ring", F.lit("regions"))
+    found = G.decompose(vectors, "ring", "key", "key", per_task=4)
+    return found.select("key", "is_base", "rank", F.array_join("expression", " + ").alias("expression"))
