@@ -5,7 +5,6 @@ Names ending in _cte return "name AS (...)" items to put behind WITH.
 
 from __future__ import annotations
 
-from ..functions import estimators as E
 from ..functions import hashing as H
 
 M = 2**H.P_BITS
@@ -76,9 +75,16 @@ TAU = "CASE WHEN card_b > 0 THEN greatest(0, least(1, card_ab/card_b)) ELSE 0.0
 RHO = "CASE WHEN card_b > 0 THEN greatest(0, least(1, card_a_not_b/card_b)) ELSE 1.0 END"
 
 
-def bias_case(raw: str) -> str:
-    """The bias at a raw estimate, by the table of ``functions.estimators``."""
-    t = E.bias_table(H.P_BITS)
-    rows = ", ".join(f"({x1}::DOUBLE, {x2}::DOUBLE, {y1}::DOUBLE, {y2}::DOUBLE)" for (x1, y1), (x2, y2) in zip(t, t[1:]))
-    inner = f"(SELECT y1 + ({raw} - x1)/(x2 - x1)*(y2 - y1) FROM (VALUES {rows}) v(x1, x2, y1, y2) WHERE x1 < {raw} AND {raw} <= x2)"
-    return f"CASE WHEN {raw} <= {t[0][0]} THEN {t[0][1]} WHEN {raw} > {t[-1][0]} THEN 0.0 ELSE {inner} END"
+def bias_case(raw: str, steps: int = 160) -> str:
+    """The bias at a raw estimate, by linear interpolation between set sizes from 0 to 5 M.
+
+    The expected raw estimate of each size is summed up in SQL: a register's
+    largest observation is at most k with probability exp(-n/M * 2^-k).
+    """
+    alpha = "(0.7213::DOUBLE / (1 + 1.079::DOUBLE / 65536))"
+    total = f"exp(-n / {M}) + list_sum(list_transform(range(1, 64), lambda k: power(2.0::DOUBLE, -k) * (exp(-n / {M} * power(2.0::DOUBLE, -k)) - exp(-n / {M} * power(2.0::DOUBLE, 1 - k)))))"
+    sizes = f"(SELECT range AS i, 5.0::DOUBLE * {M} * range / {steps - 1} AS n FROM range({steps}))"
+    raws = f"(SELECT i, round({alpha} * {M} / ({total}), 4) AS x, round({alpha} * {M} / ({total}) - n, 4) AS y FROM {sizes})"
+    table = f"(SELECT x AS x1, y AS y1, lead(x) OVER (ORDER BY i) AS x2, lead(y) OVER (ORDER BY i) AS y2 FROM {raws})"
+    inner = f"(SELECT y1 + ({raw} - x1)/(x2 - x1)*(y2 - y1) FROM {table} v WHERE x1 < {raw} AND {raw} <= x2)"
+    return f"CASE WHEN {raw} <= (SELECT min(x) FROM {raws}) THEN (SELECT max(y) FROM {raws}) WHEN {raw} > (SELECT max(x) FROM {raws}) THEN 0.0 ELSE {inner} END"

@@ -55,14 +55,14 @@ def q_sketch_card_by_nation(spark, sf_dir):
 
 
 @query(f"""WITH {_NATION}, top AS (SELECT set_id, reg, max(zeros)+1 AS t FROM lf GROUP BY ALL),
-r AS (SELECT set_id, {O.M}-count(*) AS empty, {E.alpha(O.M)}::DOUBLE*{O.M}*{O.M}/(sum(power(2.0, -t)) + ({O.M}-count(*))) AS raw FROM top GROUP BY set_id)
+r AS (SELECT set_id, {O.M}-count(*) AS empty, (0.7213::DOUBLE/(1+1.079::DOUBLE/65536))*{O.M}*{O.M}/(sum(power(2.0, -t)) + ({O.M}-count(*))) AS raw FROM top GROUP BY set_id)
 SELECT set_id, CASE WHEN empty > 0 AND raw <= 2.5*{O.M} THEN greatest(0, round({O.M}*ln({O.M}.0::DOUBLE/empty))) ELSE greatest(0, round(raw - ({O.bias_case('raw')}) - 1)) END::DOUBLE AS card_hll FROM r""")
 def q_sketch_card_hll(spark, sf_dir):
     return S.cardinality_hll(S.long_form(T.nation_parts(spark, sf_dir), "token", "set_id"), "set_id")
 
 
 @query(f"""WITH {_NATION}, top AS (SELECT reg, max(zeros)+1 AS t FROM lf GROUP BY ALL),
-r AS (SELECT {O.M}-count(*) AS empty, {E.alpha(O.M)}::DOUBLE*{O.M}*{O.M}/(sum(power(2.0, -t)) + ({O.M}-count(*))) AS raw FROM top)
+r AS (SELECT {O.M}-count(*) AS empty, (0.7213::DOUBLE/(1+1.079::DOUBLE/65536))*{O.M}*{O.M}/(sum(power(2.0, -t)) + ({O.M}-count(*))) AS raw FROM top)
 SELECT CASE WHEN empty > 0 AND raw <= 2.5*{O.M} THEN greatest(0, round({O.M}*ln({O.M}.0::DOUBLE/empty))) ELSE greatest(0, round(raw - ({O.bias_case('raw')}) - 1)) END::DOUBLE AS card_hll FROM r""")
 def q_card_hll_all_parts(spark, sf_dir):
     return S.cardinality_hll(S.long_form(T.nation_parts(spark, sf_dir), "token"))
