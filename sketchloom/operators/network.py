@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import bounded
-
-MOST_EDGES = 4_000_000
+from ..sources.tables import written
 
 
 def edges(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -50,31 +46,27 @@ def blankets(net: DataFrame) -> DataFrame:
     return up.join(down, "node", "full").join(co, "node", "full").select("node", *[F.coalesce(c, none).alias(c) for c in ("parents", "children", "coparents")])
 
 
-def propagate(net: DataFrame, beliefs: dict[str, float], evidence: set[str] = frozenset()) -> dict[str, float]:
-    """Beliefs after one pass from parents to children.
+def propagate(net: DataFrame, beliefs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(node, belief) after one pass from parents to children.
 
-    A network is as small as the list of its nodes' names, so its edges are
-    collected, and more than MOST_EDGES are an error; nodes in ``evidence`` keep
-    belief 1.
+    ``beliefs`` are (node, belief); nodes in ``evidence`` (node) have belief 1
+    and keep it.  A child's belief is the mean of its parents', weighted by
+    probability and belief; it keeps its own where those are all 0.  A round
+    takes the nodes whose parents are all done, so there are as many rounds as
+    the network has levels.  Nodes on or behind a cycle keep their own belief.
     """
-    parents, children, degree = defaultdict(list), defaultdict(list), defaultdict(int)
-    for r in bounded(net.select("parent", "child", "probability"), MOST_EDGES):
-        parents[r["child"]].append((r["parent"], r["probability"]))
-        children[r["parent"]].append(r["child"])
-        degree[r["child"]] += 1
-    out = {n: 1.0 if n in evidence else b for n, b in beliefs.items()}
-    ready = sorted(n for n in out if not degree[n])
-    while ready:
-        node = ready.pop(0)
-        if node not in evidence and parents[node]:
-            total = sum(out.get(p, 0.0) for p, _ in parents[node])
-            if total > 0:
-                out[node] = sum(w * out.get(p, 0.0) for p, w in parents[node]) / total
-        for c in sorted(children[node]):
-            degree[c] -= 1
-            if not degree[c]:
-                ready.append(c)
-    return out
+    links = written(net.select("parent", "child", "probability"))
+    sure = beliefs.select("node").where("false") if evidence is None else evidence.select("node").distinct()
+    own = written(beliefs.select("node", "belief").join(sure.withColumn("sure", F.lit(True)), "node", "left").select("node", F.when(F.col("sure"), 1.0).otherwise(F.col("belief")).alias("belief"), F.coalesce("sure", F.lit(False)).alias("sure")))
+    above = links.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("parents"))
+    done = written(own.join(above, "node", "left_anti").select("node", "belief"))
+    while True:
+        told = links.join(done.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("told"), F.sum("belief").alias("total"), F.sum(F.col("probability") * F.col("belief")).alias("weighted"))
+        ready = told.join(above, "node").where("told = parents").join(done, "node", "left_anti").join(own, "node")
+        fresh = written(ready.select("node", F.when(~F.col("sure") & (F.col("total") > 0), F.col("weighted") / F.col("total")).otherwise(F.col("belief")).alias("belief")))
+        if not fresh.limit(1).count():
+            return done.unionByName(own.join(done, "node", "left_anti").select("node", "belief"))
+        done = written(done.unionByName(fresh))
 
 
 def cut_incoming(net: DataFrame, node: str) -> DataFrame:
@@ -82,12 +74,20 @@ def cut_incoming(net: DataFrame, node: str) -> DataFrame:
     return net.where(F.col("child") != node)
 
 
-def average_effect(net: DataFrame, beliefs: dict[str, float], cause: str, effect: str) -> float:
+def average_effect(net: DataFrame, beliefs: DataFrame, cause: str, effect: str) -> float:
     """Belief in ``effect`` when ``cause`` is set, less the belief when it is not."""
     mutilated = cut_incoming(net, cause)
-    on = propagate(mutilated, beliefs, {cause})
-    off = propagate(mutilated, beliefs | {cause: 0.0})
-    return on[effect] - off[effect]
+    node = beliefs.sparkSession.createDataFrame([(cause,)], "node string")
+    unset = beliefs.withColumn("belief", F.when(F.col("node") == cause, 0.0).otherwise(F.col("belief")))
+    on, off = (p.where(F.col("node") == effect).first()["belief"] for p in (propagate(mutilated, beliefs, node), propagate(mutilated, unset)))
+    return on - off
+
+
+def report(net: DataFrame) -> DataFrame:
+    """(nodes, edges, roots, leaves, mean_blanket): the network's structure and the mean size of a Markov blanket."""
+    b = blankets(net)
+    size = F.size(F.array_union(F.array_union("parents", "children"), "coparents"))
+    return structure(net).crossJoin(b.agg(F.avg(size).alias("mean_blanket")))
 
 
 def isomorphism_witness(pairs: DataFrame) -> DataFrame:

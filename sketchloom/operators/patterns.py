@@ -36,6 +36,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int, targets: Dat
     return seen if targets is None else seen.join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("source", "target", "depth", "path")
 
 
+def cheapest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(source, target, cost, path): the way of the least total cost from each source to each node it reaches.
+
+    ``edges`` are (a, b, cost); a cost below 0 is an error.  Of equally cheap ways
+    that of the fewest steps is given, then the first by the names of its nodes.
+    In each round only nodes whose way got better pass it on.
+    """
+    least = edges.select("a", "b", F.when(F.col("cost") < 0, F.raise_error(F.lit("a cost below 0")).cast("double")).otherwise(F.col("cost").cast("double")).alias("step"))
+    steps = written(least.where("a <> b").groupBy("a", "b").agg(F.min("step").alias("step")))
+    best = written(sources.select(F.col("node").alias("source"), F.col("node").alias("target")).distinct().select("source", "target", F.struct(F.lit(0.0).alias("cost"), F.lit(1).alias("nodes"), F.array("target").alias("path")).alias("way")))
+    better = best
+    while better.limit(1).count():
+        way = F.struct((F.col("way.cost") + F.col("step")).alias("cost"), (F.col("way.nodes") + 1).alias("nodes"), F.concat("way.path", F.array("b")).alias("path"))
+        tried = better.join(steps, better.target == steps.a).select("source", F.col("b").alias("target"), way.alias("way")).groupBy("source", "target").agg(F.min("way").alias("new"))
+        both = written(best.join(tried, ["source", "target"], "full").select("source", "target", F.least("way", "new").alias("way"), (F.col("new").isNotNull() & (F.col("way").isNull() | (F.col("new") < F.col("way")))).alias("changed")))
+        best, better = both.drop("changed"), both.where("changed").drop("changed")
+    found = best if targets is None else best.join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi")
+    return found.select("source", "target", F.col("way.cost").alias("cost"), F.col("way.path").alias("path"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """The edges in both directions."""
     return edges.select("a", "b").union(edges.select("b", "a")).distinct()

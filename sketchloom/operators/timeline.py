@@ -7,8 +7,6 @@ windows that run over all steps see few rows however many tokens there were.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +15,7 @@ from ..functions import estimators as E
 from ..functions import hashing as H
 from ..sources.tables import bounded
 from . import sketch as S
+from .patterns import cheapest_paths
 
 DRIFT_ROWS = 50
 #: Edges between states that a walk on the driver may have.
@@ -260,21 +259,11 @@ def evolution_path(edges: DataFrame) -> list:
 
 
 def cheapest_path(edges: DataFrame, source, target) -> tuple[list, float] | None:
-    """Dijkstra's path over (a, b, cost) between states; None if there is none."""
-    out: dict = {}
-    for r in bounded(edges.select("a", "b", "cost"), MOST_EDGES):
-        out.setdefault(r["a"], []).append((r["b"], r["cost"]))
-    heap, done = [(0.0, source, [source])], set()
-    while heap:
-        cost, at, path = heapq.heappop(heap)
-        if at == target:
-            return path, cost
-        if at not in done:
-            done.add(at)
-            for b, c in out.get(at, []):
-                if b not in done:
-                    heapq.heappush(heap, (cost + c, b, [*path, b]))
-    return None
+    """The path of the least total cost over (a, b, cost) between states, and its cost; None if there is none."""
+    kind = dict(edges.dtypes)["a"]
+    node = lambda x: edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("node"))
+    row = cheapest_paths(edges, node(source), node(target)).first()
+    return (row["path"], row["cost"]) if row else None
 
 
 def by_id(df: DataFrame, node_id: str) -> DataFrame:

@@ -13,6 +13,8 @@ from ..sources import tables as T
 from . import oracle as O
 from .registry import DAY_USERS, NATION_PARTS, query
 
+#: Edges of a graph that the driver may hold.
+N_EDGES = 4_000_000
 _TYPE_USERS = "SELECT event_type AS set_id, CAST(user_id AS VARCHAR) AS token FROM events"
 _PAIRS = f"WITH {O.long_cte(NATION_PARTS)}, {O.pairs_cte()}, u AS (SELECT DISTINCT reg, zeros FROM lf), {O.cards_cte('u', '', 'uc', 'u')}"
 _PRIORS = f"{_PAIRS}, pr AS (SELECT ps.*, card_a/uc.u AS p_a, card_b/uc.u AS p_b, card_ab/uc.u AS p_ab, CASE WHEN card_b > 0 THEN card_ab/card_b ELSE 0.0 END AS p_a_given_b, CASE WHEN card_a > 0 THEN card_ab/card_a ELSE 0.0 END AS p_b_given_a FROM ps CROSS JOIN uc)"
@@ -126,24 +128,49 @@ def q_blanket(spark, sf_dir):
     return N.blankets(_net(spark, sf_dir))
 
 
-@query()
+def _belief_sql(name: str, edges: str, own: str, sure: str = "false") -> str:
+    """``name``(node, belief) after a pass over edges (parent, child, probability), of ``own``(node, belief); ``sure`` says of a node that it is evidence."""
+    return f"""{name}(node, belief) USING KEY (node) AS (SELECT node, CASE WHEN {sure} THEN 1.0::DOUBLE ELSE belief END FROM {own} o WHERE node NOT IN (SELECT child FROM {edges})
+  UNION (SELECT node, CASE WHEN {sure} THEN 1.0::DOUBLE WHEN total > 0 THEN weighted/total ELSE belief END FROM (
+    SELECT e.child AS node, count(*) AS told, sum(g.belief) AS total, sum(e.probability * g.belief) AS weighted FROM recurring.{name} AS g JOIN {edges} e ON e.parent = g.node WHERE e.child NOT IN (SELECT node FROM recurring.{name}) GROUP BY e.child) m
+    JOIN (SELECT child, count(*) AS parents FROM {edges} GROUP BY child) k ON k.child = m.node JOIN {own} o USING (node) WHERE told = parents))"""
+
+
+_PRIOR_NET = f"""WITH RECURSIVE {_PRIORS.removeprefix('WITH ')}, own AS (SELECT a AS node, p_a AS belief FROM pr WHERE a = b),
+bn AS (SELECT CASE WHEN card_a >= card_b THEN a ELSE b END AS parent, CASE WHEN card_a >= card_b THEN b ELSE a END AS child, card_ab/(CASE WHEN card_a >= card_b THEN card_a ELSE card_b END) AS probability
+FROM ps WHERE a < b AND greatest(card_ab/card_a, card_ab/card_b) >= 0.56)"""
+
+
+def _own_beliefs(priors):
+    return priors.where("a = b").select(F.col("a").alias("node"), F.col("p_a").alias("belief"))
+
+
+@query(f"{_PRIOR_NET}, {_belief_sql('bl', 'bn', 'own')} SELECT node, round(belief, 9) AS belief FROM bl")
 def q_belief(spark, sf_dir):
-    pr = _priors(spark, sf_dir)
-    own = {r["a"]: r["p_a"] for r in pr.where("a = b").select("a", "p_a").collect()}
-    out = N.propagate(N.edges(pr, 0.56), own)
-    return spark.createDataFrame(sorted(out.items()), "node string, belief double")
+    pr = T.written(_priors(spark, sf_dir))
+    return N.propagate(N.edges(pr, 0.56), _own_beliefs(pr)).select("node", F.round("belief", 9).alias("belief"))
 
 
-@query()
+@query(f"""{_PRIOR_NET}, fx AS (SELECT parent AS cause, child AS effect FROM bn ORDER BY probability DESC, parent, child LIMIT 1), cut AS (SELECT * FROM bn WHERE child <> (SELECT cause FROM fx)),
+unset AS (SELECT node, CASE WHEN node = (SELECT cause FROM fx) THEN 0.0 ELSE belief END AS belief FROM own),
+{_belief_sql('t1', 'cut', 'own', 'node = (SELECT cause FROM fx)')}, {_belief_sql('t0', 'cut', 'unset')}
+SELECT cause, effect, round(t1.belief - t0.belief, 9) AS ace FROM fx JOIN t1 ON t1.node = effect JOIN t0 ON t0.node = effect""")
 def q_causal_effect(spark, sf_dir):
-    pr = _priors(spark, sf_dir)
-    own = {r["a"]: r["p_a"] for r in pr.where("a = b").select("a", "p_a").collect()}
-    net = N.edges(pr, 0.56)
+    """The effect along the strongest edge."""
+    pr = T.written(_priors(spark, sf_dir))
+    net, own = T.written(N.edges(pr, 0.56)), _own_beliefs(pr)
     first = net.orderBy(F.desc("probability"), "parent", "child").first()
-    rows = [(first["parent"], first["child"], N.average_effect(net, own, first["parent"], first["child"]))] if first else []
+    rows = [(first["parent"], first["child"], round(N.average_effect(net, own, first["parent"], first["child"]), 9))] if first else []
     return spark.createDataFrame(rows, "cause string, effect string, ace double")
 
 
+@query(f"""{_NET}, n AS (SELECT parent AS node FROM bn UNION SELECT child FROM bn), mb AS (SELECT child AS node, parent AS other FROM bn UNION SELECT parent, child FROM bn UNION SELECT x.parent, y.parent FROM bn x JOIN bn y ON x.child = y.child AND x.parent <> y.parent)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM bn) AS edges, (SELECT count(*) FROM n WHERE node NOT IN (SELECT child FROM bn)) AS roots, (SELECT count(*) FROM n WHERE node NOT IN (SELECT parent FROM bn)) AS leaves,
+(SELECT count(*) FROM mb) / (SELECT count(*) FROM n) AS mean_blanket""")
+def q_network_report(spark, sf_dir):
+    return N.report(_net(spark, sf_dir))
+
+
 @query(f"""{_PAIRS} SELECT count(*) AS pairs, 0.0::DOUBLE + max(abs(least(1.0, card_ab/card_b) - card_ab/card_b)) AS max_error, avg(abs(least(1.0, card_ab/card_b) - card_ab/card_b)) AS mean_error FROM ps WHERE a <> b""")
 def q_isomorphism_witness(spark, sf_dir):
     return N.isomorphism_witness(P.overlaps(_long(spark, sf_dir)))
@@ -203,14 +230,14 @@ def q_hmm_viterbi(spark, sf_dir):
     hidden = S.long_form(e.select(F.concat(F.lit("week "), F.weekofyear("ts").cast("string")).alias("set_id"), F.col("user_id").cast("string").alias("token")), "token", "set_id")
     seen = S.long_form(e.select(F.col("event_type").alias("set_id"), F.col("user_id").cast("string").alias("token")), "token", "set_id")
     t = K.dense(K.transition(P.overlaps(hidden)))
-    rows = K.emissions(P.overlaps(hidden, seen)).collect()
+    rows = T.bounded(K.emissions(P.overlaps(hidden, seen)), K.DENSE * K.DENSE)
     hs, os = sorted({r["i"] for r in rows}), sorted({r["j"] for r in rows})
     import numpy as np
 
     b = np.zeros((len(hs), len(os)))
     for r in rows:
         b[hs.index(r["i"]), os.index(r["j"])] = r["p"]
-    prior = {r["set_id"]: r["card"] for r in S.cardinality(hidden, "set_id").collect()}
+    prior = {r["set_id"]: r["card"] for r in T.bounded(S.cardinality(hidden, "set_id"), K.DENSE)}
     return K.decode_sequences(e.select("user_id", "ts", "event_type"), "user_id", "ts", "event_type", prior, t, (hs, os, b))
 
 
@@ -218,7 +245,8 @@ def q_hmm_viterbi(spark, sf_dir):
 def q_cliques(spark, sf_dir):
     """Maximal cliques of the random field whose edges carry information."""
     p = [F.col(c) for c in ("p_a", "p_b", "p_ab")]
-    linked = _priors(spark, sf_dir).where("a < b").where(B.mutual_information(*p) > 0.01).select("a", "b").collect()
+    linked = _priors(spark, sf_dir).where("a < b").where(B.mutual_information(*p) > 0.01).select("a", "b")
+    linked = T.bounded(linked, N_EDGES)
     return spark.createDataFrame([(i, len(c), ",".join(c)) for i, c in enumerate(K.cliques([(r["a"], r["b"]) for r in linked]))], "clique int, size int, members string")
 
 

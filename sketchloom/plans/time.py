@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import pairs as P
+from ..operators.patterns import cheapest_paths
 from ..operators import sketch as S
 from ..operators import timeline as L
 from ..operators import tokens as K
@@ -151,20 +152,29 @@ def _state_edges(spark, sf_dir):
     return d.where("a <> b AND tau >= 0.2 AND rho <= 0.8").select("a", "b", "tau", "rho")
 
 
-@query()
+_STATE_EDGES = f"WITH RECURSIVE {_DAYS}, {O.pairs_cte('lf', key='day')}, e AS (SELECT a, b, {O.TAU} AS tau, card_a_not_b + card_b_not_a AS cost, {O.RHO} AS rho FROM ps WHERE a <> b)"
+
+
+@query(f"""{_STATE_EDGES}, w AS (SELECT a, b, tau FROM e WHERE tau >= 0.2 AND rho <= 0.8),
+s AS (SELECT n FROM (SELECT a AS n, 1 AS d FROM w UNION ALL SELECT b, -1 FROM w) GROUP BY n ORDER BY sum(d) DESC, n LIMIT 1),
+r(place, day, seen) AS (SELECT 0, n, [n] FROM s UNION ALL SELECT place + 1, b.b, list_append(seen, b.b) FROM r CROSS JOIN LATERAL (SELECT b FROM w WHERE w.a = r.day AND NOT list_contains(r.seen, b) ORDER BY tau DESC, b LIMIT 1) b)
+SELECT place, day FROM r""")
 def q_evolution_path(spark, sf_dir):
     path = L.evolution_path(_state_edges(spark, sf_dir))
     return spark.createDataFrame([(i, d) for i, d in enumerate(path)], "place int, day string")
 
 
-@query()
+@query(f"""{_STATE_EDGES}, w AS (SELECT a, b, cost FROM e WHERE tau >= 0.1), ends AS (SELECT min(a) AS first, max(a) AS last FROM w),
+g(node, cost, path) USING KEY (node) AS (SELECT first, 0.0::DOUBLE, [first] FROM ends UNION (SELECT b, min(c), arg_min(path, (c, len(path), path)) FROM (
+  SELECT w.b, g.cost + w.cost AS c, list_append(g.path, w.b) AS path FROM g JOIN w ON w.a = g.node) n LEFT JOIN recurring.g AS o ON o.node = n.b WHERE o.node IS NULL OR (c, len(n.path), n.path) < (o.cost, len(o.path), o.path) GROUP BY b)),
+x AS (SELECT path FROM g JOIN ends ON node = last) SELECT (i - 1)::INT AS place, path[i] AS day FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM x)""")
 def q_cheapest_path(spark, sf_dir):
     """Transitions of the least total cost between the first and the last day."""
     pairs = P.directed(P.overlaps(_long(spark, sf_dir), key="day", disjoint=False)).where("a <> b AND tau >= 0.1")
-    edges = pairs.select("a", "b", (F.col("card_a_not_b") + F.col("card_b_not_a")).alias("cost"))
-    ends = edges.agg(F.min("a"), F.max("a")).first()
-    found = L.cheapest_path(edges, ends[0], ends[1]) if ends[0] else None
-    return spark.createDataFrame([(i, d) for i, d in enumerate(found[0])] if found else [], "place int, day string")
+    edges = T.written(pairs.select("a", "b", (F.col("card_a_not_b") + F.col("card_b_not_a")).alias("cost")))
+    ends = edges.agg(F.min("a").alias("first"), F.max("a").alias("last"))
+    found = cheapest_paths(edges, ends.select(F.col("first").alias("node")), ends.select(F.col("last").alias("node")))
+    return found.select(F.posexplode("path").alias("place", "day"))
 
 
 @query(f"""WITH {_DAYS}, {O.pairs_cte('lf', key='day')}, d AS (SELECT *, {O.TAU} AS tau, {O.RHO} AS rho FROM ps WHERE a <> b), z AS (SELECT *, tau >= 0.95 AND rho < 0.1 AS at_target FROM d)

@@ -93,7 +93,7 @@ def test_probabilities_of_overlapping_sets(spark):
     net = N.edges(pairs, 0.1)
     assert {(r["parent"], r["child"]) for r in net.collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
     assert N.blankets(net).where("node = 'A'").first()["coparents"] == ["B"]
-    out = N.propagate(net, {k: 0.5 for k in sets})
+    out = {r["node"]: r["belief"] for r in N.propagate(net, spark.createDataFrame([(k, 0.5) for k in sets], "node string, belief double")).collect()}
     assert out["A"] == 0.5 and 0 < out["C"] < 1
     t = K.transition(pairs)
     assert all(abs(r["s"] - 1) < 1e-9 or r["s"] == 0 for r in t.groupBy("i").agg(F.sum("p").alias("s")).collect())

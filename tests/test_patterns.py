@@ -74,6 +74,63 @@ def test_chains_of_labels_are_counted(spark):
     assert P.along_labels(df, ["y", "y"]).count() == 0
 
 
+def test_cheapest_paths_are_those_of_dijkstra(spark):
+    import heapq
+
+    rng = random.Random(7)
+    edges = [(a, b, float(rng.choice([0, 1, 2, 5, 9]))) for a, b in graph(3, 15, 45)]
+    best, heap = {}, [(0.0, 1, ["n0"])]
+    while heap:
+        cost, n, path = heapq.heappop(heap)
+        if path[-1] not in best:
+            best[path[-1]] = cost, path
+            for a, b, c in edges:
+                if a == path[-1] and a != b:
+                    heapq.heappush(heap, (cost + c, n + 1, [*path, b]))
+    df = spark.createDataFrame([*edges, *[(a, b, c + 3) for a, b, c in edges[:9]]], "a string, b string, cost double")
+    got = {r["target"]: (r["cost"], r["path"]) for r in P.cheapest_paths(df, nodes(spark, "n0")).collect()}
+    assert got == best
+    assert P.cheapest_paths(df, nodes(spark, "n0"), nodes(spark, "nowhere")).count() == 0
+    with pytest.raises(Exception, match="below 0"):
+        P.cheapest_paths(spark.createDataFrame([("a", "b", -1.0)], "a string, b string, cost double"), nodes(spark, "a")).collect()
+
+
+def test_beliefs_by_levels(spark):
+    from sketchloom.operators import network as N
+
+    net = [("a", "c", 0.5), ("b", "c", 0.8), ("c", "d", 0.9), ("a", "d", 0.2), ("z", "e", 0.7), ("x", "y", 0.5), ("y", "x", 0.5), ("y", "w", 1.0), ("q", "r", 0.4)]
+    own = {n: 0.1 * i for i, n in enumerate("abcdexywqr", 1)} | {"q": 0.0}  # z has no belief of its own
+    df = spark.createDataFrame(net, "parent string, child string, probability double")
+    table = spark.createDataFrame(list(own.items()), "node string, belief double")
+
+    def brute(sure):
+        out = {n: 1.0 if n in sure else b for n, b in own.items()}
+        done = {n for n in out if not any(c == n for _, c, _ in net)}
+        while ready := [n for n in out if n not in done and all(p in done for p, c, _ in net if c == n)]:
+            for n in ready:
+                up = [(w, out[p]) for p, c, w in net if c == n]
+                if n not in sure and sum(b for _, b in up) > 0:
+                    out[n] = sum(w * b for w, b in up) / sum(b for _, b in up)
+            done |= set(ready)
+        return out
+
+    for sure in ([], ["b"], ["c", "q"]):
+        found = N.propagate(df, table, nodes(spark, *sure) if sure else None)
+        assert {r["node"]: r["belief"] for r in found.collect()} == pytest.approx(brute(sure))
+    on, off = brute(["b"]), {}
+    own["b"] = 0.0
+    off = brute([])
+    own["b"] = 0.2
+    assert N.average_effect(df, table, "b", "d") == pytest.approx(on["d"] - off["d"])
+
+
+def test_generation_by_doubling(spark):
+    ring = D.kmers(spark.createDataFrame([("a b c a b c a x".split(),)], "w array<string>"), "w", k=2)
+    for steps in (0, 1, 2, 7, 8):
+        got = sorted(map(tuple, D.generate(ring, "a", steps).collect()))
+        assert got == [(i, "abc"[i % 3]) for i in range(steps + 1)]
+
+
 # corpus graphs ----------------------------------------------------------------
 
 
