@@ -7,7 +7,7 @@ windows that run over all steps see few rows however many tokens there were.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,6 +15,7 @@ from ..functions import estimators as E
 from ..functions import hashing as H
 from ..sources.tables import bounded
 from . import sketch as S
+from .pairs import directed, overlaps
 from .patterns import cheapest_paths
 
 DRIFT_ROWS = 50
@@ -270,19 +271,32 @@ def by_id(df: DataFrame, node_id: str) -> DataFrame:
     return df.where(F.col("node_id") == node_id)
 
 
-def as_of(left: DataFrame, right: DataFrame, time: str, value: str, *keys: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, time: str, value: str, *keys: str, stretch: Column | None = None) -> DataFrame:
     """``left`` with the ``value`` of the latest row of ``right`` at or before its time, under the same keys.
 
     One window over the union of both sides, so a row meets no other row but the
-    last of the other side; keys deal the work.
+    last of the other side; keys deal the work.  ``stretch``, a value that never
+    falls as time goes on, such as the day, deals a key's rows further: what the
+    last stretch with a value leaves is carried on, one row a key and stretch.
     """
     types = dict(left.dtypes) | {value: dict(right.dtypes)[value]}
     columns = [*keys, time, *(c for c in left.columns if c not in (*keys, time))]
     a = left.select(*columns, F.lit(None).cast(types[value]).alias(value), F.lit(1).alias("_side"))
     b = right.select(*keys, time, *[F.lit(None).cast(types[c]).alias(c) for c in columns if c not in (*keys, time)], value, F.lit(0).alias("_side"))
-    last = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(last))
-    return both.where("_side = 1").drop("_side")
+    both = a.unionByName(b)
+    dealt = list(keys)
+    if stretch is not None:
+        both = both.withColumn("_stretch", stretch)
+        dealt.append("_stretch")
+    last = W.partitionBy(*dealt).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn(value, F.last(value, ignorenulls=True).over(last)).where("_side = 1").drop("_side")
+    if stretch is None:
+        return found
+    marks = both.groupBy(*dealt).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time))).alias("_left"))
+    before = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    carried = marks.select(*[F.col(k).alias(f"_{k}") for k in dealt], F.last("_left", ignorenulls=True).over(before).alias("_carried"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in dealt]
+    return found.join(carried, same, "left").withColumn(value, F.coalesce(value, "_carried")).drop("_stretch", "_carried").select(*columns, value)
 
 
 def shift_masks(long: DataFrame, time: str) -> DataFrame:
@@ -313,6 +327,13 @@ def analyze(t: DataFrame) -> DataFrame:
     return t.agg(F.count(F.lit(1)).alias("steps"), F.sum("novel").alias("gained"), F.sum("deleted").alias("lost"), F.sum("flux").alias("net"), *kinds)
 
 
+def w_graph(long: DataFrame, time: str, first, last, tau: float, rho: float) -> DataFrame:
+    """(a, b, tau, rho) of the transitions among the states from ``first`` to ``last`` that cover and exclude enough."""
+    inside = long.where(F.col(time).between(first, last))
+    d = directed(overlaps(inside, key=time, disjoint=False))
+    return d.where((F.col("a") != F.col("b")) & (F.col("tau") >= tau) & (F.col("rho") <= rho)).select("a", "b", "tau", "rho")
+
+
 class System:
     """A system that adds and removes tokens step by step: ``step`` records, ``status`` tells where it is."""
 
@@ -326,6 +347,13 @@ class System:
             setattr(self, name, rows if held is None else held.unionByName(rows))
         return self
 
+    def record(self, added: DataFrame, removed: DataFrame) -> "System":
+        """Record many steps at once: sketches (step, reg, zeros)."""
+        for name, rows in (("_added", added), ("_removed", removed)):
+            rows, held = rows.select("step", "reg", "zeros"), getattr(self, name)
+            setattr(self, name, rows if held is None else held.unionByName(rows))
+        return self
+
     def status(self) -> DataFrame:
         """The last step's row of ``noether``."""
         return latest(noether(self._added, self._removed, "step"), "step")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -309,15 +310,17 @@ def q_analyze_evolution(spark, sf_dir):
     return T.analyze(_transitions(spark, sf_dir))
 
 
-@query(f"{_NOETHER}, c3 AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS step FROM b) SELECT step::INT AS step, added, deleted, flux, cumulative_flux, phase, card FROM c3 WHERE step = 3")
+def _numbered(days):
+    """(day, step): days numbered in their order."""
+    return days.withColumn("step", F.row_number().over(W.orderBy("day")) - 1)
+
+
+@query(f"{_NOETHER}, c3 AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS step FROM b) SELECT step::INT AS step, added, deleted, flux, cumulative_flux, phase, card FROM c3 WHERE step = (SELECT max(step) FROM c3)")
 def q_system_status(spark, sf_dir):
-    """Four days' additions and removals through the step-by-step form."""
+    """All days' additions and removals through the step-by-step form: where the system is."""
     e = I.day_users(spark, sf_dir, "event_type").where("event_type IN ('signup', 'click', 'error')")
-    days = [r["day"] for r in e.select("day").distinct().orderBy("day").limit(4).collect()]
-    system = T.System()
-    for i, day in enumerate(days):
-        at = e.where(F.col("day") == day)
-        system.step(i, S.long_form(at.where("event_type <> 'error'"), "token"), S.long_form(at.where("event_type = 'error'"), "token"))
+    e = e.join(F.broadcast(_numbered(e.select("day").distinct())), "day")  # a row a day
+    system = T.System().record(S.long_form(e.where("event_type <> 'error'"), "token", "step"), S.long_form(e.where("event_type = 'error'"), "token", "step"))
     return system.status().select("step", "added", "deleted", "flux", "cumulative_flux", "phase", "card")
 
 

@@ -165,7 +165,7 @@ def q_evolution_path(spark, sf_dir):
 
 
 @query(f"""{_STATE_EDGES}, w AS (SELECT a, b, cost FROM e WHERE tau >= 0.1), ends AS (SELECT min(a) AS first, max(a) AS last FROM w),
-g(node, cost, path) USING KEY (node) AS (SELECT first, 0.0::DOUBLE, [first] FROM ends UNION (SELECT b, min(c), arg_min(path, (c, len(path), path)) FROM (
+g(node, cost, path) USING KEY (node) AS (SELECT first, 0.0::DOUBLE, [first] FROM ends UNION (SELECT b, min(c), arg_min(n.path, (c, len(n.path), n.path)) FROM (
   SELECT w.b, g.cost + w.cost AS c, list_append(g.path, w.b) AS path FROM g JOIN w ON w.a = g.node) n LEFT JOIN recurring.g AS o ON o.node = n.b WHERE o.node IS NULL OR (c, len(n.path), n.path) < (o.cost, len(o.path), o.path) GROUP BY b)),
 x AS (SELECT path FROM g JOIN ends ON node = last) SELECT (i - 1)::INT AS place, path[i] AS day FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM x)""")
 def q_cheapest_path(spark, sf_dir):

@@ -131,6 +131,18 @@ def test_as_of_takes_the_latest_earlier_row(spark):
     assert got == {"x": 50, "y": None, "z": None, "n": None}
 
 
+def test_as_of_by_stretches(spark):
+    """Dealt by stretches of time, also with a key of all rows, null keys, times and values: as without."""
+    rng = random.Random(3)
+    at = lambda: rng.choice([None, *range(40)])
+    left = spark.createDataFrame([(rng.choice(["a", "a", "b", None]), at(), f"r{i}") for i in range(200)], "k string, t long, what string")
+    right = spark.createDataFrame([(rng.choice(["a", "b", None]), t, rng.choice([None, t * 10])) for t in rng.sample(range(40), 25)], "k string, t long, value long")
+    whole = {tuple(r) for r in T.as_of(left, right, "t", "value", "k").select("k", "t", "what", "value").collect()}
+    for width in (1, 7, 100):
+        dealt = T.as_of(left, right, "t", "value", "k", stretch=F.floor(F.col("t") / width))
+        assert dealt.columns == ["k", "t", "what", "value"] and {tuple(r) for r in dealt.collect()} == whole and dealt.count() == 200
+
+
 def test_ring_rank_by_partial_bases(spark):
     rng = random.Random(3)
     vectors = [rng.sample(range(30), 6) for _ in range(60)]
