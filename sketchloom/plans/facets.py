@@ -256,9 +256,9 @@ def q_graph_two_hops(spark, sf_dir):
     return L.two_hops(_net(spark, sf_dir).select(F.col("parent").alias("a"), F.col("child").alias("b")))
 
 
-@query(f"{_NET} SELECT parent, child, probability FROM bn")
+@query(f"{_NET.replace('WITH', 'WITH RECURSIVE', 1)}, {O.rank_cte('lf', 'set_id', 'set_id')} SELECT parent, child, probability FROM bn WHERE parent IN (SELECT key FROM rk WHERE is_base) AND child IN (SELECT key FROM rk WHERE is_base)")
 def q_ring_network(spark, sf_dir):
-    """The network over the base vectors of the nations' ring: the whole network, as the nations are independent."""
+    """The network over the base vectors of the nations' ring."""
     long = _long(spark, sf_dir)
     d = G.decompose(G.vectors(long, "set_id").withColumn("ring", F.lit("nations")), "ring", "set_id", "set_id")
     return N.from_ring(d, P.overlaps(long, disjoint=False), "set_id", 0.56).select("parent", "child", "probability")
@@ -385,17 +385,17 @@ def q_ring_matrix(spark, sf_dir):
     return G.matrix(G.vectors(_long(spark, sf_dir), "set_id"), "set_id").select("set_id", F.col("bit").cast("int").alias("bit"))
 
 
-@query("SELECT 'days' AS ring, (2*n)::BIGINT AS vectors, n AS rank, 2.0::DOUBLE AS compression FROM (SELECT count(DISTINCT strftime(ts, '%Y-%m-%d')) AS n FROM events)")
+@query(f"WITH RECURSIVE {_DAYS}, {O.rank_cte('lf', 'day', 'day')} SELECT 'days' AS ring, 2*count(*) AS vectors, max(rank)::BIGINT AS rank, 2*count(*)/max(rank) AS compression FROM rk")
 def q_ring_stats(spark, sf_dir):
-    """Every vector merged in twice: the second time all of them are sums of bases, if the days are independent."""
+    """Every vector merged in twice: the second time all of them are sums of bases."""
     v = G.vectors(_days(spark, sf_dir), "day")
     twice = v.withColumn("o", F.concat(F.lit("0"), "day")).unionByName(v.select(F.concat(F.lit("again "), "day").alias("day"), "bits", F.concat(F.lit("1"), "day").alias("o")))
     return G.stats(G.decompose(twice.withColumn("ring", F.lit("days")), "ring", "day", "o"), "ring")
 
 
-@query("SELECT count(DISTINCT strftime(ts, '%Y-%m-%d'))::INT AS rank, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS kept FROM events")
+@query(f"WITH RECURSIVE {_DAYS}, {O.rank_cte('lf', 'day', 'day')} SELECT max(rank)::INT AS rank, count(*) FILTER (is_base) AS kept FROM rk")
 def q_merge_into_ring(spark, sf_dir):
-    """Of days half in a ring and all in a draft, the ring's rank after the merge, if the days are independent."""
+    """Of days half in a ring and all in a draft, the ring's rank after the merge."""
     v = G.vectors(_days(spark, sf_dir), "day").withColumnRenamed("day", "key")
     draft = Y.Transaction().ingest(I.day_users(spark, sf_dir).withColumnRenamed("day", "batch"))
     d = Y.merge_into_ring(v.where("key < '2024-01-15'"), draft)

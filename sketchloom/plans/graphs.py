@@ -118,7 +118,7 @@ def _ring(spark, sf_dir):
     return rows.withColumn("ring", F.lit("nations"))
 
 
-@query()
+@query(f"WITH RECURSIVE {O.long_cte(NATION_PARTS)}, {O.rank_cte('lf', 'set_id', 'set_id')} SELECT 'nations' AS ring, max(rank)::INT AS rank, max(rank)::BIGINT AS bases, count(*) AS vectors FROM rk")
 def q_ring_rank(spark, sf_dir):
     return G.rank(_ring(spark, sf_dir), "ring", "set_id").select("ring", "rank", F.col("rank").cast("long").alias("bases"), "vectors")
 
@@ -163,7 +163,9 @@ def q_w_diff(spark, sf_dir):
     return G.snapshot_diff(both.select("day", F.col("old").alias("ids")), both.select("day", "ids"), "day")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DAYS}, {O.rank_cte('lf', 'day', 'day')}, u AS (SELECT DISTINCT reg, zeros FROM lf),
+b AS (SELECT (reg*32+zeros)//8 AS i, sum(1::BIGINT << ((reg*32+zeros)%8)) AS v FROM u GROUP BY ALL), f AS (SELECT range AS i, coalesce(v, 0)::INT AS v FROM range({O.M * 4}) LEFT JOIN b ON b.i = range)
+SELECT max(rank)::INT AS rank, count(*) FILTER (is_base) AS bases, count(*) AS batches, (SELECT sha1(unhex(string_agg(printf('%02x', v), '' ORDER BY i))) FROM f) AS name, (SELECT count(*) FROM u) AS bits FROM rk""")
 def q_transaction(spark, sf_dir):
     """Days' users ingested into a draft: ranks, then the committed union's name."""
     draft = Y.Transaction().ingest(T.day_users(spark, sf_dir).withColumnRenamed("day", "batch"))

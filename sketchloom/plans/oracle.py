@@ -71,6 +71,21 @@ def pairs_cte(lf: str = "lf", other: str | None = None, name: str = "ps", key: s
     return out + f"{name} AS (SELECT a, b, {', '.join(measures)}, pop_a, pop_b, pop_ab FROM {pops} " + " ".join(f"JOIN {j} USING (a, b)" for j in joins) + ")"
 
 
+def rank_cte(vectors: str, key: str, order: str, name: str = "rk") -> str:
+    """``name``(i, key, is_base, rank) of a long form's vectors in order, by elimination; the CTEs are recursive.
+
+    A vector stands as 64 bits, the XOR of a hash of each of its positions: that
+    map is linear, so sums stay sums, and it keeps the rank of some 30 vectors
+    but for odds of one in billions.  A basis in descending order reduces a
+    number by taking the lesser of it and its sum with each element.
+    """
+    return f"""{name}_h AS (SELECT key, h, row_number() OVER (ORDER BY o) AS i FROM (SELECT {key} AS key, {order} AS o, bit_xor(hash(reg*32+zeros)) AS h FROM {vectors} GROUP BY {key}, {order})),
+{name}_r(i, key, is_base, rank, basis) AS (SELECT 0::BIGINT, NULL::VARCHAR, false, 0, []::UBIGINT[] UNION ALL
+  SELECT i, key, red <> 0, rank + (red <> 0)::INT, CASE WHEN red <> 0 THEN list_reverse_sort(list_append(basis, red)) ELSE basis END FROM (
+    SELECT h.i, h.key, r.rank, r.basis, list_reduce(list_prepend(h.h, r.basis), lambda x, b: least(x, xor(x, b))) AS red FROM {name}_r r JOIN {name}_h h ON h.i = r.i + 1)),
+{name} AS (SELECT i, key, is_base, rank FROM {name}_r WHERE i > 0)"""
+
+
 TAU = "CASE WHEN card_b > 0 THEN greatest(0, least(1, card_ab/card_b)) ELSE 0.0 END"
 RHO = "CASE WHEN card_b > 0 THEN greatest(0, least(1, card_a_not_b/card_b)) ELSE 1.0 END"
 

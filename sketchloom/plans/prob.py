@@ -207,12 +207,16 @@ def q_entropy_rate(spark, sf_dir):
     return spark.createDataFrame([(round(rate, 5), round(most, 5))], "entropy_rate double, max_possible double")
 
 
-@query()
+@query(f"""{_CHAIN.replace('WITH', 'WITH RECURSIVE', 1)}, fr AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(p ORDER BY j) AS row FROM t GROUP BY i)), tc AS (SELECT list(col ORDER BY j) AS m, list(j ORDER BY j) AS labels FROM (SELECT j, list(p ORDER BY i) AS col FROM t GROUP BY j)),
+hr(k, h) AS (SELECT 0, list_transform(m, lambda r: 0.0::DOUBLE) FROM fr UNION ALL SELECT k + 1, list_transform(m, lambda r, x: CASE WHEN x = 1 THEN 0.0 ELSE 1 + list_inner_product(r, h) END) FROM hr CROSS JOIN fr WHERE k < 1500),
+pr_(k, x) AS (SELECT 0, list_transform(m, lambda r: 1.0::DOUBLE / len(m)) FROM tc UNION ALL SELECT k + 1, list_transform(m, lambda c: list_inner_product(c, x)) FROM pr_ CROSS JOIN tc WHERE k < 400),
+a AS (SELECT h FROM hr ORDER BY k DESC LIMIT 1), b AS (SELECT x FROM pr_ ORDER BY k DESC LIMIT 1)
+SELECT labels[i] AS state, round(h[i], 4) AS to_first, round(list_sum(x) / x[i], 4) AS return_time FROM (SELECT labels, h, x, unnest(range(1, len(labels) + 1)) AS i FROM tc CROSS JOIN a CROSS JOIN b)""")
 def q_hitting_time(spark, sf_dir):
     labels, m = K.dense(_chain(spark, sf_dir))
     times = K.hitting_times(m, 0)
     back = K.return_times(m)
-    return spark.createDataFrame([(x, float(h), float(r)) for x, h, r in zip(labels, times, back)], "state string, to_first double, return_time double")
+    return spark.createDataFrame([(x, round(float(h), 4), round(float(r), 4)) for x, h, r in zip(labels, times, back)], "state string, to_first double, return_time double")
 
 
 @query()
@@ -241,7 +245,10 @@ def q_hmm_viterbi(spark, sf_dir):
     return K.decode_sequences(e.select("user_id", "ts", "event_type"), "user_id", "ts", "event_type", prior, t, (hs, os, b))
 
 
-@query()
+@query(f"""{_PRIORS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT a, b, {_mi_sql()} AS mi FROM pr WHERE a < b), l AS (SELECT a, b FROM e WHERE mi > 0.01 UNION ALL SELECT b, a FROM e WHERE mi > 0.01), near AS (SELECT a, list(b) AS to FROM l GROUP BY a),
+c(members, top) AS (SELECT [a], a FROM near UNION ALL SELECT list_append(members, l.b), l.b FROM c JOIN l ON l.a = c.top AND l.b > c.top JOIN near k ON k.a = l.b WHERE list_has_all(k.to, members)),
+m AS (SELECT members FROM c WHERE NOT EXISTS (SELECT 1 FROM near k WHERE list_has_all(k.to, c.members)))
+SELECT (row_number() OVER (ORDER BY members) - 1)::INT AS clique, len(members)::INT AS size, array_to_string(members, ',') AS members FROM m""".replace("AS to ", "AS tos ").replace("k.to,", "k.tos,"))
 def q_cliques(spark, sf_dir):
     """Maximal cliques of the random field whose edges carry information."""
     p = [F.col(c) for c in ("p_a", "p_b", "p_ab")]
