@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -95,6 +96,162 @@ def entropy_rate(m: np.ndarray) -> tuple[float, float, float]:
     return rate, most, rate / most if most else 0.0
 
 
+def entropy_of(t: DataFrame) -> DataFrame:
+    """(entropy_rate, max_possible) of a chain of any size, from its stationary scores."""
+    rows = t.join(stationary(t), t.i == F.col("state"))
+    term = F.when(F.col("p") > 0, -F.col("score") * F.col("p") * F.log2("p")).otherwise(0.0)
+    return rows.agg(F.sum(term).alias("entropy_rate"), F.log2(F.countDistinct("i")).alias("max_possible"))
+
+
+def products(t: DataFrame, labels: list) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of a chain's matrix with a vector: rows stay where they are, and the driver holds a number a state."""
+    at = {x: k for k, x in enumerate(labels)}
+    numbers = t.sparkSession.createDataFrame(list(at.items()), f"state {dict(t.dtypes)['i']}, k int")
+    rows = t.where("p <> 0").join(numbers.select(F.col("state").alias("i"), F.col("k").alias("r")), "i").join(numbers.select(F.col("state").alias("j"), F.col("k").alias("c")), "j")
+    rows = written(rows.select("r", "c", "p"))
+
+    def product(x: np.ndarray) -> np.ndarray:
+        held = t.sparkSession.sparkContext.broadcast(x)
+
+        def run(batches):
+            y = np.zeros(len(held.value))
+            for b in batches:
+                y += np.bincount(b["r"].to_numpy(), b["p"].to_numpy() * held.value[b["c"].to_numpy()], minlength=len(y))
+            some = np.flatnonzero(y)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(y[some])], ["r", "y"])
+
+        out = np.zeros(len(x))
+        for r, y in rows.mapInArrow(run, "r int, y double").groupBy("r").agg(F.sum("y")).collect():
+            out[r] = y
+        held.unpersist()
+        return out
+
+    return product
+
+
+def solved(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, tolerance: float = 1e-12, most: int = 500) -> np.ndarray:
+    """x with product(x) = b, by stabilised biconjugate gradients; no solution within ``most`` steps is an error."""
+    x, r = np.zeros(len(b)), b.copy()
+    shadow, p, rho = r.copy(), r.copy(), float(r @ r)
+    least = tolerance * max(1.0, float(np.linalg.norm(b)))
+    for _ in range(most):
+        if np.linalg.norm(r) <= least:
+            return x
+        v = product(p)
+        alpha = rho / float(shadow @ v)
+        s = r - alpha * v
+        if np.linalg.norm(s) <= least:
+            return x + alpha * p
+        u = product(s)
+        omega = float(u @ s) / float(u @ u)
+        x, r = x + alpha * p + omega * s, s - omega * u
+        now = float(shadow @ r)
+        p, rho = r + now / rho * alpha / omega * (p - omega * v), now
+    raise ArithmeticError(f"no solution within {most} steps")
+
+
+def hitting_of(t: DataFrame, target, dense_most: int = DENSE) -> dict:
+    """Expected steps to ``target`` from every state; infinite where a way may end without it.
+
+    Up to ``dense_most`` states the system is solved on the driver, beyond by
+    products of the distributed matrix with vectors.
+    """
+    labels = sorted({r["i"] for r in t.select("i").distinct().toLocalIterator()} | {r["j"] for r in t.select("j").distinct().toLocalIterator()})
+    if len(labels) <= dense_most:
+        return dict(zip(labels, hitting_times(dense(t)[1], labels.index(target)).tolist()))
+    # states from which the target cannot be missed: all their ways lead to where it can be reached
+    steps = t.where("p > 0").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    nodes = t.select(F.col("i").alias("node")).union(t.select("j")).distinct()
+    goal = nodes.where(F.col("node") == target)
+    sure = reached(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), goal)
+    lost = nodes.join(sure, "node", "left_anti")
+    out_of_goal = steps.where(F.col("a") != target)
+    may_miss = reached(out_of_goal.select(F.col("b").alias("a"), F.col("a").alias("b")), lost)
+    infinite = {r["node"] for r in may_miss.toLocalIterator()}
+    rest = [x for x in labels if x != target and x not in infinite]
+    inside = t.join(may_miss.select(F.col("node").alias("i")), "i", "left_anti").join(may_miss.select(F.col("node").alias("j")), "j", "left_anti").where((F.col("i") != target) & (F.col("j") != target))
+    times = {}
+    if rest:
+        q = products(inside.select("i", "j", "p"), rest)
+        times = dict(zip(rest, solved(lambda x: x - q(x), np.ones(len(rest))).tolist()))
+    return {x: 0.0 if x == target else times.get(x, math.inf) for x in labels}
+
+
+def reached(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): all nodes that ways along (a, b) reach from ``start`` (node), itself included."""
+    steps = written(steps.where("a <> b").distinct())
+    seen = frontier = written(start.select("node").distinct())
+    while frontier.limit(1).count():
+        frontier = written(frontier.join(steps, frontier.node == steps.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = written(seen.unionByName(frontier))
+    return seen
+
+
+def class_table(t: DataFrame) -> DataFrame:
+    """(node, member_of): communicating classes, named by their smallest state.
+
+    Each round passes the smallest label along the ways that are left; the nodes
+    of a label from which its owner is reached are the owner's class.
+    """
+    left = written(t.select(F.col("i").alias("node")).union(t.select("j")).distinct())
+    steps = written(t.where("p > 0 AND i <> j").select(F.col("i").alias("a"), F.col("j").alias("b")).distinct())
+    found = None
+    while left.limit(1).count():
+        label = written(left.select("node", F.col("node").alias("label")))
+        while True:
+            told = steps.join(label, steps.a == label.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("told"))
+            now = written(label.join(told, "node", "left").select("node", F.least("label", "told").alias("label"), (F.col("told") < F.col("label")).alias("less")))
+            label = now.drop("less")
+            if not now.where("less").limit(1).count():
+                break
+        ends = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        within = steps.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(ends, "b").where("la = lb")
+        back = reached(within.select(F.col("b").alias("a"), F.col("a").alias("b")), label.where("node = label").select("node"))
+        own = written(label.join(back, "node", "left_semi").select("node", F.col("label").alias("member_of")))
+        found = own if found is None else found.unionByName(own)
+        left = written(left.join(own, "node", "left_anti"))
+        steps = written(steps.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi"))
+    return found if found is not None else left.select("node", F.col("node").alias("member_of"))
+
+
+def periods(t: DataFrame, classes_: DataFrame) -> DataFrame:
+    """(member_of, members, period) of each class; the period is 0 where no way comes back.
+
+    With the distance d of each state from the class's first, the period is the
+    greatest common divisor of d(i) + 1 - d(j) over the steps within the class:
+    the smallest of these numbers, then of the remainders by it, until none is left.
+    """
+    a = classes_.select(F.col("node").alias("i"), "member_of")
+    b = classes_.select(F.col("node").alias("j"), F.col("member_of").alias("other"))
+    steps = written(t.where("p > 0").join(a, "i").join(b, "j").where("member_of = other").select("i", "j", "member_of"))
+    seen = frontier = written(classes_.where("node = member_of").select("node", F.lit(0).alias("d")))
+    while frontier.limit(1).count():
+        further = frontier.join(steps.where("i <> j"), frontier.node == F.col("i")).groupBy(F.col("j").alias("node")).agg((F.min("d") + 1).alias("d"))
+        frontier = written(further.join(seen, "node", "left_anti"))
+        seen = written(seen.unionByName(frontier))
+    near, far = seen.select(F.col("node").alias("i"), F.col("d").alias("di")), seen.select(F.col("node").alias("j"), F.col("d").alias("dj"))
+    gaps = written(steps.join(near, "i").join(far, "j").select("member_of", F.abs(F.col("di") + 1 - F.col("dj")).alias("gap")).where("gap > 0").distinct())
+    while True:
+        least = gaps.groupBy("member_of").agg(F.min("gap").alias("g"), F.count(F.lit(1)).alias("n"))
+        if not least.where("n > 1").limit(1).count():
+            break
+        rest = gaps.join(least.select("member_of", "g"), "member_of").select("member_of", F.explode(F.array("g", F.pmod("gap", "g"))).alias("gap"))
+        gaps = written(rest.where("gap > 0").distinct())
+    sizes = classes_.groupBy("member_of").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.join(gaps.withColumnRenamed("gap", "period"), "member_of", "left").select("member_of", "members", F.coalesce("period", F.lit(0)).cast("int").alias("period"))
+
+
+def walk_of(t: DataFrame, start, steps: int) -> list:
+    """States along the likeliest step to one not met yet, the first by name of equals; one row a step comes to the driver."""
+    rows, path = written(t.where("p > 0").select("i", "j", "p")), [start]
+    for _ in range(steps):
+        best = rows.where((F.col("i") == path[-1]) & ~F.col("j").isin(path)).agg(F.min_by("j", F.struct(-F.col("p"), F.col("j"))).alias("j")).first()["j"]
+        if best is None:
+            break
+        path.append(best)
+    return path
+
+
 def hitting_times(m: np.ndarray, target: int) -> np.ndarray:
     """Expected steps to ``target`` from every state; infinite where it is out of reach."""
     n = len(m)

@@ -451,9 +451,9 @@ def q_forward_chain(spark, sf_dir):
 SELECT place + 1, b.j, list_append(seen, b.j) FROM r CROSS JOIN LATERAL (SELECT j FROM t WHERE t.i = r.state AND NOT list_contains(r.seen, j) AND p > 0 ORDER BY p DESC, j LIMIT 1) b WHERE place < 6) SELECT place, state FROM r""")
 def q_likeliest_path(spark, sf_dir):
     """Six steps along the likeliest transition to a state not met yet."""
-    labels, m = M.dense(M.transition(P.overlaps(_long(spark, sf_dir))))
-    path = M.likeliest_path(m, 0, 6)
-    return spark.createDataFrame([(i, labels[s]) for i, s in enumerate(path)], "place int, state string")
+    t = I.written(M.transition(P.overlaps(_long(spark, sf_dir))))
+    path = M.walk_of(t, t.agg(F.min("i")).first()[0], 6)
+    return spark.createDataFrame(list(enumerate(path)), "place int, state string")
 
 
 # files and streams

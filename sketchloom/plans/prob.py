@@ -203,8 +203,8 @@ def q_pagerank(spark, sf_dir):
 
 @query(f"""{_CHAIN}, {_power_sql(1.0, 16)} SELECT round(sum(CASE WHEN p > 0 THEN -score*p*log2(p) ELSE 0.0 END), 5) AS entropy_rate, round(log2(any_value(n)), 5) AS max_possible FROM t JOIN x16 ON state = i CROSS JOIN n""")
 def q_entropy_rate(spark, sf_dir):
-    rate, most, _ = K.entropy_rate(K.dense(_chain(spark, sf_dir))[1])
-    return spark.createDataFrame([(round(rate, 5), round(most, 5))], "entropy_rate double, max_possible double")
+    found = K.entropy_of(_chain(spark, sf_dir))
+    return found.select(F.round("entropy_rate", 5).alias("entropy_rate"), F.round("max_possible", 5).alias("max_possible"))
 
 
 @query(f"""{_CHAIN.replace('WITH', 'WITH RECURSIVE', 1)}, fr AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(p ORDER BY j) AS row FROM t GROUP BY i)), tc AS (SELECT list(col ORDER BY j) AS m, list(j ORDER BY j) AS labels FROM (SELECT j, list(p ORDER BY i) AS col FROM t GROUP BY j)),
@@ -213,10 +213,21 @@ pr_(k, x) AS (SELECT 0, list_transform(m, lambda r: 1.0::DOUBLE / len(m)) FROM t
 a AS (SELECT h FROM hr ORDER BY k DESC LIMIT 1), b AS (SELECT x FROM pr_ ORDER BY k DESC LIMIT 1)
 SELECT labels[i] AS state, round(h[i], 4) AS to_first, round(list_sum(x) / x[i], 4) AS return_time FROM (SELECT labels, h, x, unnest(range(1, len(labels) + 1)) AS i FROM tc CROSS JOIN a CROSS JOIN b)""")
 def q_hitting_time(spark, sf_dir):
-    labels, m = K.dense(_chain(spark, sf_dir))
-    times = K.hitting_times(m, 0)
-    back = K.return_times(m)
-    return spark.createDataFrame([(x, round(float(h), 4), round(float(r), 4)) for x, h, r in zip(labels, times, back)], "state string, to_first double, return_time double")
+    t = T.written(_chain(spark, sf_dir))
+    first = t.agg(F.min("i")).first()[0]
+    times = spark.createDataFrame(list(K.hitting_of(t, first).items()), "state string, to_first double")
+    back = K.stationary(t).select("state", F.when(F.col("score") > 0, 1 / F.col("score")).otherwise(float("inf")).alias("back"))
+    return times.join(back, "state").select("state", F.round("to_first", 4).alias("to_first"), F.round("back", 4).alias("return_time"))
+
+
+@query(f"""{_CHAIN.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT i, j FROM t WHERE p > 0), r(a, b) AS (SELECT i, i FROM t UNION SELECT r.a, s.j FROM r JOIN s ON s.i = r.b),
+c AS (SELECT x.a AS node, min(x.b) AS member_of FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), loops AS (SELECT member_of, min(steps) AS period FROM (SELECT member_of, 1 AS steps FROM s JOIN c x ON x.node = s.i WHERE s.i = s.j
+  UNION ALL SELECT x.member_of, 1 FROM s p JOIN s q ON q.i = p.j JOIN s u ON u.i = q.j AND u.j = p.i JOIN s v ON v.i = p.j AND v.j = p.i JOIN c x ON x.node = p.i JOIN c y ON y.node = p.j AND y.member_of = x.member_of JOIN c z ON z.node = q.j AND z.member_of = x.member_of) GROUP BY member_of)
+SELECT member_of, count(*) AS members, any_value(period)::INT AS period FROM c LEFT JOIN loops USING (member_of) GROUP BY member_of""")
+def q_chain_classes(spark, sf_dir):
+    """Communicating classes and their periods (1 where ways of two and of three steps come back)."""
+    t = T.written(_chain(spark, sf_dir))
+    return K.periods(t, K.class_table(t))
 
 
 @query()
