@@ -77,24 +77,14 @@ def exact_dedup(docs: DataFrame, prefer: str = "smallest") -> DataFrame:
         *key, F.col("group_size").alias("h_size"), F.col("keep_id").alias("h_keep")
     )
     rows = docs.select("doc_id", *_address(text_of())).join(F.broadcast(heavy), key, "left")
-    light = F.col("h_size").isNull()
-    spread = F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.rand(7).cast("string"))))
-    rows = rows.withColumn("j_light", light).withColumn("j_md5", F.when(light, F.col("a_md5")).otherwise(spread))
-    rest = classes.select(
-        F.lit(True).alias("j_light"), F.col("a_md5").alias("j_md5"), F.col("a_sha").alias("c_sha"), F.col("a_len").alias("c_len"), "group_size", "keep_id"
-    )
-    same = (
-        (rows.j_light == rest.j_light) & (rows.j_md5 == rest.j_md5) & (rows.a_sha == rest.c_sha) & (rows.a_len == rest.c_len)
-    )
-    joined = rows.join(rest, same, "left")
-    keep = F.when(F.col("h_size").isNull(), F.col("keep_id")).otherwise(F.col("h_keep"))
-    return joined.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("h_size", "group_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("a_sha")).alias("text_sha256"),
+    # rows of heavy classes have all they need and pass no shuffle; the texts of the rest are hashed in a scan of their own
+    rest = classes.select(F.col("a_md5").alias("c_md5"), F.col("a_sha").alias("c_sha"), F.col("a_len").alias("c_len"), "group_size", "keep_id")
+    light = rows.where(F.col("h_size").isNull()).drop("h_size", "h_keep")
+    joined = light.join(rest, (light.a_md5 == rest.c_md5) & (light.a_sha == rest.c_sha) & (light.a_len == rest.c_len), "left")
+    found = joined.select("doc_id", "keep_id", "group_size", "a_sha").unionByName(
+        rows.where(F.col("h_size").isNotNull()).select("doc_id", F.col("h_keep").alias("keep_id"), F.col("h_size").alias("group_size"), "a_sha")
     )
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("a_sha")).alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, prefer: str = "smallest") -> DataFrame:
