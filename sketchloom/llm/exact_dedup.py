@@ -12,8 +12,8 @@ query fails rather than merge them.
 
 The way back to the rows meets the large groups again.  Classes that hold at
 least one row in ``HEAVY`` are at most ``HEAVY`` in number, so those are
-broadcast; their rows take a key of their own in the shuffle for the rest,
-where no key can then hold more than one row in ``HEAVY``.
+broadcast, and their rows pass no shuffle.  The rest are joined, where no key
+can then hold more than one row in ``HEAVY``.
 """
 
 from __future__ import annotations

@@ -212,21 +212,33 @@ def _cells(similarity: float):
     return run
 
 
+#: Pairs of one row that are confirmed beside one copy of its set.
+PAIRS = 64
+
+
 def _beside(pairs: DataFrame, key: str, held: DataFrame) -> DataFrame:
     """(key, part, ...) pairs with what ``held`` knows of ``key``; a key in many pairs has a copy for each of their parts."""
     wanted = pairs.select(key, "part").distinct().join(held, key)
     return pairs.join(wanted, [key, "part"])
 
 
+def _set_copies(pairs: DataFrame, key: str, part: str, sets: DataFrame, name: str) -> DataFrame:
+    """(key, part, name): the set of each row of the pairs, a copy for every part of its pairs."""
+    return pairs.select(key, part).distinct().join(sets.select(F.col("id").alias(key), F.col("shingles").alias(name)), key)
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, part) whose full shingle sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # one plan at every size: neither side has a bound that a broadcast could rely on
     texts = docs.select("doc_id", text_of().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "near-sets")
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    # a row that is b of many pairs has a copy of its set for every PAIRS of them, dealt by their other rows
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts_b")).where("parts_b > 1")
+    pairs = pairs.join(often.hint("merge"), "b", "left").withColumn("part_b", F.pmod(F.xxhash64("a"), F.coalesce("parts_b", F.lit(1)))).drop("parts_b")
     both = (
-        _beside(with_b, "a", sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
+        pairs.join(_set_copies(pairs, "b", "part_b", sets, "sb"), ["b", "part_b"])
+        .join(_set_copies(pairs, "a", "part", sets, "sa"), ["a", "part"])
         .withColumn("common", F.size(F.array_intersect("sa", "sb")))
         .where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common")))
     )

@@ -333,3 +333,28 @@ def test_best_fit_odd_rows(spark, odd, empty):  # noqa: F811
 def test_queries_of_this_round_are_registered():
     assert {"op11_spelling", "op12_trie", "op13_best_fit"} <= set(queries.QUERIES)
     assert {"op11_spelling", "op12_trie"} <= set(queries.ORACLES)
+
+
+# 8: confirmation of pairs with a frequent second row ----------------------------------
+
+
+def test_a_row_in_many_pairs_is_confirmed_in_parts(spark, monkeypatch):
+    """One document near many others that are not near each other: all links are found, whatever the parts."""
+    from sketchloom.llm import minhash
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    hub = [word() for _ in range(400)]
+    texts = []
+    for _ in range(30):
+        own = list(hub)
+        at = rng.randrange(370)
+        own[at : at + 22] = [word() for _ in range(22)]
+        texts.append(" ".join(own))
+    texts = [" ".join(hub), *texts, *[" ".join(word() for _ in range(50)) for _ in range(5)]]
+    df = docs_of(spark, texts)
+    found = []
+    for pairs in (64, 2):
+        monkeypatch.setattr(minhash, "PAIRS", pairs)
+        found.append({r["doc_id"]: r["component_id"] for r in minhash.near_dedup(df).collect()})
+    assert found[0] == found[1] == {i: 0 if i <= 30 else i for i in range(36)}
