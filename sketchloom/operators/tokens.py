@@ -139,28 +139,27 @@ def lut_stats(lut: DataFrame) -> DataFrame:
 
 
 def registers(lut: DataFrame) -> DataFrame:
-    """(reg, unigrams, first1, first2): what each register's layers offer."""
+    """(reg, token, unigram, first1, first2, after1, survives): what each register's layers offer, one row a token.
 
-    def of(layer: int, column: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("layer") == layer, F.col(column))))))
-
-    return lut.groupBy("reg").agg(of(0, "ngrams").alias("unigrams"), of(1, "first_tokens").alias("first1"), of(2, "first_tokens").alias("first2"))
+    A unigram survives if n-grams of both further layers start with it in the
+    same register; a layer without entries there does not filter.  A register
+    without tokens has a row with a null one.
+    """
+    offered = F.when(F.col("layer") == 0, F.col("ngrams")).when(F.col("layer").isin(1, 2), F.col("first_tokens"))
+    rows = lut.select("reg", "layer", F.explode_outer(offered).alias("token"))
+    has = lambda layer: F.coalesce(F.max((F.col("layer") == layer) & F.col("token").isNotNull()), F.lit(False))
+    per = rows.groupBy("reg", "token").agg(has(0).alias("unigram"), has(1).alias("first1"), has(2).alias("first2"))
+    layers = per.groupBy("reg").agg(F.max("first1").alias("has1"), F.max("first2").alias("has2"))
+    per = per.join(layers, "reg").withColumn("after1", F.col("unigram") & (F.col("first1") | ~F.col("has1")))
+    return per.withColumn("survives", F.col("after1") & (F.col("first2") | ~F.col("has2"))).select("reg", "token", "unigram", "first1", "first2", "after1", "survives")
 
 
 def register_filter(lut: DataFrame) -> DataFrame:
-    """(reg, initial, surviving, confidence): unigrams whose n-grams start in the same register.
-
-    A layer without entries in the register does not filter.
-    """
-    r = registers(lut)
-    one = F.when(F.size("first1") > 0, F.array_intersect("unigrams", "first1")).otherwise(F.col("unigrams"))
-    r = r.withColumn("s1", one)
-    two = F.when(F.size("first2") > 0, F.array_intersect("s1", "first2")).otherwise(F.col("s1"))
-    r = r.withColumn("surviving", two)
-    return r.select(
-        "reg", F.size("unigrams").alias("initial"), F.size("s1").alias("after_layer1"), "surviving",
-        F.when(F.size("surviving") > 0, 1.0 / F.size("surviving")).otherwise(0.0).alias("confidence"),
-    )
+    """(reg, initial, after_layer1, surviving, confidence) of each register's unigrams; only survivors are listed."""
+    g = registers(lut).groupBy("reg").agg(
+        F.count_if("unigram").cast("int").alias("initial"), F.count_if("after1").cast("int").alias("after_layer1"), F.array_sort(F.collect_list(F.when(F.col("survives"), F.col("token")))).alias("surviving")
+    )
+    return g.withColumn("confidence", F.when(F.size("surviving") > 0, 1.0 / F.size("surviving")).otherwise(0.0))
 
 
 def disambiguate(lut: DataFrame, positions: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Files
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,13 +35,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_steps: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage is cut by a copy that outlives executors."""
+    """``df`` written to the shared folder and read again: the lineage is cut by a copy that outlives executors.
+
+    ``release`` deletes what was written.
+    """
     path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
+    _steps.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made so far, once what was made of them is stored; returns how many."""
+    files, n = Files(spark, shared_dir(spark)), len(_steps)
+    while _steps:
+        files.delete(_steps.pop())
+    return n
+
+
 def bounded(df: DataFrame, most: int) -> list:
     """The rows of a table that has at most ``most`` of them; more are an error, never cut off."""
     rows = df.limit(most + 1).collect()
