@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bestfit, bpe, exact_dedup, licenses, minhash, packing, pii, quality, sharding, spelling, topk, toxicity, trie
-from .common import held_out, table
+from .common import held_out, release, table  # noqa: F401
 
 #: Surrogates are keyed by this setting of the session.  The test tables hold invented persons, so
 #: the queries have a value without it; a corpus of real ones needs a secret there.
