@@ -769,6 +769,24 @@ def test_pipeline_stages(spark):
     check_packing(rows, dict(zip(ids, reference_ids(list(ids.values())))))
 
 
+def test_pipeline_stages_on_odd_rows_and_without_labels(spark, odd, empty, tmp_path):
+    """Nulls, repeats, long texts and an empty table pass every stage; without labels all documents have the prior's quality."""
+    import corpus_pipeline as P
+
+    labels_of(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd.select(*[c.split()[0] for c in DOC.split(", ")])
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path)).cache()
+        assert out.columns == docs.columns, name
+        if name == "quality":
+            assert out.count() == docs.count()
+        docs = out
+    ids = {r["doc_id"] for r in docs.collect()}
+    rows = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == ids and sum(r["start"] == 0 for r in rows) == docs.count()
+
+
 def test_long_texts_in_stretches(monkeypatch):
     from sketchloom.llm import textblocks as B
 
