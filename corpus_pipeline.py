@@ -18,7 +18,7 @@ MIN_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier gives at least MIN_QUALITY."""
+    """Documents that the quality classifier gives at least MIN_QUALITY; without labels all of them, the prior being 0.5."""
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"), MIN_QUALITY)
 
 
