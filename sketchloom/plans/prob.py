@@ -237,13 +237,13 @@ dv(k, v, size) AS (SELECT 0, list_transform(m, lambda r, n: sin(n * n)::DOUBLE),
   SELECT k, list_transform(m, lambda r: list_inner_product(r, v) - list_inner_product(pi.pi, v)) AS w FROM dv CROSS JOIN fr CROSS JOIN pi WHERE k < 500))),
 la AS (SELECT size AS second FROM dv ORDER BY k DESC LIMIT 1), g(a, b) AS (SELECT i, i FROM t UNION SELECT g.a, t.j FROM g JOIN t ON t.i = g.b WHERE t.p > 0),
 c AS (SELECT min(x.b) AS own FROM g x JOIN g y ON x.a = y.b AND x.b = y.a GROUP BY x.a), nm AS (SELECT own, count(*) AS members FROM c GROUP BY own)
-SELECT members::INT AS members, 1 AS period, (SELECT count(*) FROM t WHERE i = j AND p >= 0.95)::INT AS absorbing, round(second, 5) AS second, round(1 - second, 5) AS gap, round(ln(100) / (1 - second), 3) AS mixing_time FROM nm CROSS JOIN la""")
+SELECT members::INT AS members, 1 AS period, (SELECT count(*) FROM t WHERE i = j AND p >= 0.95)::INT AS absorbing, round(second, 3) AS second, round(1 - second, 3) AS gap, round(ln(100) / (1 - second), 1) AS mixing_time FROM nm CROSS JOIN la""")
 def q_mixing(spark, sf_dir):
     """Of each communicating class: its members and period (1, since ways of two and of three steps come back), and the chain's spectral gap."""
     labels, m = K.dense(_chain(spark, sf_dir))
     found = K.classes(m)
     mix = K.mixing(m)
-    rows = [(len(c), K.period(m, c), len(K.absorbing(m)), round(mix["second"], 5), round(mix["gap"], 5), round(mix["time"], 3)) for c in found]
+    rows = [(len(c), K.period(m, c), len(K.absorbing(m)), round(mix["second"], 3), round(mix["gap"], 3), round(mix["time"], 1)) for c in found]
     return spark.createDataFrame(rows, "members int, period int, absorbing int, second double, gap double, mixing_time double")
 
 
