@@ -25,27 +25,21 @@ BITS = 32
 
 def murmur64a_spans(data: np.ndarray, start: np.ndarray, n: np.ndarray, seed: int = SEED) -> np.ndarray:
     """Signed 64-bit hashes of the stretches of ``data`` (bytes) of the given starts and lengths."""
-    m, r = np.uint64(M), np.uint64(SHIFT)
+    m, r, eight = np.uint64(M), np.uint64(SHIFT), np.uint64(8)
+    n = n.astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
     h = np.uint64(seed) ^ (n.astype(np.uint64) * m)
-    order = np.argsort(n // 8, kind="stable")
-    counts = np.bincount(n // 8) if len(n) else np.empty(0, np.int64)
-    done = 0
-    for blocks in np.flatnonzero(counts).tolist():
-        rows = order[done : done + counts[blocks]]
-        done += counts[blocks]
-        width = 8 * (blocks + 1)
-        for i in range(0, len(rows), max(1, 4_000_000 // width)):
-            part = rows[i : i + max(1, 4_000_000 // width)]
-            at = start[part][:, None] + np.arange(width)
-            inside = np.arange(width) < n[part][:, None]
-            padded = np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8) if len(data) else np.zeros(at.shape, np.uint8)
-            words = padded.view("<u8").reshape(len(part), blocks + 1)
-            acc = h[part]
-            for b in range(blocks):
-                k = words[:, b] * m
-                k = (k ^ (k >> r)) * m
-                acc = (acc ^ k) * m
-            h[part] = np.where(n[part] % 8 > 0, (acc ^ words[:, blocks]) * m, acc)
+    blocks = n >> 3
+    rows, block = np.flatnonzero(blocks > 0), 0
+    while len(rows):
+        k = words[start[rows] + 8 * block] * m
+        h[rows] = (h[rows] ^ ((k ^ (k >> r)) * m)) * m
+        block += 1
+        rows = rows[blocks[rows] > block]
+    rows = np.flatnonzero(n & 7)
+    rest = (n[rows] & 7).astype(np.uint64)
+    h[rows] = (h[rows] ^ (words[start[rows] + 8 * blocks[rows]] & ((np.uint64(1) << (rest * eight)) - np.uint64(1)))) * m
     h = (h ^ (h >> r)) * m
     return (h ^ (h >> r)).view(np.int64)
 

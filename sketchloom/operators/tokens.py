@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,34 +24,73 @@ def ngram_rows(docs: DataFrame, tokens: str, *keys: str, max_n: int = LAYERS) ->
     return docs.select(*keys, F.explode(F.flatten(F.array(*[runs(n) for n in range(1, max_n + 1)]))).alias("x")).select(*keys, "x.layer", "x.ngram")
 
 
+#: Bytes of text that are taken apart at once (or one longer text), and the n-grams of each length that are hashed at once.
+PIECE, STEP = 2_000_000, 1 << 18
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+_BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642F)
+
+
+def _pieces(texts: pa.Array):
+    """(first row, texts as bytes) of stretches of an Arrow array of strings, each of PIECE bytes or one row."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
+    total, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PIECE, side="right")) - 1)
+        yield lo, [t or b"" for t in texts.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()]
+        lo = hi
+
+
+def _grams(texts: list[bytes], max_n: int):
+    """(data, row, layer, start, length) of stretches of the texts' n-grams: bytes, text and layer of each, place and length there.
+
+    In ``data`` single spaces stand between the words, so an n-gram is a stretch of it.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    blank = _BLANK[raw]
+    keep = ~blank
+    opens = np.flatnonzero(keep & np.concatenate([[True], blank[:-1]]))
+    keep[1:] |= ~blank[:-1]  # one blank behind each word
+    data = np.where(blank, np.uint8(32), raw)[keep]
+    end = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    row = np.searchsorted(begins, opens, side="right") - 1
+    for lo in range(0, len(row), STEP):
+        parts = []
+        for n in range(1, max_n + 1):
+            at = np.arange(lo, max(lo, min(lo + STEP, len(row) - n + 1)))
+            at = at[row[at] == row[at + n - 1]]
+            parts.append((row[at], np.full(len(at), n - 1), start[at], end[at + n - 1] - start[at]))
+        yield data, *map(np.concatenate, zip(*parts))
+
+
 def text_positions(docs: DataFrame, text: str, key: str | None = None, max_n: int = 1, lower: bool = False, p: int = H.P_BITS) -> DataFrame:
     """(key?, layer, reg, zeros, n): positions of a text column's n-grams and how often each occurs.
 
     Words, n-grams and hashes are found in one pass over the bytes of each Arrow
-    batch, and counted there by key, so what leaves a batch is bounded by the
-    bits of its keys and no n-gram becomes a row.
+    batch, a bounded stretch at a time, and counted there by key, so what leaves
+    a batch is bounded by the bits of its keys and no n-gram becomes a row.
     """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [(t.lower() if lower else t).encode("utf-8", "surrogatepass").split() for t in (x or "" for x in batch.column(0).to_pylist())]
-            words = np.array([len(w) for w in texts], dtype=np.int64)
-            data = np.frombuffer(b" ".join(w for t in texts for w in t), dtype=np.uint8)
-            lengths = np.fromiter((len(w) for t in texts for w in t), dtype=np.int64, count=int(words.sum()))
-            end = np.cumsum(lengths + 1) - 1
-            start, row = end - lengths, np.repeat(np.arange(len(texts)), words)
+            texts = batch.column(0)
             codes = batch.column(1).dictionary_encode() if key else None
-            group = np.array(codes.indices.fill_null(len(codes.dictionary)))[row] if key else np.zeros(len(row), dtype=np.int64)
-            out = []
-            for n in range(1, max_n + 1):
-                first = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :]) if len(row) >= n else np.empty(0, np.int64)
-                h = H.murmur64a_spans(data, start[first], end[first + n - 1] - start[first])
-                reg, zeros = H.positions_numpy(h, p)
-                ok = zeros < H.BITS
-                out.append((((group[first].astype(np.int64) * max_n + n - 1) << (p + 5)) | (reg.astype(np.int64) << 5) | zeros)[ok])
-            place, count = np.unique(np.concatenate(out), return_counts=True)
+            groups = np.array(codes.indices.fill_null(len(codes.dictionary)), dtype=np.int64) if key else np.zeros(batch.num_rows, dtype=np.int64)
+            place, count = np.empty(0, np.int64), np.empty(0, np.int64)
+            for first, piece in _pieces(texts):
+                if lower:
+                    piece = [t.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass") for t in piece]
+                for data, row, layer, start, length in _grams(piece, max_n):
+                    reg, zeros = H.positions_numpy(H.murmur64a_spans(data, start, length), p)
+                    new = ((groups[first + row] * max_n + layer) << (p + 5)) | (reg.astype(np.int64) << 5) | zeros
+                    new, n = np.unique(new[zeros < H.BITS], return_counts=True)
+                    place, back = np.unique(np.concatenate([place, new]), return_inverse=True)
+                    # whole numbers below 2^53 are exact
+                    count = np.bincount(back, weights=np.concatenate([count, n]), minlength=len(place)).astype(np.int64)
             columns = [pa.array((place >> (p + 5)) % max_n, pa.int32()), pa.array((place >> 5) & (2**p - 1), pa.int32()), pa.array(place & 31, pa.int32()), pa.array(count, pa.int64())]
             names = ["layer", "reg", "zeros", "n"]
             if key:
@@ -65,6 +105,116 @@ def text_positions(docs: DataFrame, text: str, key: str | None = None, max_n: in
     return rows.groupBy(*([key] if key else []), "layer", "reg", "zeros").agg(F.sum("n").alias("n"))
 
 
+def text_ngrams(docs: DataFrame, text: str, max_n: int = LAYERS, p: int = H.P_BITS) -> DataFrame:
+    """(layer, hash, reg, zeros, ngram, tf): rows of a token table, counted within bounded stretches of a text column.
+
+    An n-gram has as many rows as stretches that hold it; ``merge_rows`` adds
+    them up.  Also for streams, since no row needs another.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for _, piece in _pieces(batch.column(0)):
+                for data, _, layer, start, length in _grams(piece, max_n):
+                    h = H.murmur64a_spans(data, start, length)
+                    reg, zeros = H.positions_numpy(h, p)
+                    # copies come to stand side by side; where different n-grams of one hash lie between them, there are more rows
+                    order = np.argsort(h)
+                    order = order[zeros[order] < H.BITS]
+                    if not len(order):
+                        continue
+                    layer, start, length, h, reg, zeros = (x[order] for x in (layer, start, length, h, reg, zeros))
+                    same = (layer[1:] == layer[:-1]) & (h[1:] == h[:-1]) & (length[1:] == length[:-1])
+                    # bytes decide whether neighbours are copies
+                    same[same] = _equal(data, start[:-1][same], start[1:][same], length[1:][same])
+                    first = np.flatnonzero(np.concatenate([[True], ~same]))
+                    size = length[first]
+                    offsets = np.concatenate([[0], np.cumsum(size)])
+                    text_ = data[np.arange(offsets[-1]) + np.repeat(start[first] - offsets[:-1], size)]
+                    ngram = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text_)).cast(pa.string())
+                    tf = np.diff(np.concatenate([first, [len(order)]]))
+                    columns = [pa.array(layer[first], pa.int32()), pa.array(h[first]), pa.array(reg[first]), pa.array(zeros[first]), ngram, pa.array(tf, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["layer", "hash", "reg", "zeros", "ngram", "tf"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "layer int, hash long, reg int, zeros int, ngram string, tf long")
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the stretches at ``a`` and at ``b`` hold the same bytes."""
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
+    differs = data[at + np.repeat(a, length)] != data[at + np.repeat(b, length)]
+    return np.diff(np.concatenate([[0], np.cumsum(differs)])[offsets]) == 0
+
+
+def _checks(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Second hashes of stretches, 32 bits of a polynomial in their bytes."""
+    if not len(start):
+        return np.empty(0, np.uint32)
+    low = int(start.min())
+    data, start = data[low : int((start + length).max())], start - low
+    base = 0x9E3779B97F4A7C15
+    powers, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(b))])) for b in (base, pow(base, -1, 2**64)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * powers[:-1])])
+    x = (sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64) * np.uint64(base)
+    return (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """An Arrow array of the bytes of the stretches between ``bounds``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def text_entries(docs: DataFrame, text: str, max_n: int = LAYERS, p: int = H.P_BITS, per_bucket: int = 4_000_000) -> DataFrame:
+    """(layer, hash, reg, zeros, tf, collisions): the token table of a text column without the n-grams themselves.
+
+    Different n-grams of one hash are told apart by a second hash, of some 30
+    bits, so that no n-gram passes a shuffle.  Stretches of text are counted by
+    themselves, their hashes are dealt into ranges, as many as the bytes of
+    text ask for, and each range is added up by itself.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = min(24, max(1, int(size * max_n // (2 * per_bucket)).bit_length()))  # a word has a byte and a blank at least
+
+    def run(batches):
+        for batch in batches:
+            for _, piece in _pieces(batch.column(0)):
+                for data, _, layer, start, length in _grams(piece, max_n):
+                    h = H.murmur64a_spans(data, start, length)
+                    check = _checks(data, start, length)
+                    check = (check.astype(np.uint64) % np.uint64(2**32 // max_n) * np.uint64(max_n) + layer.astype(np.uint64)).astype(np.uint32)  # the layer is its remainder
+                    ok = H.positions_numpy(h, p)[1] < H.BITS
+                    h, check = h.view(np.uint64)[ok], check[ok]
+                    if not len(h):
+                        continue
+                    order = np.argsort(h)
+                    h, check = h[order], check[order]
+                    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]))
+                    n = np.diff(np.concatenate([first, [len(h)]])).astype(np.uint32)
+                    h, check = h[first], check[first]
+                    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+                    opens = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                    bounds = np.concatenate([opens, [len(h)]])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[opens]), *(_blobs(v, bounds) for v in (h, check, n))], ["bucket", "h", "c", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        h, c, n = (np.frombuffer(b"".join(table[k].to_pylist()), dtype=kind) for k, kind in (("h", np.int64), ("c", np.uint32), ("n", np.uint32)))
+        order = np.argsort(h)
+        if ((h[order][1:] == h[order][:-1]) & (c[order][1:] != c[order][:-1])).any():
+            order = np.lexsort((c, c % np.uint32(max_n), h))
+        h, c, n = h[order], c[order], n[order].astype(np.int64)
+        layer = (c % np.uint32(max_n)).astype(np.int32)
+        entry = np.concatenate([[True], (h[1:] != h[:-1]) | (layer[1:] != layer[:-1])])
+        gram = entry | np.concatenate([[True], c[1:] != c[:-1]])
+        first = np.flatnonzero(entry)
+        reg, zeros = H.positions_numpy(h[first], p)
+        columns = [layer[first], h[first], reg, zeros, np.add.reduceat(n, first), np.add.reduceat(gram, first, dtype=np.int32)]
+        return pa.table([pa.array(x) for x in columns], names=["layer", "hash", "reg", "zeros", "tf", "collisions"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, h binary, c binary, n binary")
+    return rows.groupBy("bucket").applyInArrow(add, "layer int, hash long, reg int, zeros int, tf long, collisions int")
+
+
 def build_lut(ngrams: DataFrame, **options) -> DataFrame:
     """The token table: one row for each (layer, hash).
 
@@ -84,6 +234,21 @@ def first_token(ngram: Column) -> Column:
     return F.substring_index(ngram, " ", 1)
 
 
+def lut_rows(ngrams: DataFrame, **options) -> DataFrame:
+    """Rows of a token table, (layer, hash, reg, zeros, ngram, tf), of n-grams (layer, ngram); those of ``text_ngrams`` are rows already."""
+    if "tf" in ngrams.columns:
+        return ngrams.select("layer", "hash", "reg", "zeros", "ngram", "tf")
+    counted = ngrams.groupBy("layer", "ngram").agg(F.count(F.lit(1)).alias("tf"))
+    return S.positions(counted, "ngram", **options).select("layer", "hash", "reg", "zeros", "ngram", "tf")
+
+
+def merge_rows(rows: DataFrame) -> DataFrame:
+    """The token table of ``lut_rows``, those of several batches too."""
+    merged = rows.groupBy("layer", "hash", "reg", "zeros").agg(F.array_sort(F.collect_set("ngram")).alias("ngrams"), F.sum("tf").alias("tf"))
+    first = F.array_sort(F.array_distinct(F.transform("ngrams", first_token)))
+    return merged.select("layer", "hash", "reg", "zeros", "ngrams", first.alias("first_tokens"), "tf", F.size("ngrams").alias("collisions"))
+
+
 def merge_lut(rows: DataFrame) -> DataFrame:
     """Upsert: rows of one hash unite their n-grams and add their counts."""
     return (

@@ -1,6 +1,7 @@
 """Small fixtures of the other operators."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sketchloom.functions import hashing as H
@@ -251,3 +252,43 @@ def test_join_and_meet_of_nodes(spark):
     long = long_of(spark, {"1": "abc", "2": "bcd", "3": "c"}, "ts")
     assert S.cardinality(T.join_nodes(long, "ts", ["1", "2"]), "ts").first() == ("2", 4.0)
     assert S.cardinality(T.meet_nodes(long, "ts", ["1", "2", "3"]), "ts").first() == ("1", 1.0)
+
+
+def test_text_is_hashed_in_bounded_stretches(spark, monkeypatch):
+    """However many texts a batch has, what is taken apart at once is bounded, and the counts are those of the exploded n-grams."""
+    texts = ["a b c a b", "é b\x0bb", None, "", " x ", "a b " * 50, "longword" * 9 + " a b"]
+    docs = spark.createDataFrame([("l" if i % 2 else None, t) for i, t in enumerate(texts)], "k string, text string").coalesce(1)
+    words = docs.select("k", H.words(F.col("text")).alias("w"))
+    want = {(r["k"], r["layer"], r["reg"], r["zeros"]): r["count"] for r in S.positions(Q.ngram_rows(words, "w", "k"), "ngram").groupBy("k", "layer", "reg", "zeros").count().collect()}
+    got = lambda: {(r["k"], r["layer"], r["reg"], r["zeros"]): r["n"] for r in Q.text_positions(docs, "text", "k", max_n=3).collect()}
+    assert got() == want
+    monkeypatch.setattr(Q, "PIECE", 40)
+    monkeypatch.setattr(Q, "STEP", 7)
+    column = pa.array(texts, pa.string())
+    grams = [(first + r, layer, bytes(data[s : s + n]).decode()) for first, piece in Q._pieces(column) for data, row, layers, start, length in Q._grams(piece, 3) for r, layer, s, n in zip(row, layers, start, length)]
+    want = [(i, n - 1, " ".join(w[j : j + n])) for i, w in enumerate((t or "").split() for t in texts) for n in (1, 2, 3) for j in range(len(w) - n + 1)]
+    assert sorted(grams) == sorted(want)
+    assert max(len(row) for _, piece in Q._pieces(column) for _, row, *_ in Q._grams(piece, 3)) <= 21
+
+
+def test_entries_of_texts_equal_the_token_table(spark):
+    texts = ["a b c a b", "é b", None, "", *(" ".join(f"w{i * j % 91}" for j in range(60)) for i in range(40))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    lut = Q.build_lut(Q.ngram_rows(docs.select(H.words(F.col("text")).alias("w")), "w"))
+    columns = ("layer", "hash", "reg", "zeros", "tf", "collisions")
+    entries = lambda df: sorted(tuple(r[c] for c in columns) for r in df.collect())
+    for per_bucket in (50, 4_000_000):
+        assert entries(Q.text_entries(docs, "text", per_bucket=per_bucket)) == entries(lut)
+    assert Q.text_entries(docs.limit(0), "text").count() == 0
+    # no n-gram passes a shuffle
+    plan = Q.text_entries(docs, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ngram" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_hash_of_spans_at_all_lengths():
+    data = np.frombuffer(bytes(range(256)) * 3, dtype=np.uint8)
+    n = np.arange(0, 300)
+    start = np.arange(300) % 97
+    want = [H.murmur64a_numpy(pa.array([data[s : s + k].tobytes()], pa.binary()))[0] for s, k in zip(start, n)]
+    assert H.murmur64a_spans(data, start, n).tolist() == want
+    assert H.murmur64a_spans(data[:0], np.array([0]), np.array([0])).tolist() == H.murmur64a_numpy(pa.array([b""])).tolist()
