@@ -23,7 +23,7 @@ _TURNS = "conv_id long, turn long, role string, text string"
 def _turns(spark, folder):
     """The n-grams of conversations' turns, one file a batch."""
     raw = Z.token_stream(spark, folder, _TURNS, per_trigger=1)
-    return K.ngram_rows(raw.select("conv_id", H.words(F.col("text")).alias("w")), "w")
+    return K.text_ngrams(raw.repartition(raw.sparkSession.sparkContext.defaultParallelism), "text")
 
 
 @query(f"""{_CONV}, t AS (SELECT layer, h, count(*) AS tf, count(DISTINCT ngram) AS n FROM ng JOIN p ON p.token = ng.ngram WHERE zeros IS NOT NULL GROUP BY layer, h)
@@ -33,7 +33,7 @@ def q_stream_upsert(spark, sf_dir):
     folder = T.new_path(spark, "upsert")
     turns = T.read(spark, sf_dir, "conversations")
     for part in turns.randomSplit([1.0, 1.0, 1.0], seed=3):
-        part.write.mode("append").parquet(f"{folder}/in")
+        part.repartition(3).write.mode("append").parquet(f"{folder}/in")  # as many batches whatever files the table has
         U.TokenTable(spark, f"{folder}/table").run(_turns(spark, f"{folder}/in")).awaitTermination()
     table = U.TokenTable(spark, f"{folder}/table").table()
     return table.groupBy("layer").agg(F.count(F.lit(1)).alias("entries"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"), F.max("collisions").alias("collisions"))
