@@ -333,7 +333,7 @@ def q_stream_checkpoint_commit(spark, sf_dir):
     folder = _folder(spark)
     T.read(spark, sf_dir, "conversations").repartition(3).write.parquet(f"{folder}/in")
     raw = Z.token_stream(spark, f"{folder}/in", "conv_id long, turn long, role string, text string", per_trigger=1)
-    stream = K.ngram_rows(raw.select("conv_id", H.words(F.col("text")).alias("w")), "w")
+    stream = K.text_ngrams(raw.repartition(spark.sparkContext.defaultParallelism), "text")
     session = Z.Session(spark, f"{folder}/session")
     session.run(stream).awaitTermination()
     packed, lut = session.commit()

@@ -29,18 +29,16 @@ def line_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataF
 
 
 class Session:
-    """A stream of (layer, ngram) into a folder; ``commit`` gives the table and the sketches."""
+    """A stream of (layer, ngram), or of ``text_ngrams``, into a folder; ``commit`` gives the table and the sketches."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _batch(self, df: DataFrame, batch: int) -> None:
-        df = df.persist()
-        try:
-            K.build_lut(df).write.mode("overwrite").parquet(f"{self.folder}/lut/batch={batch}")
-            S.build(df, "ngram", "layer").write.mode("overwrite").parquet(f"{self.folder}/sketch/batch={batch}")
-        finally:
-            df.unpersist()
+        path = f"{self.folder}/lut/batch={batch}"
+        K.lut_rows(df).write.mode("overwrite").parquet(path)
+        bits = self.spark.read.parquet(path).select("layer", "reg", "zeros").distinct()
+        S.pack(bits, "layer").write.mode("overwrite").parquet(f"{self.folder}/sketch/batch={batch}")
 
     def run(self, stream: DataFrame, **trigger) -> StreamingQuery:
         """Start; with no trigger given, process what is there and stop."""
@@ -54,7 +52,7 @@ class Session:
     def commit(self) -> tuple[DataFrame, DataFrame]:
         """(layer, bitmap) of the whole session, and its token table."""
         lut = self.spark.read.parquet(f"{self.folder}/lut")
-        return S.merge(self.checkpoints(), "layer"), K.merge_lut(lut.drop("batch", "collisions"))
+        return S.merge(self.checkpoints(), "layer"), K.merge_rows(lut)
 
     def length(self) -> int:
         """Micro-batches that the session holds."""
@@ -65,7 +63,7 @@ class Session:
         last = self.checkpoints().agg(F.max("batch")).first()[0]
         recent = lambda df: df.where(F.col("batch") > (-1 if last is None else last) - keep)
         lut = recent(self.spark.read.parquet(f"{self.folder}/lut"))
-        return S.merge(recent(self.checkpoints()), "layer"), K.merge_lut(lut.drop("batch", "collisions"))
+        return S.merge(recent(self.checkpoints()), "layer"), K.merge_rows(lut)
 
     def cleanup(self) -> None:
         """Delete the session's folder."""
