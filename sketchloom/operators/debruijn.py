@@ -19,9 +19,15 @@ def kmers(docs: DataFrame, tokens: str, *keys: str, k: int = 3) -> DataFrame:
     if k < 2:
         raise ValueError("k is 2 or more")
     rows = docs.select(*keys, F.explode(H.ngrams(F.col(tokens), k)).alias("kmer")).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("multiplicity"))
+    return spelled(rows, *keys)
+
+
+def spelled(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., src, dst, label, kmer, multiplicity) of rows (keys..., kmer, multiplicity)."""
     parts = F.split("kmer", SEP)
+    most = F.size(parts) - 1
     return rows.select(
-        *keys, F.array_join(F.slice(parts, 1, k - 1), SEP).alias("src"), F.array_join(F.slice(parts, 2, k - 1), SEP).alias("dst"),
+        *keys, F.array_join(F.slice(parts, 1, most), SEP).alias("src"), F.array_join(F.slice(parts, 2, most), SEP).alias("dst"),
         F.element_at(parts, -1).alias("label"), "kmer", "multiplicity",
     )
 

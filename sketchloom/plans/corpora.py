@@ -80,7 +80,7 @@ def q_corpus_merge(spark, sf_dir):
     """Graphs of the speakers' turns merged into one, its chains contracted, and spelled again."""
     turns = T.read(spark, sf_dir, "conversations").select("role", H.words(F.col("text")).alias("w"))
     roles = [r[0] for r in T.bounded(turns.select("role").distinct(), 100)]
-    merged = T.written(C.merge_graphs(*[D.kmers(turns.where(F.col("role").eqNullSafe(r)), "w", k=3) for r in roles]))
+    merged = C.numbered(C.merge_graphs(*[D.kmers(turns.where(F.col("role").eqNullSafe(r)), "w", k=3) for r in roles]))
     return C.expanded(C.contracted(merged)).join(merged, "kmer").select("kmer", "multiplicity")
 
 

@@ -193,3 +193,13 @@ def test_graphs_of_batches_merge_to_that_of_the_corpus(spark):
     parts = C.merge_graphs(*[edges_of(spark, [t]) for t in texts])
     assert {r["kmer"]: r["multiplicity"] for r in parts.collect()} == kmers_of(texts)
     assert sorted(map(tuple, C.contracted(parts).collect())) == sorted(map(tuple, C.contracted(edges_of(spark, texts)).collect()))
+
+
+def test_edges_at_their_head_are_not_moved_again(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(64)), *(f"p{i} q{i} r{i} s{i}" for i in range(200))]
+    moved, write = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: (out := write(df), moved.append(out.count()))[0])
+    edges = edges_of(spark, texts)
+    assert C.contracted(edges).count() == 201
+    # numbers, links and a first round of all; then only the long chain goes on
+    assert sum(moved) < 3 * edges.count()
