@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,3 +125,32 @@ def collect_bounded(sample: DataFrame, max_bytes: int) -> tuple[list[str], list[
     if met != set(ys):
         raise ValueError(f"no text of a label fits in {max_bytes} bytes")
     return texts, ys
+
+
+def fit_bounded(sample: DataFrame, max_bytes: int, train):
+    """``train(texts, ys)`` of the rows that ``collect_bounded`` gives, in their order, run by one task.
+
+    The driver gets the pickled model only; the texts and what training makes of
+    them stay with the executor.
+    """
+
+    def run(batches):
+        texts, ys, left, met = [], [], max_bytes, set()
+        for batch in batches:
+            for text, y, n in zip(*(c.to_pylist() for c in batch.columns)):
+                met.add(y)
+                if n <= left:
+                    left -= n
+                    texts.append(text)
+                    ys.append(y)
+        model = pickle.dumps(train(texts, ys)) if met == set(ys) else None
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    text, n = F.xxhash64("text"), F.octet_length("text")
+    # the order of collect_bounded: its four partitions, one after the other
+    rows = sample.repartition(1).sortWithinPartitions(F.pmod(F.hash(text), F.lit(4)), text, "y")
+    # a text that cannot fit is not fetched
+    found = rows.select(F.when(n <= max_bytes, F.col("text")).alias("text"), "y", n.alias("n")).mapInArrow(run, "model binary").collect()
+    if found and found[0]["model"] is None:
+        raise ValueError(f"no text of a label fits in {max_bytes} bytes")
+    return pickle.loads(found[0]["model"]) if found else train([], [])

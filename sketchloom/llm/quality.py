@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import collect_bounded, labelled_sample, text_of
+from .common import fit_bounded, labelled_sample, text_of
 from .textblocks import Words, blocks, mix, word_arrays
 
 BUCKETS, DIM, NONZERO = 1 << 15, 24, 4
@@ -165,7 +165,7 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int):
-    model = train(*collect_bounded(labelled_sample(docs, labels, "quality", max_rows), max_bytes))
+    model = fit_bounded(labelled_sample(docs, labels, "quality", max_rows), max_bytes, train)
     return docs.sparkSession.sparkContext.broadcast(model)  # a few megabytes at any size of input
 
 

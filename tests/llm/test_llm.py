@@ -802,3 +802,19 @@ def test_long_texts_in_stretches(monkeypatch):
     assert len(list(B.stretches(texts[1].encode()))) > 20
     assert [s.tolist() for s in B.shingle_sets(texts)] == sets
     assert [v.tolist() for v in quality.pooled(texts, vectors)] == means
+
+
+def test_quality_is_fitted_by_a_task_on_the_rows_of_the_driver(spark):
+    """No text of the training sample comes to the driver, and the model's rows and their order stay the same."""
+    import os
+
+    from sketchloom.llm import common as C
+
+    sample = spark.createDataFrame([(f"text {i} " * (i % 7), float(i % 2)) for i in range(300)] + [("long " * 900, 1.0)], "text string, y double").repartition(5)
+    driver = os.getpid()
+    for bound in (10_000_000, 4000):
+        pid, *rows = C.fit_bounded(sample, bound, lambda texts, ys: (os.getpid(), texts, ys))
+        assert tuple(rows) == C.collect_bounded(sample, bound) and pid != driver
+    with pytest.raises(ValueError):
+        C.fit_bounded(sample.where("y = 1 AND length(text) > 4000"), 10, lambda *_: 1)
+    assert C.fit_bounded(sample.limit(0), 10, lambda texts, ys: (texts, ys)) == ([], [])
